@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, langid, media, mixing, quality, rules, toxicity
+from . import bpe, jaccard, langid, maxent, media, mixing, quality, rules, toxicity
 from ._labels import held_out
-from ._tables import table
+from ._tables import remainder, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -34,6 +34,12 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode_ids(bpe.encode_texts(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN)
 
 
+def op6_maxent_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = remainder("doc_id", 5) == 1
+    scored = maxent.score_all(table(spark, sf_dir, "documents"), ~held)
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     scored = toxicity.score_texts(documents, toxicity.fit_on(documents, table(spark, sf_dir, "labels")))
@@ -81,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jaccard_join": op2_jaccard_join,
     "op3_language_id": op3_language_id,
     "op4_byte_bpe": op4_byte_bpe,
+    "op6_maxent_scoring": op6_maxent_scoring,
     "op7_toxicity": op7_toxicity,
     "op8_quality_rules": op8_quality_rules,
     "op9_source_mix": op9_source_mix,
