@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, langid, maxent, media, mixing, quality, rules, toxicity
+from . import bpe, jaccard, langid, maxent, media, mixing, quality, rules, suffix, toxicity
 from ._labels import held_out
 from ._tables import remainder, table
 
@@ -34,6 +34,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode_ids(bpe.encode_texts(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.report(table(spark, sf_dir, "documents"))
+
+
 def op6_maxent_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = remainder("doc_id", 5) == 1
     scored = maxent.score_all(table(spark, sf_dir, "documents"), ~held)
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jaccard_join": op2_jaccard_join,
     "op3_language_id": op3_language_id,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_maxent_scoring": op6_maxent_scoring,
     "op7_toxicity": op7_toxicity,
     "op8_quality_rules": op8_quality_rules,
