@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,9 +18,22 @@ def remainder(doc_id: str | Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("")).cast("string").cast("binary")) % modulus
 
 
-def settled(frame: DataFrame) -> DataFrame:
-    """The frame, computed once and kept in spark.checkpoint.dir (a new folder if that is unset, as in tests)."""
-    context = frame.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or a new folder if that is unset, as in tests."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(frame.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def written(frame: DataFrame) -> DataFrame:
+    """The frame, written as Parquet below the shared folder and read again."""
+    path = f"{shared_folder(frame.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.parquet(path)
+
+
+def settled(frame: DataFrame) -> DataFrame:
+    """The frame, computed once and kept in the shared folder, without its lineage."""
+    shared_folder(frame.sparkSession)
     return frame.checkpoint(eager=True)

@@ -14,7 +14,7 @@ other columns are ignored. Equal input gives equal output, whatever the partitio
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Points of the ring (a prime) and the step: the ring's golden section.
@@ -88,26 +88,26 @@ def streams(sizes: DataFrame, arcs_: DataFrame) -> DataFrame:
     numbered = arcs_.select(same.alias("tag"), "sid", "source_size", "target")
     inside = F.sum("size").over(Window.partitionBy("tag", "piece").orderBy("shuffle", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     ahead = before.join(numbered, "tag")
-    return rows.withColumn("inside", inside).join(ahead, ["tag", "piece"]).select("doc_id", "source", "size", "sid", "source_size", "target", (F.col("before") + F.col("inside")).alias("at"))
+    return rows.withColumn("inside", inside).join(ahead, ["tag", "piece"]).select("doc_id", "source", "size", "shuffle", "sid", "source_size", "target", (F.col("before") + F.col("inside")).alias("at"))
 
 
 def taken(stream: DataFrame, slots: DataFrame, block: int = BLOCK, passes: int = 2) -> DataFrame:
-    """The stream's rows with `taken`: their words in the blocks that slots take, over all passes.
+    """The stream's rows with `taken` (their words in the blocks that slots take, over all passes) and `starts` (the passes that take their first word).
 
     A source's last block is cut where its target is reached.
     """
-    rows = stream.withColumn("row", F.struct("doc_id", "at", "sid"))
+    rows = stream.withColumn("row", F.struct("sid", "at", "shuffle"))
     turns = rows.where("size > 0").select("row", "sid", F.explode(F.array(*(F.col("at") + p * F.col("source_size") for p in range(passes)))).alias("begin"), "size", F.floor("target").alias("goal"))
     turns = turns.withColumn("end", F.least(F.col("begin") + F.col("size"), "goal")).where("end > begin")
     whole = F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("end") - 1) / block))
     inside = turns.select("row", "sid", "begin", "end", F.explode(whole).alias("rank"))
     words = F.least("end", (F.col("rank") + 1) * block) - F.greatest("begin", F.col("rank") * block)
-    got = inside.join(slots, ["sid", "rank"]).groupBy("row").agg(F.sum(words).alias("taken"))
-    return rows.join(got, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long")).drop("row")
+    got = inside.join(slots, ["sid", "rank"]).groupBy("row").agg(F.sum(words).alias("taken"), F.count_if(F.col("begin") >= F.col("rank") * block).alias("starts"))
+    return rows.join(got, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long")).withColumn("starts", F.coalesce("starts", F.lit(0))).drop("row")
 
 
 def mix(documents: DataFrame, block: int = BLOCK, share: float = 1.5, weights: tuple[int, ...] = (3, 1, 2)) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken of every document."""
+    """doc_id, source, size, source_size, target, taken, starts, shuffle of every document."""
     sizes = sized(documents)
     arcs_ = arcs(targets(sizes, weights, share))
     total = arcs_.agg(F.sum("target")).first()[0] or 0.0
@@ -115,5 +115,13 @@ def mix(documents: DataFrame, block: int = BLOCK, share: float = 1.5, weights: t
     return taken(streams(sizes, arcs_), schedule(arcs_, n_slots), block)
 
 
+def mixture(documents: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The mix as documents: each is there once for every pass that takes its first word."""
+    turns = mix(documents, block).where("starts > 0").groupBy("shuffle").agg(F.sum("starts").alias("_starts"))
+    rows = documents.withColumn("_row", F.xxhash64("doc_id", "text")).join(turns, F.col("_row") == F.col("shuffle"))
+    one = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_row").orderBy("_row"))).where("_n = 1")
+    return one.select(*documents.columns, F.explode(F.sequence(F.lit(1).cast("long"), "_starts")).alias("_turn")).drop("_turn")
+
+
 #: Slots beyond the total, so that a source that the sequence serves late still nears its target.
 SPARE = 8

@@ -208,3 +208,14 @@ def score_texts(documents: DataFrame, model: Model, key: str = "doc_id", text: s
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score(model, gains, texts))], [key, "score"])
 
     return documents.select(key, text).mapInArrow(run, f"{key} {documents.schema[key].dataType.simpleString()}, score double")
+
+
+def drop_toxic(documents: DataFrame, model: Model, at: float = REJECT_AT) -> DataFrame:
+    """The documents, with all their columns, whose text scores below `at`."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gains = Gains(model)
+        for part, texts in G.batches(frames):
+            yield part.filter(pa.array(score(model, gains, texts) < at))
+
+    return documents.mapInArrow(run, documents.schema)
