@@ -27,7 +27,7 @@ from ._labels import LONGEST, held_out
 
 ORDERS = (5, 4, 3, 2, 1)
 #: Labelled documents that are learned from at most; words and n-grams of each order kept at most.
-SAMPLE, KEPT = 6000, 60000
+SAMPLE, KEPT = 2000, 60000
 #: Languages kept at most, the commonest of the sample.
 LANGUAGES = 400
 FLOOR = 0.5
@@ -90,7 +90,7 @@ def fit(rows: list[tuple[bytes, str]]) -> Model:
         return Model((), (), ())
     gathered: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in range(1 + len(ORDERS))]
     language = np.array([place[x] for _, x in rows])
-    for i, j, part in G.pieces(G.texts_of(pa.array([t for t, _ in rows], pa.binary())), 1 << 22):
+    for i, j, part in G.pieces(G.texts_of(pa.array([t for t, _ in rows], pa.binary())), 1 << 18):
         low = spaced(part)
         starts, ends, offs = low.words()
         owner = language[i:j][np.repeat(np.arange(part.n), np.diff(offs))]
