@@ -118,5 +118,6 @@ def dense(vector: Column, stages: Sequence[DenseStage]) -> Column:
 def finalize(tokens: DataFrame, key: str, how: str, stages: Sequence[DenseStage] = ()) -> DataFrame:
     """Pooling, then the dense stages, then length 1: the order is part of the contract."""
     pooled = pool(tokens, key, how)
-    column = dense(F.col("vector"), stages) if stages else F.col("vector")
-    return pooled.select(key, l2_normalise(column).alias("vector"))
+    if stages:
+        pooled = pooled.select(key, dense(F.col("vector"), stages).alias("vector"))
+    return pooled.select(key, l2_normalise(F.col("vector")).alias("vector"))

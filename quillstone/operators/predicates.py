@@ -22,8 +22,8 @@ class EmptyTagError(ConfigurationError):
 
 
 def literal(text: str) -> str:
-    """A SQL string literal."""
-    return "'" + text.replace("'", "''") + "'"
+    """A SQL string literal; the parser reads backslashes as escapes."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "''") + "'"
 
 
 def like_pattern(glob: str, escape: str = ESCAPE) -> str:
