@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._tables import settled
+
 #: Points of the ring (a prime) and the step: the ring's golden section.
 RING = 2_147_483_647
 STEP = 1_327_217_884
@@ -108,7 +110,7 @@ def taken(stream: DataFrame, slots: DataFrame, block: int = BLOCK, passes: int =
 
 def mix(documents: DataFrame, block: int = BLOCK, share: float = 1.5, weights: tuple[int, ...] = (3, 1, 2)) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, starts, shuffle of every document."""
-    sizes = sized(documents)
+    sizes = settled(sized(documents))
     arcs_ = arcs(targets(sizes, weights, share))
     total = arcs_.agg(F.sum("target")).first()[0] or 0.0
     n_slots = int(-(-total // block)) + SPARE
