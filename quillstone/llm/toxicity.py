@@ -27,7 +27,7 @@ from ._labels import labelled
 #: Words of a window; bytes of each dictionary's shared and own part; level of compression.
 WINDOW = 8
 SHARED, OWN = 65536, 4096
-LEVEL = 3
+LEVEL = 9
 #: Bytes of the stretches that a class may favour, in how many of its documents' words, and by what ratio.
 GRAM, LEAST, RATE = 5, 4, 20
 #: Follows each window, so that even a window without a match is compressed.
