@@ -1,7 +1,8 @@
 """Snapshot tables in Parquet: append, upsert, delete, compact and statistics.
 
 Parquet has no rows to change in place, so a change writes the next version of the table beside
-the last and then moves the pointer file, which readers follow: they see one version or the other.
+the last, and then a pointer file of the next number is moved into place. Readers follow the
+pointer of the largest number: they see one version or the other, and never none.
 """
 
 from __future__ import annotations
@@ -47,14 +48,24 @@ class Snapshots:
         self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    @property
-    def _pointer(self):
-        return self._path(f"{self.folder}/CURRENT")
+    def _names(self, prefix: str) -> list[str]:
+        """Names below the folder that begin so, in order."""
+        folder = self._path(self.folder)
+        if not self._fs.exists(folder):
+            return []
+        found = (s.getPath().getName() for s in self._fs.listStatus(folder))
+        return sorted(n for n in found if n.startswith(prefix))
+
+    def _current(self) -> tuple[int, str | None]:
+        """The number of the last pointer and the version that it names."""
+        pointers = self._names("CURRENT-")
+        if not pointers:
+            return 0, None
+        text = self.spark.read.text(f"{self.folder}/{pointers[-1]}", wholetext=True).first()[0]
+        return int(pointers[-1].removeprefix("CURRENT-")), json.loads(text)["version"]
 
     def version(self) -> str | None:
-        if not self._fs.exists(self._pointer):
-            return None
-        return json.loads(self.spark.read.text(f"{self.folder}/CURRENT", wholetext=True).first()[0])["version"]
+        return self._current()[1]
 
     def read(self) -> DataFrame:
         """The current version; an empty table if there is none yet."""
@@ -64,23 +75,20 @@ class Snapshots:
         return self.spark.read.schema(self.schema).parquet(f"{self.folder}/{version}")
 
     def replace(self, rows: DataFrame) -> None:
-        """Writes the rows as the next version and moves the pointer to it; older versions but the last go."""
-        last, version = self.version(), f"v-{uuid.uuid4().hex}"
+        """Writes the rows as the next version and points to it; of the older versions only the last stays."""
+        (number, last), version = self._current(), f"v-{uuid.uuid4().hex}"
         try:
             rows.select(*(F.col(f.name).cast(f.dataType) for f in self.schema)).write.parquet(f"{self.folder}/{version}")
         except Exception as e:
             raise StoreError(f"the table can't be written: {e}") from e
-        new = self._path(f"{self.folder}/CURRENT.new")
+        new = self._path(f"{self.folder}/{version}.pointer")
         out = self._fs.create(new, True)
         out.write(json.dumps({"version": version}).encode())
         out.close()
-        self._fs.delete(self._pointer, False)
-        if not self._fs.rename(new, self._pointer):
-            raise StoreError("the pointer to the new version can't be moved")
-        for status in self._fs.listStatus(self._path(self.folder)):
-            name = status.getPath().getName()
-            if name.startswith("v-") and name not in (version, last):
-                self._fs.delete(status.getPath(), True)
+        if not self._fs.rename(new, self._path(f"{self.folder}/CURRENT-{number + 1:012d}")):
+            raise StoreError("another writer has replaced the table")
+        for name in [n for n in self._names("v-") if n not in (version, last)] + self._names("CURRENT-")[:-2]:
+            self._fs.delete(self._path(f"{self.folder}/{name}"), True)
 
     def append(self, rows: DataFrame) -> None:
         version = self.version()
