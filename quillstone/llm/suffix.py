@@ -110,7 +110,7 @@ def count_anchors(documents: DataFrame) -> DataFrame:
     """anchor, n: how often each anchor fingerprint occurs, summed within tasks first."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in G.batches(frames, limit=1 << 23):
+        for _, texts in G.batches(frames):
             every, n = np.unique(anchors(texts)[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(every.view(np.int64)), pa.array(n)], ["anchor", "n"])
 
