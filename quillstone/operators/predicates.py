@@ -108,7 +108,7 @@ class Tags:
         return reduce(Column.__and__, parts) if parts else None
 
     def tags_of(self, folder: str | Column) -> Column:
-        """The sorted tags whose folders a folder label matches, by its first component, in any case of letters kept apart."""
+        """The sorted tags whose folders a folder label matches, by its first component; case counts."""
         first = F.split(F.regexp_replace(F.col(folder) if isinstance(folder, str) else folder, r"[\\/]+", "/"), "/")[0]
         hits = [F.when(reduce(Column.__or__, (F.like(first, F.lit(like_pattern(s.replace("\\", "/").split("/")[0])), F.lit(ESCAPE)) for s in specs)), F.lit(tag)) for tag, specs in sorted(self.tags.items()) if specs]
         return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
