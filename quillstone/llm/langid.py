@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _grams as G
-from ._labels import LONGEST, held_out
+from ._labels import LONGEST, held_out, in_share
 
 ORDERS = (5, 4, 3, 2, 1)
 #: Labelled documents that are learned from at most; words and n-grams of each order kept at most.
@@ -167,7 +167,7 @@ def predict(model: Model, texts: G.Texts, letters: np.ndarray) -> tuple[list[str
 def fit_on(documents: DataFrame) -> Model:
     """From the sample's documents that aren't held out and have a language; chosen by hash."""
     rows = documents.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out() & (F.octet_length("text") <= LONGEST))
-    chosen = rows.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(SAMPLE)
+    chosen = rows.where(in_share(F.xxhash64("doc_id", "text"), SAMPLE, rows.count()))
     return fit(sorted((bytes(r[0]), r[1]) for r in chosen.select(F.col("text").cast("binary"), "lang").collect()))
 
 
