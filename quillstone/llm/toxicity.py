@@ -37,7 +37,7 @@ WIDEST = 512
 #: Gains beyond these count as these.
 LOWEST, HIGHEST = -2, 10
 REJECT_AT = 0.7
-SAMPLE = {1: 3000, 0: 6000}
+SAMPLE = {1: 2000, 0: 4000}
 
 
 @dataclass(frozen=True)
