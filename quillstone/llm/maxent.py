@@ -29,8 +29,8 @@ from ._tables import settled
 
 #: Tokens whose counts are broadcast; classes, the last of which are for all other tokens.
 FREQUENT, CLASSES, TAIL = 1 << 17, 32, 8
-#: Hashed feature rows, features a token, positions between two that make a gradient, tokens a step.
-ROWS, FEATURES, STRIDE, STEP = 1 << 15, 4, 8, 1024
+#: Hashed feature rows, features a token, tokens a step.
+ROWS, FEATURES, STEP = 1 << 15, 4, 1024
 ROUNDS, RATE = 2, 0.3
 #: Slices in which workers return their weights; fewest workers (more on a larger cluster, up to MOST).
 SLICES, WORKERS, MOST = 16, 16, 1024
@@ -168,20 +168,20 @@ def _softmax(model: Model, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def train_part(model: Model, parts: Iterator[G.Texts]) -> tuple[np.ndarray, int]:
-    """The weights after gradient steps over some texts, and the number of tokens that made one."""
+    """The weights after gradient steps over every token of some texts, and the number of tokens."""
     weights, scale, seen = model.weights.copy(), np.full(ROWS, 1.0, np.float32), 0
     for texts in parts:
         tokens, at = stream(texts)
-        chosen = np.arange(int(tokens[0] % G.U(STRIDE)) if len(tokens) else 0, len(tokens), STRIDE)
-        target = known(model, tokens[chosen])[0]
-        rows = features(tokens, at, chosen)
-        for i in range(0, len(chosen), STEP):
-            some = rows[i : i + STEP]
+        target = known(model, tokens)[0]
+        for i in range(0, len(tokens), STEP):
+            some = features(tokens, at, np.arange(i, min(len(tokens), i + STEP)))
             wrong = _softmax(model, weights, some)
             wrong[np.arange(len(some)), target[i : i + STEP]] -= 1
             flat = some.ravel()
             order = np.argsort(flat, kind="stable")
-            places, first = np.unique(flat[order], return_index=True)
+            ranked = flat[order]
+            first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+            places = ranked[first]
             slope = np.add.reduceat(wrong[order // FEATURES], first, 0)
             scale[places] += (slope * slope).sum(1)
             weights[places] -= RATE / np.sqrt(scale[places])[:, None] * slope

@@ -346,6 +346,18 @@ def test_maxent_is_a_distribution_and_learns(spark, monkeypatch):
     assert after > before
 
 
+def test_maxent_learns_from_every_position():
+    texts = G.texts_of(pa.array(["", "a b", "c", None, "d e f g h i j k l m", "a b"]))
+    tokens, at = maxent.stream(texts)
+    order = np.unique(tokens)
+    model = maxent.Model(order, np.ones(len(order), np.int64), np.arange(len(order), dtype=np.int32), np.zeros(maxent.CLASSES), np.zeros(maxent.CLASSES, np.float32), len(tokens), len(order), np.zeros((maxent.ROWS, maxent.CLASSES), np.float32))
+    weights, seen = maxent.train_part(model, iter([texts]))
+    assert seen == len(tokens) == 21
+    rows, target = maxent.features(tokens, at, np.arange(len(tokens))), maxent.known(model, tokens)[0]
+    gained = weights[rows].sum(1)[np.arange(len(tokens)), target]
+    assert (gained > 0).all()
+
+
 # 7 and 10
 
 
