@@ -41,13 +41,13 @@ def idf(n_docs: Column, df: Column) -> Column:
     return F.log(1 + (n_docs - df + 0.5) / (df + 0.5))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, k: int, filter_sql: str | None = None, table: DataFrame | None = None, stats: DataFrame | None = None, k1: float = K1, b: float = B, id_column: str = "chunk_id") -> DataFrame:
+def bm25(chunks: DataFrame, queries: DataFrame, k: int, filter_sql: str | None = None, table: DataFrame | None = None, stats: DataFrame | None = None, k1: float = K1, b: float = B, id_column: str = "chunk_id", allowed: DataFrame | None = None) -> DataFrame:
     """query_id, id, lexical_score, lexical_rank (from 0) of the k best chunks that hold any query term.
 
     `queries` has query_id and query. Query terms are distinct; statistics are those of the whole
-    corpus, the filter only chooses candidates. Without a materialised table of postings, only the
-    query's terms are taken from the chunks. `stats` has one row, so it is broadcast; the postings
-    meet the query terms by term.
+    corpus; the filter, and the ids in `allowed`, only choose candidates, before the ranking.
+    Without a materialised table of postings, only the query's terms are taken from the chunks.
+    `stats` has one row, so it is broadcast; the postings meet the query terms by term.
     """
     if k <= 0:
         raise QueryError("the number of results must be positive")
@@ -62,5 +62,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int, filter_sql: str | None =
     found = hits.groupBy("query_id", id_column).agg(F.sum(part).alias("lexical_score"))
     if filter_sql is not None:
         found = found.join(where(chunks, filter_sql).select(id_column), id_column, "left_semi")
+    if allowed is not None:
+        found = found.join(allowed.select(id_column), id_column, "left_semi")
     by = Window.partitionBy("query_id").orderBy(F.round("lexical_score", ORDER_DIGITS).desc(), id_column)
     return found.withColumn("lexical_rank", F.row_number().over(by) - 1).where(F.col("lexical_rank") < k)

@@ -183,9 +183,7 @@ def _parts(spark: SparkSession, sf_dir: str, depth: int = 40) -> tuple[DataFrame
     ids = vectors_of(spark, sf_dir).join(chunks.select("chunk_id"), "chunk_id", "left_semi")
     near = dense.topk(ids, vector_queries(spark, sf_dir, "vec_id < 5"), depth).select("query_id", "chunk_id", "dense_distance", "dense_rank", "score")
     table_ = lexical.postings(chunks)
-    words = lexical.bm25(chunks, text_queries(spark, sf_dir), depth * 1000, table=table_).join(ids.select("chunk_id"), "chunk_id", "left_semi")
-    by = Window.partitionBy("query_id").orderBy(F.round("lexical_score", 9).desc(), "chunk_id")
-    words = words.withColumn("lexical_rank", F.row_number().over(by) - 1).where(F.col("lexical_rank") < depth)
+    words = lexical.bm25(chunks, text_queries(spark, sf_dir), depth, table=table_, allowed=ids)
     return near, words.select("query_id", "chunk_id", "lexical_score", "lexical_rank")
 
 

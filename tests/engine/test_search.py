@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from quillstone import queries
 from quillstone.functions import vectors as V
 from quillstone.operators import dense, diversity, evaluation, expansion, fusion, lexical, predicates, sampling
 from quillstone.plans.search import Options, search
@@ -76,6 +77,17 @@ def test_lexical(spark, chunks):
     assert lexical.bm25(chunks, ask(spark), 5, "chunk_kind = 'table'").count() == 0
 
 
+def test_documents_without_a_vector_do_not_crowd_out_lexical_candidates(spark, tmp_path):
+    documents = [(i, "alpha", "en", "s", 5) for i in range(1100)] + [(2000 + i, "alpha " + "beta " * (9 + i), "en", "s", 60) for i in range(3)]
+    spark.createDataFrame(documents, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    vectors = [(i, [1.0, float(i)], i) for i in (2000, 2001, 2002, 5000)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label long").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(0, "alpha")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for depth, best in ((1, [(2000, 0)]), (2, [(2000, 0), (2001, 1)])):
+        words = queries._parts(spark, str(tmp_path), depth)[1]
+        assert found(words.orderBy("lexical_rank"), "chunk_id", "lexical_rank") == best
+
+
 def lists(spark):
     d = spark.createDataFrame([(0, "d1", 0.1, 0, 0.9), (0, "d2", 0.15, 1, 0.85)], "query_id int, chunk_id string, dense_distance double, dense_rank int, score double")
     x = spark.createDataFrame([(0, "d3", 25.0, 0), (0, "d1", 20.0, 1)], "query_id int, chunk_id string, lexical_score double, lexical_rank int")
