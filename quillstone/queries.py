@@ -445,6 +445,12 @@ def repeated_across_sources(spark, sf_dir):
     return sampling.only_in_one(d, F.lower(F.substring("text", 1, 60)), "source").select("doc_id", "source")
 
 
+@query()
+def repeated_across_sources_whole(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return sampling.only_in_one(d, X.dedup_key(F.col("text")), "source").select("doc_id", "source")
+
+
 STRIDE_SQL = """WITH p AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents)
 SELECT doc_id, source FROM p WHERE n <= 7 OR i IN (SELECT floor(n * (2 * j + 1) / 14.0) FROM range(7) r(j))"""
 

@@ -263,3 +263,10 @@ def test_sampling(spark):
     assert dict(found(sampling.allocate(sizes, "g", "n", 40, 8), "g", "wanted")) == {"big": 26, "mid": 9, "small": 5}
     k = spark.createDataFrame([("x", "A"), ("x", "A"), ("y", "A"), ("y", "B")], "k string, g string")
     assert sampling.only_in_one(k, F.col("k"), "g").count() == 2
+
+
+def test_repeats_across_sources_are_of_whole_texts(spark, tmp_path):
+    head = "licence " * 10
+    rows = [(1, "a", head + "one"), (2, "b", head + "two"), (3, "a", "Same, text!"), (4, "b", "same  text"), (5, "a", "twice"), (6, "a", "twice"), (7, "a", None)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(found(queries.QUERIES["repeated_across_sources_whole"](spark, str(tmp_path)), "doc_id")) == [(1,), (2,), (5,), (6,)]
