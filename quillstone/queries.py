@@ -349,9 +349,9 @@ def folder_tags(spark, sf_dir):
 
 # Presentation
 
-def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long documents as results of one query."""
-    c = chunks_of(spark, sf_dir).where("n_chars > 3000")
+def _hits(spark: SparkSession, sf_dir: str, condition: str = "n_chars > 3000") -> DataFrame:
+    """Documents (long ones, unless told otherwise) as results of one query."""
+    c = chunks_of(spark, sf_dir).where(condition)
     path = F.concat(F.lit("root/"), "author", F.lit("/Part "), F.pmod("chunk_id", F.lit(12)).cast("string"), F.lit(".md"))
     return c.select(F.lit(0).alias("query_id"), "chunk_id", "author", path.alias("file_path"), F.col("chunk_id").alias("chunk_index"), F.col("n_chars").cast("double").alias("score"), X.folder_of(path, archive_root="root").alias("folder"))
 
@@ -378,6 +378,22 @@ def document_position(spark, sf_dir):
     return placed.select("chunk_id", F.col("document_index").cast("int").alias("document_index"), F.col("document_total").cast("int").alias("document_total"))
 
 
+@query()
+def folder_rows_all(spark, sf_dir):
+    return grouping.folder_rows(_hits(spark, sf_dir, "TRUE"))
+
+
+@query()
+def group_by_folder_order_all(spark, sf_dir):
+    return grouping.grouped_order(_hits(spark, sf_dir, "TRUE")).select("chunk_id", "folder", F.col("position").cast("int").alias("position"))
+
+
+@query()
+def document_position_all(spark, sf_dir):
+    placed = grouping.document_places(grouping.grouped_order(_hits(spark, sf_dir, "TRUE")))
+    return placed.select("chunk_id", F.col("document_index").cast("int").alias("document_index"), F.col("document_total").cast("int").alias("document_total"))
+
+
 @query("SELECT doc_id AS chunk_id, (row_number() OVER (ORDER BY doc_id % 12, doc_id // 12 % 30, doc_id) - 1)::INT AS place FROM documents")
 def natural_order(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"))
@@ -424,6 +440,12 @@ def numeric_token_filter(spark, sf_dir):
     return d.select("doc_id", F.array_join(X.numeric_tokens(F.split("text", " "), F.array(F.lit("1"))), " ").alias("kept"))
 
 
+@query()
+def numeric_token_filter_all(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.array_join(X.numeric_tokens(F.split("text", " "), F.array(F.lit("1"))), " ").alias("kept"))
+
+
 @query("SELECT doc_id, CASE WHEN lang = 'en' THEN 'title: ' || source || ' | text: ' || text ELSE 'title: none | text: ' || text END AS prompt FROM documents")
 def document_template(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
@@ -436,6 +458,11 @@ def excerpt_cap(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", short.alias("short"), F.when(short, X.cap(F.col("text"))).alias("t"))
 
 
+@query()
+def excerpt_cap_all(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.cap(F.col("text")).alias("t"))
+
+
 # Sampling and composition
 
 @query(r"""WITH k AS (SELECT doc_id, source, lower(text[1:60]) AS k FROM documents), s AS (SELECT k FROM k GROUP BY k HAVING count(DISTINCT source) = 1)

@@ -270,3 +270,18 @@ def test_repeats_across_sources_are_of_whole_texts(spark, tmp_path):
     rows = [(1, "a", head + "one"), (2, "b", head + "two"), (3, "a", "Same, text!"), (4, "b", "same  text"), (5, "a", "twice"), (6, "a", "twice"), (7, "a", None)]
     spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(found(queries.QUERIES["repeated_across_sources_whole"](spark, str(tmp_path)), "doc_id")) == [(1,), (2,), (5,), (6,)]
+
+
+def test_whole_table_queries_work_on_numbers_long_and_short_texts(spark, tmp_path):
+    texts = {1: "a 1 (1) 12 x1 1. b", 2: "7 8", 3: "plain words", 4: "", 5: None, 6: "word " * 200, 7: "x" * 300 + ". " + "y " * 200, 8: "z" * 500}
+    rows = [(i, t, "en", "s" if i < 7 else "t", None if t is None else len(t)) for i, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name, *columns: found(queries.QUERIES[name](spark, str(tmp_path)), *columns)
+    kept = dict(run("numeric_token_filter_all", "doc_id", "kept"))
+    assert {i: kept[i] for i in (1, 2, 3, 4, 5)} == {1: "a 1 (1) 1. b", 2: None, 3: "plain words", 4: "", 5: None} and len(kept) == 8
+    capped = dict(run("excerpt_cap_all", "doc_id", "t"))
+    assert capped == texts | {6: ("word " * 100).strip(), 7: "x" * 300 + "."}
+    assert sorted(run("folder_rows_all", "folder", "hits", "documents")) == [("s", 6, 6), ("t", 2, 2)]
+    order = sorted((position, chunk) for chunk, position in run("group_by_folder_order_all", "chunk_id", "position"))
+    assert order == list(enumerate([1, 2, 3, 4, 5, 6, 7, 8]))
+    assert sorted(run("document_position_all", "chunk_id", "document_index", "document_total")) == [(i, i, 6) for i in range(1, 7)] + [(7, 1, 2), (8, 2, 2)]
