@@ -114,6 +114,14 @@ def dense_cells_all_probed(spark, sf_dir):
     return _shown(dense.search_cells(celled, centres, vector_queries(spark, sf_dir), 10, nprobes=8))
 
 
+EVERY_FIFTIETH = "{} % 50 = 0"
+
+
+@query()
+def dense_topk_cosine_all(spark, sf_dir):
+    return _shown(dense.topk(vectors_of(spark, sf_dir), vector_queries(spark, sf_dir, EVERY_FIFTIETH.format("vec_id")), 10))
+
+
 # Lexical retrieval
 
 TERMS = r"regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}]+')"
@@ -149,6 +157,11 @@ def lexical_filtered(spark, sf_dir):
     return _lexical(lexical.bm25(chunks_of(spark, sf_dir), text_queries(spark, sf_dir), 10, "author IN ('src1', 'src2')"))
 
 
+@query()
+def lexical_bm25_all(spark, sf_dir):
+    return _lexical(lexical.bm25(chunks_of(spark, sf_dir), text_queries(spark, sf_dir, EVERY_FIFTIETH.format("item_id")), 10))
+
+
 @query("SELECT 0::BIGINT AS query_id, doc_id AS chunk_id, 0.0::DOUBLE AS lexical_score, 0 AS lexical_rank FROM documents WHERE FALSE")
 def lexical_unknown_term(spark, sf_dir):
     asked = spark.createDataFrame([(0, "qqxxyyzzq?! --")], "query_id long, query string")
@@ -514,6 +527,14 @@ def recall_at_k(spark, sf_dir):
     return evaluation.recall_at_k(found, relevant, 10).select("query_id", F.round("recall", 6).alias("recall"))
 
 
+@query()
+def recall_at_k_all(spark, sf_dir):
+    asked = text_queries(spark, sf_dir, EVERY_FIFTIETH.format("item_id"))
+    found = lexical.bm25(chunks_of(spark, sf_dir), asked, 10).withColumn("rank", F.col("lexical_rank"))
+    judged = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("chunk_id"))
+    return evaluation.recall_at_k(found, judged.crossJoin(asked.select("query_id")), 10).select("query_id", F.round("recall", 6).alias("recall"))
+
+
 STOPS = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
 SUBJECT = "SELECT DISTINCT {id} AS i, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) >= 3 AND w NOT IN ({stops}))) AS term FROM {t}"
 IDF_SQL = f"""t AS ({SUBJECT.format(id='doc_id', stops=STOPS, t='documents')}),

@@ -285,3 +285,16 @@ def test_whole_table_queries_work_on_numbers_long_and_short_texts(spark, tmp_pat
     order = sorted((position, chunk) for chunk, position in run("group_by_folder_order_all", "chunk_id", "position"))
     assert order == list(enumerate([1, 2, 3, 4, 5, 6, 7, 8]))
     assert sorted(run("document_position_all", "chunk_id", "document_index", "document_total")) == [(i, i, 6) for i in range(1, 7)] + [(7, 1, 2), (8, 2, 2)]
+
+
+def test_every_fiftieth_row_is_a_query(spark, tmp_path):
+    documents = [(i, "alpha" if i == 100 else "beta" if i == 200 else "gamma", "en", "s", 5) for i in range(0, 250, 10)]
+    spark.createDataFrame(documents, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, [1.0, float(i)], i) for i in range(0, 250, 10)], "vec_id long, embedding array<float>, label long").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(0, "alpha"), (7, "gamma"), (50, "beta"), (100, "alpha beta")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(100, 1), (200, 1), (110, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    run = lambda name, *columns: sorted(found(queries.QUERIES[name](spark, str(tmp_path)), *columns))
+    nearest = run("dense_topk_cosine_all", "query_id", "dense_rank")
+    assert nearest == [(q, k) for q in (0, 50, 100, 150, 200) for k in range(10)]
+    assert run("lexical_bm25_all", "query_id", "chunk_id") == [(0, 100), (50, 200), (100, 100), (100, 200)]
+    assert run("recall_at_k_all", "query_id", "recall") == [(0, 0.5), (50, 0.5), (100, 1.0)]
