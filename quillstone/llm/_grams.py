@@ -6,32 +6,59 @@ their offsets. Nothing here loops over characters or words in Python.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Fingerprints are polynomials modulo a prime, so that no family of texts collides by its structure.
+PRIME = (1 << 61) - 1
+_BASE = 0x1E3779B97F4A7C15 % PRIME
+_INVERSE = pow(_BASE, -1, PRIME)
+_P, _LOW32, _LOW29 = U(PRIME), U(0xFFFFFFFF), U((1 << 29) - 1)
 #: Words are maximal runs of bytes that are not U+0020 or U+0009 to U+000D.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Bytes of whole documents that are worked on at a time (a longer document is alone).
-CHUNK = 1 << 20
+CHUNK = 1 << 19
+#: Powers are kept for so many places; later places take the power of their segment in addition.
+SEGMENT = 1 << 19
+#: Places that are worked on at a time, so that what is between stays in a core's cache; it divides a segment.
+_RUN = 1 << 13
 
-_tables: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 
+def _fold(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime."""
+    x = (x & _P) + (x >> U(61))
+    return np.minimum(x, x - _P)
 
-def _powers(n: int) -> list[np.ndarray]:
-    if len(_tables[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for i, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(size, base, U)
-            steps[0] = 1
-            _tables[i] = np.cumprod(steps, dtype=U)
-    return _tables
+
+def _times(a: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """a times (high * 2^32 + low) modulo the prime; all below the prime."""
+    ah, al = a >> U(32), a & _LOW32
+    middle = ah * low + al * high
+    last = al * low
+    return _fold(((ah * high) << U(3)) + (middle >> U(29)) + ((middle & _LOW29) << U(32)) + (last & _P) + (last >> U(61)))
+
+
+def _halves(x: int | np.ndarray) -> tuple:
+    return (U(x >> 32), U(x & 0xFFFFFFFF)) if isinstance(x, int) else (x >> U(32), x & _LOW32)
+
+
+@cache
+def _powers(base: int) -> tuple[np.ndarray, np.ndarray]:
+    """The halves of the first `SEGMENT` powers."""
+    out = np.ones(SEGMENT, U)
+    n = 1
+    while n < SEGMENT:
+        out[n : 2 * n] = _times(out[:n], *_halves(pow(base, n, PRIME)))
+        n *= 2
+    high, low = _halves(out)
+    return high.astype(np.uint32), low.astype(np.uint32)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -53,16 +80,44 @@ class Texts:
 
     @property
     def prefix(self) -> np.ndarray:
+        """The polynomials of the bytes before each place, modulo the prime."""
         if self._prefix is None:
-            power = _powers(len(self.data) + 1)[0]
-            self._prefix = np.zeros(len(self.data) + 1, U)
-            np.cumsum((self.data.astype(U) + U(1)) * power[: len(self.data)], out=self._prefix[1:])
+            n = len(self.data)
+            out, carry = np.zeros(n + 1, U), 0
+            high, low = _powers(_BASE)
+            for a in range(0, n, _RUN):
+                part, at = self.data[a : a + _RUN].astype(U), a % SEGMENT
+                part += U(1)
+                upper, lower = np.cumsum(part * high[at : at + len(part)]), np.cumsum(part * low[at : at + len(part)])
+                lower += upper >> U(29)
+                upper &= _LOW29
+                upper <<= U(32)
+                here = _fold(upper + lower)
+                if a >= SEGMENT:
+                    here = _times(here, *_halves(pow(_BASE, a - at, PRIME)))
+                here += U(carry)
+                out[a + 1 : a + 1 + len(part)] = here = _fold(here)
+                carry = int(here[-1])
+            self._prefix = out
         return self._prefix
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """64-bit fingerprints of the byte ranges; equal bytes have equal ones at any place."""
-        p, inverse = self.prefix, _powers(len(self.data) + 1)[1]
-        return mix((p[ends] - p[starts]) * inverse[starts] ^ (ends - starts).astype(U) << U(48))
+        """64-bit fingerprints of the byte ranges; equal bytes have equal ones at any place.
+
+        Unequal ranges of n bytes agree with a probability of about n / 2^61.
+        """
+        p, n = self.prefix, len(self.data)
+        high, low = _powers(_INVERSE)
+        far = np.array([pow(_INVERSE, k, PRIME) for k in range(0, n + 1, SEGMENT)], U) if n > SEGMENT else None
+        found = np.empty(len(starts), U)
+        for i in range(0, len(starts), _RUN):
+            a, b = starts[i : i + _RUN], ends[i : i + _RUN]
+            place = a % SEGMENT
+            out = _times(_fold(p[b] + (_P - p[a])), high[place], low[place])
+            if far is not None:
+                out = _times(out, *_halves(far[a // SEGMENT]))
+            found[i : i + _RUN] = mix(out + (b - a).astype(U) * U(0x9E3779B97F4A7C15))
+        return found
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of the words, and n + 1 offsets of each document's words in them."""
@@ -81,6 +136,25 @@ class Texts:
         return span_sums(flags, self.offs)
 
 
+def windows_of_32(data: np.ndarray) -> np.ndarray:
+    """64-bit fingerprints of every 32 bytes in a row, from those of 8 and 16."""
+    n = len(data) - 31
+    if n <= 0:
+        return np.zeros(0, U)
+    data = np.ascontiguousarray(data)
+    eight = np.empty(n + 24, U)
+    for k in range(8):
+        count = len(eight[k::8])
+        eight[k::8] = data[k : k + 8 * count].view("<u8")
+    eight *= U(0x9E3779B97F4A7C15)
+    eight ^= eight >> U(29)
+    pair = eight[:-8] * U(0xC2B2AE3D27D4EB4F) + eight[8:]
+    pair ^= pair >> U(32)
+    pair *= U(0x165667B19E3779F9)
+    pair ^= pair >> U(29)
+    return mix(pair[:-16] * U(0xD6E8FEB86659FD93) + pair[16:])
+
+
 def span_sums(values: np.ndarray, offs: np.ndarray) -> np.ndarray:
     kind = np.float64 if values.dtype.kind == "f" else np.int64
     total = np.zeros(len(values) + 1, kind)
@@ -130,8 +204,18 @@ def pieces(texts: Texts, limit: int = CHUNK) -> Iterator[tuple[int, int, Texts]]
         i = j
 
 
+def trim() -> None:
+    """Gives free memory back to the system at the end of a task; else idle Python workers keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def batches(frames: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, Texts]]:
     """Slices of the record batches with their texts, each of bounded size."""
     for frame in frames:
         for i, j, part in pieces(texts_of(frame.column(frame.schema.get_field_index(column))), limit):
             yield frame.slice(i, j - i), part
+    trim()

@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from ._tables import settled
 
 
-def components(edges: DataFrame, most: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node of the component of each node that has an edge (columns a, b).
 
     Each round replaces edges by edges to smaller nodes and is kept in the checkpoint folder, so
-    a lost executor costs one round at most. Rounds grow with the logarithm of the diameter.
+    a lost executor costs one round at most. Rounds go on until nothing changes; they grow with
+    the logarithm of the diameter.
     """
     now = settled(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
-    for _ in range(most):
+    while True:
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()

@@ -11,8 +11,10 @@ block pair the number of linked documents and one edge. A pair is only counted a
 the first band that it shares.
 
 Defined results: words are `[^\\x20\\x09-\\x0D]+`; a text of fewer words than a shingle has one
-shingle of all its words; all texts without a word (null too) are one class; rows with equal ids
-and texts are copies of each other; rows with a null id link with equal sets only.
+shingle of all its words; all texts without a word (null too) are one class; every row is a
+document of its own, whether its id is null, repeated or unique: repeated rows are copies of each
+other, and rows with equal ids but other texts are compared like any others; a class whose ids are
+all null has the class id null.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import _grams as G
 from ._tables import settled
@@ -87,31 +90,36 @@ def bands_of(signature: np.ndarray) -> np.ndarray:
     return h.astype(np.int64)
 
 
-def signatures(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, node, bands (none for a text without a word)."""
+def keyed(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, _key, text: rows with equal ids and texts have equal keys."""
+    return documents.select(F.col(key).alias("doc_id"), F.xxhash64(key, text).alias("_key"), F.col(text).alias("text"))
+
+
+def signatures(rows: DataFrame) -> DataFrame:
+    """doc_id, _key, node, bands (none for a text without a word) of the rows of `keyed`."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in G.batches(frames, text):
+        for part, texts in G.batches(frames):
             nodes, bands = [], []
             for s in sets(texts):
                 nodes.append(node_of(s))
                 bands.append(bands_of(minhash(s)) if len(s) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], [key, "node", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "_key", "node", "bands"])
 
-    return documents.select(key, text).mapInArrow(run, f"{key} {documents.schema[key].dataType.simpleString()}, node long, bands array<long>")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, _key long, node long, bands array<long>")
 
 
 def payloads(candidates: DataFrame) -> DataFrame:
-    """node, copies, leads, signature, shingles, from node, copies, leads, text; a text of another node is dropped."""
+    """node, copies, leads, times, signature, shingles, from node, copies, leads, times, text; a text of another node is dropped."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in G.batches(frames):
             nodes = part.column(0).to_pylist()
             found = [(i, s) for i, s in enumerate(sets(texts)) if len(s) and node_of(s) == nodes[i]]
             kept = part.take(pa.array([i for i, _ in found], pa.int64()))
-            yield pa.RecordBatch.from_arrays([*kept.columns[:3], pa.array([minhash(s).tobytes() for _, s in found], pa.binary()), pa.array([s.tobytes() for _, s in found], pa.binary())], ["node", "copies", "leads", "signature", "shingles"])
+            yield pa.RecordBatch.from_arrays([*kept.columns[:4], pa.array([minhash(s).tobytes() for _, s in found], pa.binary()), pa.array([s.tobytes() for _, s in found], pa.binary())], ["node", "copies", "leads", "times", "signature", "shingles"])
 
-    return candidates.select("node", "copies", "leads", "text").mapInArrow(run, "node long, copies long, leads array<struct<band:int,leader:long>>, signature binary, shingles binary")
+    return candidates.select("node", "copies", "leads", "times", "text").mapInArrow(run, "node long, copies long, leads array<struct<band:int,leader:long>>, times long, signature binary, shingles binary")
 
 
 def compare(nodes: np.ndarray, copies: np.ndarray, leads: np.ndarray, signature: np.ndarray, shingles: list[np.ndarray], leader: int, sides: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -195,6 +203,7 @@ def meetings(cells: DataFrame) -> DataFrame:
                 held.append(row)
         if held:
             yield from meet(held)
+        G.trim()
 
     return cells.mapInArrow(run, "node long, other long, links long")
 
@@ -217,38 +226,54 @@ def meet(rows: list[dict]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes[found]), pa.array(other[found]), pa.array(links[found])], ["node", "other", "links"])
 
 
-def links(documents: DataFrame, marked: DataFrame, block: int = BLOCK) -> DataFrame:
-    """node, other, links: partial counts of linked documents and spanning edges, of the nodes of `signatures`."""
-    nodes = settled(marked.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bands").alias("bands")))
+def links(rows: DataFrame, marked: DataFrame, block: int = BLOCK) -> DataFrame:
+    """node, other, links: partial counts of linked documents and spanning edges, of the nodes of `signatures`.
+
+    A node's text is that of the row of its smallest key; where that row is repeated, one is taken.
+    """
+    nodes = settled(marked.groupBy("node").agg(F.min("_key").alias("_key"), F.count("*").alias("copies"), F.first("bands").alias("bands")))
     spread = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     leaders = spread.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
     met = spread.join(leaders, "bucket").groupBy("node").agg(F.collect_list(F.struct("band", "leader")).alias("leads"))
-    candidates = nodes.where("doc_id IS NOT NULL").join(met, "node").select("node", "doc_id", "copies", "leads")
-    rows = settled(payloads(documents.select("doc_id", "text").join(candidates, "doc_id")))
-    at = rows.select("*", F.explode(F.array_distinct("leads.leader")).alias("leader"))
-    blocks = rows.select(F.explode(F.array_distinct("leads.leader")).alias("leader")).groupBy("leader").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
+    candidates = settled(nodes.join(met, "node").select("node", "_key", "copies", "leads"))
+    times = marked.select("_key").join(candidates.where("copies > 1").select("_key"), "_key").groupBy("_key").agg(F.count("*").alias("times"))
+    candidates = candidates.join(times, "_key", "left").withColumn("times", F.coalesce("times", F.lit(1)).cast("long"))
+    held = settled(payloads(rows.select("_key", "text").join(candidates, "_key")))
+    one = ("copies", "leads", "times", "signature", "shingles")
+    held = held.where("times = 1").unionByName(held.where("times > 1").groupBy("node").agg(*(F.first(c).alias(c) for c in one)))
+    at = held.drop("times").select("*", F.explode(F.array_distinct("leads.leader")).alias("leader"))
+    blocks = candidates.select(F.explode(F.array_distinct("leads.leader")).alias("leader")).groupBy("leader").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
+    blocks = settled(blocks)  # so that the next join's large partitions can be split
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     cells = at.join(blocks, "leader").withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("leader", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), (F.col("own") > F.col("with")).cast("int").alias("side"), "node", "copies", "leads", "signature", "shingles")
     return settled(meetings(cells.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")))
 
 
-def join(documents: DataFrame, block: int = BLOCK) -> DataFrame:
-    """doc_id, class_id (the smallest id of the class), n_links (other documents at the threshold or above) of every row."""
-    marked = settled(signatures(documents))
-    found = links(documents, marked, block)
+def classes(documents: DataFrame, block: int = BLOCK) -> DataFrame:
+    """doc_id, _key, class_id, n_links, head of every row: its class's smallest id, and the key of the class's row to keep."""
+    rows = keyed(documents)
+    marked = settled(signatures(rows))
+    found = links(rows, marked, block)
     counted = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
-    nodes = marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "_key"))
+    nodes = marked.groupBy("node").agg(first.alias("least"), F.count("*").alias("copies"))
     nodes = nodes.join(counted, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    heads = nodes.groupBy("root").agg(F.min("least").alias("class_id"))
-    answers = nodes.join(heads, "root").select("node", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return marked.select("doc_id", "node").join(answers, "node").select("doc_id", "class_id", "n_links")
+    heads = nodes.groupBy("root").agg(F.min("least").alias("least"))
+    answers = nodes.drop("least").join(heads, "root").select("node", F.col("least.doc_id").alias("class_id"), F.col("least._key").alias("head"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return marked.select("doc_id", "_key", "node").join(answers, "node").select("doc_id", "_key", "class_id", "n_links", "head")
+
+
+def join(documents: DataFrame, block: int = BLOCK) -> DataFrame:
+    """doc_id, class_id (the smallest id of the class), n_links (other documents at the threshold or above) of every row."""
+    return classes(documents, block).select("doc_id", "class_id", "n_links")
 
 
-def keep_one(documents: DataFrame, classes: DataFrame) -> DataFrame:
-    """The documents without all but one row of each class; rows with a null id stay."""
-    heads = classes.where("doc_id = class_id").select("doc_id").distinct()
-    named = documents.join(heads, "doc_id", "left_semi").select(documents.columns)
-    one = named.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("_n = 1").drop("_n")
-    return one.unionAll(documents.where("doc_id IS NULL"))
+def keep_one(documents: DataFrame, block: int = BLOCK) -> DataFrame:
+    """One row of each class: that of its smallest id (without any id: of the smallest key), and one of equal rows."""
+    heads = classes(documents, block).where("_key = head").groupBy("_key").agg(F.count("*").alias("_times"))
+    rows = documents.select(F.struct("*").alias("_row"), F.xxhash64("doc_id", "text").alias("_key")).join(heads, "_key")
+    others = [F.col(f"_row.{f.name}") for f in documents.schema if f.name not in ("doc_id", "text") and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    repeated = rows.where("_times > 1").withColumn("_n", F.row_number().over(Window.partitionBy("_row.doc_id", "_row.text").orderBy("_key", *others)))
+    return rows.where("_times = 1").select("_row.*").unionAll(repeated.where("_n = 1").select("_row.*"))

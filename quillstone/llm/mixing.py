@@ -9,13 +9,14 @@ task: both the shuffled order and the ranks of slots are prefix sums over small
 
 Defined results: a null text has size 0 and is never taken; a null source is a source of its
 own, last in order; rows with equal ids are separate documents; an empty table gives no rows;
-other columns are ignored. Equal input gives equal output, whatever the partitioning.
+other columns are ignored, and `mixture` keeps them. Equal input gives equal output, whatever the partitioning.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._tables import settled
 
@@ -32,9 +33,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def sized(documents: DataFrame) -> DataFrame:
-    """doc_id, source, size (words of the whole text), and a shuffle key."""
+    """doc_id, source, size (words of the whole text), a shuffle key, and a second hash of id and text."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return documents.select("doc_id", "source", size.alias("size"), F.xxhash64("doc_id", "text").alias("shuffle"))
+    return documents.select("doc_id", "source", size.alias("size"), F.xxhash64("doc_id", "text").alias("shuffle"), F.hash("text", "doc_id").alias("check"))
+
+
+def tag(source: str | Column) -> Column:
+    """The source as a key that isn't null."""
+    source = F.col(source) if isinstance(source, str) else source
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -83,14 +90,13 @@ def schedule(arcs_: DataFrame, n_slots: int) -> DataFrame:
 def streams(sizes: DataFrame, arcs_: DataFrame) -> DataFrame:
     """Each document's first word `at` in its source's shuffled order."""
     key = F.col("shuffle")
-    same = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
-    rows = sizes.withColumn("tag", same).withColumn("piece", F.pmod(F.shiftrightunsigned(key, 40), F.lit(PIECES)))
+    rows = sizes.withColumn("tag", tag("source")).withColumn("piece", F.pmod(F.shiftrightunsigned(key, 40), F.lit(PIECES)))
     sums = rows.groupBy("tag", "piece").agg(F.sum("size").alias("words"))
     before = sums.select("tag", "piece", (F.sum("words").over(Window.partitionBy("tag").orderBy("piece")) - F.col("words")).alias("before"))
-    numbered = arcs_.select(same.alias("tag"), "sid", "source_size", "target")
-    inside = F.sum("size").over(Window.partitionBy("tag", "piece").orderBy("shuffle", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    numbered = arcs_.select(tag("source").alias("tag"), "sid", "source_size", "target")
+    inside = F.sum("size").over(Window.partitionBy("tag", "piece").orderBy("shuffle", "doc_id", "check", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     ahead = before.join(numbered, "tag")
-    return rows.withColumn("inside", inside).join(ahead, ["tag", "piece"]).select("doc_id", "source", "size", "shuffle", "sid", "source_size", "target", (F.col("before") + F.col("inside")).alias("at"))
+    return rows.withColumn("inside", inside).join(ahead, ["tag", "piece"]).select("doc_id", "source", "size", "shuffle", "check", "tag", "sid", "source_size", "target", (F.col("before") + F.col("inside")).alias("at"))
 
 
 def taken(stream: DataFrame, slots: DataFrame, block: int = BLOCK, passes: int = 2) -> DataFrame:
@@ -109,7 +115,7 @@ def taken(stream: DataFrame, slots: DataFrame, block: int = BLOCK, passes: int =
 
 
 def mix(documents: DataFrame, block: int = BLOCK, share: float = 1.5, weights: tuple[int, ...] = (3, 1, 2)) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, starts, shuffle of every document."""
+    """doc_id, source, size, source_size, target, taken, starts, at, tag, shuffle, check of every document."""
     sizes = settled(sized(documents))
     arcs_ = arcs(targets(sizes, weights, share))
     total = arcs_.agg(F.sum("target")).first()[0] or 0.0
@@ -118,11 +124,18 @@ def mix(documents: DataFrame, block: int = BLOCK, share: float = 1.5, weights: t
 
 
 def mixture(documents: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The mix as documents: each is there once for every pass that takes its first word."""
-    turns = mix(documents, block).where("starts > 0").groupBy("shuffle").agg(F.sum("starts").alias("_starts"))
-    rows = documents.withColumn("_row", F.xxhash64("doc_id", "text")).join(turns, F.col("_row") == F.col("shuffle"))
-    one = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_row").orderBy("_row"))).where("_n = 1")
-    return one.select(*documents.columns, F.explode(F.sequence(F.lit(1).cast("long"), "_starts")).alias("_turn")).drop("_turn")
+    """The mix as documents: each row is there once for every pass that takes its first word.
+
+    Rows are told apart by source, id and text; of rows that agree in these, the n-th takes the
+    n-th turn in its source's order, by their other columns.
+    """
+    same = [tag("source").alias("_tag"), F.xxhash64("doc_id", "text").alias("_one"), F.hash("text", "doc_id").alias("_two")]
+    found = mix(documents, block).where("size > 0").select(F.col("tag").alias("_tag"), F.col("shuffle").alias("_one"), F.col("check").alias("_two"), "at", "starts")
+    keys = ["_tag", "_one", "_two"]
+    found = found.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("at"))).where("starts > 0")
+    others = [F.col(f"_row.{f.name}") for f in documents.schema if f.name not in ("doc_id", "text", "source") and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    rows = documents.select(F.struct("*").alias("_row"), *same).withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_one", *others)))
+    return rows.join(found, [*keys, "_n"]).select("_row.*", F.explode(F.sequence(F.lit(1).cast("long"), "starts")).alias("_turn")).drop("_turn")
 
 
 #: Slots beyond the total, so that a source that the sequence serves late still nears its target.

@@ -61,9 +61,8 @@ def anchors(texts: G.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     sizes = np.diff(texts.offs)
     if n < LENGTH or sizes.max(initial=0) < LENGTH:
         return none.astype(G.U), none, none, none
-    starts = np.arange(n - GRAM + 1)
-    prints = texts.hashes(starts, starts + GRAM)
-    keys = (prints >> G.U(PLACE)) << G.U(PLACE) | starts.astype(G.U)
+    prints = G.windows_of_32(texts.data)
+    keys = (prints >> G.U(PLACE)) << G.U(PLACE) | np.arange(len(prints), dtype=G.U)
     # a string never passes its text's end, so grams that do are never its smallest; sliding minima by blocks
     span = LEFT + 1
     rows = -(-len(keys) // span)
@@ -85,11 +84,13 @@ def anchors(texts: G.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return prints[place[new]], place[new], valid[new], last
 
 
-FOUND = "anchor long, context long, row long, place int, lead int, span int"
+#: `extent` is the lead (bytes before the anchor) in the upper half and the span (bytes in all) in the lower.
+FOUND = "anchor long, context long, row long, check int, place int, extent int"
+LEAD, SPAN = "shiftright(extent, 16)", "extent & 65535"
 
 
 def places(documents: DataFrame) -> DataFrame:
-    """`FOUND` for every anchor of the rows (row, text): its neighbourhood's fingerprint, and where that is in the text."""
+    """`FOUND` for every anchor of the rows (row, check, text): its neighbourhood's fingerprint, and where that is in the text."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in G.batches(frames):
@@ -100,10 +101,11 @@ def places(documents: DataFrame) -> DataFrame:
             lead = place - first
             whole = texts.hashes(first, last + LENGTH)
             context = G.mix(whole ^ prints * G.U(0x9E3779B97F4A7C15) + lead.astype(G.U))
-            row = part.column(0).to_numpy()[owner]
-            yield pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), pa.array(context.view(np.int64)), pa.array(row), pa.array((first - texts.offs[owner]).astype(np.int32)), pa.array(lead.astype(np.int32)), pa.array((last + LENGTH - first).astype(np.int32))], [c.split()[0] for c in FOUND.split(", ")])
+            row, check = (part.column(k).to_numpy()[owner] for k in (0, 1))
+            extent = (lead << 16 | last + LENGTH - first).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), pa.array(context.view(np.int64)), pa.array(row), pa.array(check), pa.array((first - texts.offs[owner]).astype(np.int32)), pa.array(extent)], [c.split()[0] for c in FOUND.split(", ")])
 
-    return documents.select("row", "text").mapInArrow(run, FOUND)
+    return documents.select("row", "check", "text").mapInArrow(run, FOUND)
 
 
 def count_anchors(documents: DataFrame) -> DataFrame:
@@ -230,33 +232,35 @@ def sort_buckets(rows: DataFrame, block: int = BLOCK) -> DataFrame:
                 held.append(row)
         if held:
             yield from flush(held)
+        G.trim()
 
     return rows.mapInArrow(run, RESULT)
 
 
 def removals(documents: DataFrame, block: int = BLOCK) -> DataFrame:
-    """row, runs: the repeated bytes (from, to; perhaps overlapping) of the rows (row, text) that have some."""
-    often = count_anchors(documents).where("n > 1").select("anchor")
+    """row, check, runs: the repeated bytes (from, to; perhaps overlapping) of the rows (row, check, text) that have some."""
+    often = settled(count_anchors(documents).where("n > 1").select("anchor"))  # so that the next join's large partitions can be split
     found = settled(places(documents).join(often, "anchor"))
-    contexts = found.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("row", "place", "lead", "span")).alias("one"))
-    contexts = settled(contexts)
+    contexts = settled(found.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("row", "check", "place", "extent")).alias("one")))
     buckets = contexts.groupBy("anchor").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 AND least = 1").select("anchor", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
-    wanted = contexts.join(buckets, "anchor").select("one.row", F.struct("anchor", "context", F.pmod(F.xxhash64("context"), F.col("blocks")).cast("int").alias("block"), "blocks", "one.lead", "one.place", "one.span").alias("w")).groupBy("row").agg(F.collect_list("w").alias("wanted"))
-    pieces = cut(documents.join(wanted, "row"))
+    place = F.struct("anchor", "context", F.pmod(F.xxhash64("context"), F.col("blocks")).cast("int").alias("block"), "blocks", F.expr(LEAD).alias("lead"), "place", F.expr(SPAN).alias("span"))
+    wanted = contexts.select("anchor", "context", "one.*").join(settled(buckets), "anchor").select("row", "check", place.alias("w")).groupBy("row", "check").agg(F.collect_list("w").alias("wanted"))
+    pieces = cut(documents.join(wanted, ["row", "check"]))
     sorted_ = settled(sort_buckets(pieces.repartition("anchor", "block").sortWithinPartitions("anchor", "block"), block))
     strings = sorted_.where("string IS NOT NULL").groupBy("anchor", "column", "string").agg(F.collect_set("context").alias("contexts"), F.count("*").alias("all"))
-    late = strings.where("all > 1").select(F.explode("contexts").alias("context"), "column").join(contexts.select("context", "one.lead"), "context")
+    known = contexts.select("context", "n", "one.extent").select("context", "n", F.expr(LEAD).alias("lead"), F.expr(SPAN).alias("span"))
+    late = strings.where("all > 1").select(F.explode("contexts").alias("context"), "column").join(known, "context")
     start = F.col("column") - (LEFT - F.col("lead"))
     late = late.select("context", F.array(F.struct(start.cast("int").alias("a"), (start + LENGTH).cast("int").alias("b"))).alias("runs"))
-    whole = contexts.where("n > 1").select("context", F.array(F.struct(F.lit(0).alias("a"), F.col("one.span").alias("b"))).alias("runs"))
+    whole = known.where("n > 1").select("context", F.array(F.struct(F.lit(0).alias("a"), F.col("span").alias("b"))).alias("runs"))
     runs = whole.unionAll(sorted_.where("runs IS NOT NULL").select("context", "runs")).unionAll(late)
-    hits = found.join(runs, "context").select("row", F.explode(F.transform("runs", lambda r: F.struct((F.col("place") + r["a"]).alias("a"), (F.col("place") + r["b"]).alias("b")))).alias("run"))
-    return hits.groupBy("row").agg(F.collect_list("run").alias("runs"))
+    hits = found.join(runs, "context").select("row", "check", F.explode(F.transform("runs", lambda r: F.struct((F.col("place") + r["a"]).alias("a"), (F.col("place") + r["b"]).alias("b")))).alias("run"))
+    return hits.groupBy("row", "check").agg(F.collect_list("run").alias("runs"))
 
 
 def keyed(documents: DataFrame) -> DataFrame:
-    """The documents with `row`, equal for equal ids and texts only."""
-    return documents.withColumn("row", F.xxhash64("doc_id", "text"))
+    """doc_id, row, check, text; row and check (96 bits of hashes) are equal for equal ids and texts only."""
+    return documents.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.hash("text", "doc_id").alias("check"), "text")
 
 
 def merged(runs: list[dict] | None) -> tuple[list[int], list[int]]:
@@ -280,8 +284,8 @@ REPORT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 def report(documents: DataFrame) -> DataFrame:
     """doc_id and `REPORT` of every document."""
-    rows = keyed(documents.select("doc_id", "text"))
-    both = rows.join(removals(rows), "row", "left").select("doc_id", "text", "runs")
+    rows = keyed(documents)
+    both = rows.join(removals(rows), ["row", "check"], "left").select("doc_id", "text", "runs")
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
@@ -296,20 +300,20 @@ def report(documents: DataFrame) -> DataFrame:
 
 
 def strip(documents: DataFrame) -> DataFrame:
-    """The documents, with repeated bytes removed from `text` (characters that are cut apart go too) and `n_chars` after that."""
-    rows = keyed(documents)
-    both = rows.join(removals(rows), "row", "left").drop("row")
-    shape = documents.schema
+    """The documents, with repeated bytes removed from `text` (characters that are cut apart go too) and `n_chars` after that.
 
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in frames:
-            where = frame.schema.get_field_index("text")
-            texts = []
-            for text, runs in zip(frame.column(where), frame.column(frame.schema.get_field_index("runs")), strict=True):
-                starts, ends = merged(runs.as_py())
-                texts.append(kept(text.as_py().encode(), starts, ends).decode("utf-8", "ignore") if starts else text.as_py())
-            columns = dict(zip(frame.schema.names, frame.columns, strict=True)) | {"text": pa.array(texts, frame.schema.field(where).type)}
-            yield pa.RecordBatch.from_arrays([columns[f.name] for f in shape], [f.name for f in shape])
-
-    out = both.mapInArrow(run, shape)
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in documents.columns else out
+    Only texts that lose something go to Python; other columns stay on the JVM.
+    """
+    gone = removals(keyed(documents)).withColumnsRenamed({"row": "_one", "check": "_two", "runs": "_runs"})
+    rows = documents.select(F.struct("*").alias("_row"), F.xxhash64("doc_id", "text").alias("_one"), F.hash("text", "doc_id").alias("_two"))
+
+    @F.arrow_udf("string")
+    def without(texts: pa.Array, runs: pa.Array) -> pa.Array:
+        found = (None if text is None else kept(text.encode(), *merged(runs[i].as_py())).decode("utf-8", "ignore") for i, text in enumerate(x.as_py() for x in texts))
+        return pa.array(found, pa.string())
+
+    text = F.col("_row.text")
+    left = F.coalesce(without(F.when(F.col("_runs").isNotNull(), text), F.col("_runs")), text)
+    both = rows.join(gone, ["_one", "_two"], "left").select("_row", left.alias("_left"))
+    new = {"text": F.col("_left")} | ({"n_chars": F.length("_left").cast("long")} if "n_chars" in documents.columns else {})
+    return both.select(*(new.get(c, F.col(f"_row.{c}")).alias(c) for c in documents.columns))

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import _grams as G
 from ._labels import labelled
@@ -29,7 +30,7 @@ WINDOW = 8
 SHARED, OWN = 65536, 4096
 LEVEL = 9
 #: Bytes of the stretches that a class may favour, in how many of its documents' words, and by what ratio.
-GRAM, LEAST, RATE = 5, 4, 20
+GRAM, LEAST, RATE = 5, 3, 20
 #: Follows each window, so that even a window without a match is compressed.
 CARRIER = bytes(64)
 #: A window's text is cut into windows of at most so many bytes where its words are very long.
@@ -178,16 +179,16 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 30
 
 
 def fit(rows: list[tuple[bytes, int]]) -> Model:
-    """Dictionaries from even rows of the sample; odds and curve from the odd ones."""
-    model = dictionaries(rows[::2])
-    odd = rows[1::2]
+    """Odds and curve from the odd rows of the sample under dictionaries of the even ones; then dictionaries of all rows."""
+    full, odd = dictionaries(rows), rows[1::2]
     if len({label for _, label in odd}) < 2:
-        return model
+        return full
+    model = dictionaries(rows[::2])
     texts = G.texts_of(pa.array([t for t, _ in odd], pa.binary()))
     y = np.array([label for _, label in odd], float)
     gains, at = Gains(model)(texts)
     odds = window_odds(gains, np.repeat(y, np.diff(at)))
-    return Model(model.toxic, model.ordinary, tuple(odds.tolist()), tuple(_logistic(evidence(gains, at, odds), y).tolist()))
+    return Model(full.toxic, full.ordinary, tuple(odds.tolist()), tuple(_logistic(evidence(gains, at, odds), y).tolist()))
 
 
 def score(model: Model, gains: Gains, texts: G.Texts) -> np.ndarray:
@@ -211,11 +212,16 @@ def score_texts(documents: DataFrame, model: Model, key: str = "doc_id", text: s
 
 
 def drop_toxic(documents: DataFrame, model: Model, at: float = REJECT_AT) -> DataFrame:
-    """The documents, with all their columns, whose text scores below `at`."""
+    """The documents, with all their columns, whose text scores below `at`.
 
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Only the texts go to Python and only scores come back; the rows stay on the JVM.
+    """
+
+    @F.arrow_udf("double")
+    def scores(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         gains = Gains(model)
-        for part, texts in G.batches(frames):
-            yield part.filter(pa.array(score(model, gains, texts) < at))
+        for column in columns:
+            yield pa.array(np.concatenate([score(model, gains, part) for _, _, part in G.pieces(G.texts_of(column))] or [np.zeros(0)]))
+        G.trim()
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.where(scores("text") < at)

@@ -88,6 +88,32 @@ def test_words_and_shingles_agree_with_a_regular_expression():
     assert len(set(grams.tolist())) == len(set().union(*sets))
 
 
+def test_fingerprints_tell_periodic_texts_apart():
+    morse = "a"
+    for _ in range(12):
+        morse += morse.translate(str.maketrans("ab", "ba"))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    (line,) = rules.measure(G.texts_of(pa.array([f"{morse}\n{other}\n{morse}"])))["n_dup_lines"]
+    assert line == 1
+    low = G.Texts(np.frombuffer((morse + other).encode(), np.uint8), np.array([0, 8192]))
+    assert len(set(low.hashes(np.arange(0, 8192, 1024), np.arange(1024, 8193, 1024)).tolist())) == 2
+
+
+def test_fingerprints_do_not_depend_on_the_segment(monkeypatch):
+    data = np.random.default_rng(3).integers(0, 256, 40_000).astype(np.uint8)
+    starts = np.array([0, 7, 8190, 8192, 30_000, 40_000])
+    ends = np.minimum(starts + 9_000, 40_000)
+    whole = G.Texts(data, np.array([0, len(data)])).hashes(starts, ends)
+    monkeypatch.setattr(G, "SEGMENT", 1 << 13)
+    G._powers.cache_clear()
+    assert (G.Texts(data, np.array([0, len(data)])).hashes(starts, ends) == whole).all()
+    G._powers.cache_clear()
+    power, total = 1, 0
+    for c in data[7:9007].tolist():
+        total, power = (total + (c + 1) * power) % G.PRIME, power * G._BASE % G.PRIME
+    assert whole[1] == G.mix(np.array([(total + 9000 * 0x9E3779B97F4A7C15) % (1 << 64)], np.uint64))[0]
+
+
 # 1
 
 
@@ -149,7 +175,7 @@ def brute_links(rows, threshold=0.8):
     for i in range(n):
         for j in range(i + 1, n):
             a, b = sets[i], sets[j]
-            if a == b or (rows[i][0] is not None and rows[j][0] is not None and len(a & b) >= threshold * len(a | b)):
+            if a == b or len(a & b) >= threshold * len(a | b):
                 links[i] += 1
                 links[j] += 1
                 parent[find(j)] = find(i)
@@ -165,7 +191,7 @@ def test_jaccard_join_equals_all_pairs(spark, docs, block):
     r = random.Random(9)
     base = prose(r, 60).split()
     group = [(1000 + k, " ".join(base[:j] + [f"v{k}"] + base[j + 1 :]), "en", "g", 0) for k in range(24) for j in [k % 7]]
-    rows = [x for x in ROWS if x[0] is not None and x[0] != 60] + group
+    rows = ROWS + group
     frame = spark.createDataFrame(rows, SHAPE).repartition(3)
     assert rows_of(jaccard.join(frame, block), "doc_id", "class_id", "n_links") == sorted(brute_links(rows), key=repr)
 
@@ -174,11 +200,23 @@ def test_jaccard_join_takes_awkward_tables(docs, extra, empty):
     out = jaccard.join(extra)
     assert out.count() == len(ROWS) and out.columns == ["doc_id", "class_id", "n_links"]
     assert jaccard.join(empty).count() == 0
-    kept = jaccard.keep_one(docs, jaccard.join(docs))
+    kept = jaccard.keep_one(docs)
     assert kept.columns == docs.columns
     ids = [r[0] for r in kept.select("doc_id").collect()]
     assert 30 in ids and not {31, 32, 33} & set(ids)
-    assert ids.count(60) == 1 and len([x for x in ids if x in (50, 51, 52, 53)]) == 1
+    assert ids.count(60) == 2 and len([x for x in ids if x in (50, 51, 52, 53)]) == 1 and None not in ids
+    assert jaccard.keep_one(extra).columns == extra.columns and jaccard.keep_one(empty).count() == 0
+
+
+@pytest.mark.parametrize("rows", [[(1, "A"), (1, "A"), (2, "B")], [(None, "A"), (2, "B")], [(None, "A"), (None, "B"), (None, "A")], [(1, "A"), (1, "B"), (1, "C")]])
+def test_jaccard_join_counts_rows(spark, rows):
+    base = prose(random.Random(1), 60).split()
+    texts = {"A": " ".join(base), "B": " ".join([*base, "more"]), "C": prose(random.Random(2), 60)}
+    rows = [(d, texts[t], "en", "s", n) for n, (d, t) in enumerate(rows)]
+    frame = spark.createDataFrame(rows, SHAPE)
+    assert rows_of(jaccard.join(frame), "doc_id", "class_id", "n_links") == sorted(brute_links(rows), key=repr)
+    kept = [r["text"] for r in jaccard.keep_one(frame).collect()]
+    assert len(kept) == len({texts["C"]} & {r[1] for r in rows}) + 1
 
 
 def test_pruning_keeps_pairs_at_the_threshold():
@@ -197,6 +235,13 @@ def test_overlaps_by_products_and_by_pairs_agree():
     assert (jaccard.overlaps(sets, a9, b9)[: len(a)] == jaccard.overlaps(sets, a, b)).all()
 
 
+def test_components_go_on_until_they_are_whole(spark):
+    n = 300
+    order = random.Random(7).sample(range(n), n)
+    found = components.components(spark.createDataFrame(list(zip(order, order[1:])), "a long, b long")).collect()
+    assert len(found) == n and {r["root"] for r in found} == {0}
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, 101), (102, 101), (200, 200)]
     found = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -244,7 +289,8 @@ def test_bpe_round_trip(extra, empty):
         ids = plain.encode_ordinary(text or "")
         expected.append((d, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(raw(text)).hexdigest()))
     assert rows_of(out, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(expected, key=repr)
-    assert bpe.encode_texts(empty, path, public_tokenizers.PATTERN).count() == 0
+    assert bpe.encode_texts(empty, path, public_tokenizers.PATTERN).count() == 0 and bpe.digests(empty, path, public_tokenizers.PATTERN).count() == 0
+    assert rows_of(bpe.digests(extra, path, public_tokenizers.PATTERN), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(expected, key=repr)
 
 
 @pytest.mark.parametrize("text", ["it's  a   test \n\n x\ty " * 40, "né   　 ñ \x1c a" * 60, "nospace" * 90, " " * 300, "a\r\n b " * 100])
@@ -278,7 +324,7 @@ def test_repeats_equal_brute_force(spark, docs, block):
     r = random.Random(11)
     passage = prose(r, 60)
     rows = ROWS + [(2000 + k, f"{prose(r, k % 5 + 1)} {passage[k % 9:]} {prose(r, 6)}", "en", "z", 0) for k in range(20)]
-    frame = suffix.keyed(spark.createDataFrame(rows, SHAPE).select("doc_id", "text").repartition(3))
+    frame = suffix.keyed(spark.createDataFrame(rows, SHAPE).repartition(3))
     found = {x["row"]: suffix.merged(x["runs"]) for x in suffix.removals(frame, block).collect()}
     out = []
     for x in frame.collect():
@@ -292,6 +338,9 @@ def test_repeat_queries(docs, extra, empty):
     columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert rows_of(suffix.report(extra), *columns) == brute_repeats(ROWS, suffix.LENGTH)
     assert suffix.report(empty).count() == 0
+    clashing = suffix.strip(extra)
+    assert clashing.columns == extra.columns and clashing.where("row <> 'clash'").count() == 0
+    assert suffix.strip(empty).count() == 0
     stripped = suffix.strip(docs)
     assert stripped.columns == docs.columns and stripped.count() == len(ROWS)
     assert {r["text"] for r in stripped.where("doc_id IN (30, 31)").collect()} == {""}
@@ -477,6 +526,18 @@ def test_mix(docs, extra, empty):
     again = mixing.mix(docs.repartition(5)).collect()
     assert sorted((repr(r["doc_id"]), r["size"], r["taken"]) for r in again) == sorted((repr(r["doc_id"]), r["size"], r["taken"]) for r in rows)
     assert mixing.mix(empty).count() == 0 and mixing.mixture(docs).columns == docs.columns
+    assert mixing.mixture(extra).columns == extra.columns and mixing.mixture(empty).count() == 0
+
+
+def test_mixture_keeps_equal_texts_of_other_sources_apart(spark):
+    text = "one two three"
+    rows = [(1, text, "en", "s1", 13), (1, text, "de", "s1", 13), (1, text, "en", "s2", 13)]
+    frame = spark.createDataFrame(rows, SHAPE)
+    turns = {(r["source"], r["taken"]): r["starts"] for r in mixing.mix(frame).collect()}
+    got = Counter((r["source"], r["lang"]) for r in mixing.mixture(frame).collect())
+    assert set(got) <= {(r[3], r[2]) for r in rows}
+    assert Counter(k[0] for k in got.elements()) == Counter({s: n for s, n in ((s, sum(r["starts"] for r in mixing.mix(frame).where(f"source = '{s}'").collect())) for s in ("s1", "s2")) if n})
+    assert mixing.mixture(frame.repartition(3)).exceptAll(mixing.mixture(frame)).count() == 0 and turns
 
 
 def test_schedule_is_even(spark):
