@@ -1,60 +1,5 @@
-"""A training corpus from `documents`: filtered, deduplicated, mixed and encoded, stage by stage."""
+"""The pipeline of training-data operators; it belongs to `quillstone.llm`, where its stages are."""
 
-from __future__ import annotations
+from quillstone.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from collections.abc import Callable
-
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-
-from quillstone.llm import bpe, jaccard, mixing, suffix, toxicity
-from quillstone.llm._tables import table, written
-from quillstone.llm.queries import RANKS
-
-Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that score as toxic. Learns from the labels of the table's documents."""
-    return toxicity.drop_toxic(docs, toxicity.fit_on(docs, table(spark, sf_dir, "labels")))
-
-
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each class of near copies; documents without an id stay."""
-    return jaccard.keep_one(docs, jaccard.join(docs))
-
-
-def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the bytes of strings that occur again; a document that loses all of them stays, empty."""
-    return suffix.strip(docs)
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a document is there for every pass over its source that takes its first word (0 to 2 times)."""
-    return mixing.mixture(docs)
-
-
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the ids and of the bytes that they decode to."""
-    path = public_tokenizers.path(RANKS)
-    return bpe.decode_ids(bpe.encode_texts(docs, path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN)
-
-
-STAGES: list[tuple[str, Stage]] = [
-    ("toxicity", drop_toxic),
-    ("ngram_jaccard_join", drop_near_copies),
-    ("suffix_array_dedup", cut_repeats),
-    ("source_mix", mix_sources),
-    ("byte_bpe", encode),
-]
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
-
-
-#: Compression, MinHash and merges are beyond SQL; tests compare the stages with brute force.
-ORACLE_SQL: str | None = None
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
