@@ -23,13 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _grams as G
-from ._labels import LONGEST, held_out, in_share
+from ._labels import LONGEST, held_out
 
 ORDERS = (5, 4, 3, 2, 1)
-#: Labelled documents that are learned from at most; words and n-grams of each order kept at most.
+#: Labelled documents that are learned from at most (but one of each language); words and n-grams of each order kept at most.
 SAMPLE, KEPT = 2000, 60000
-#: Languages kept at most, the commonest of the sample.
-LANGUAGES = 400
 FLOOR = 0.5
 
 
@@ -80,12 +78,8 @@ def grams(low: G.Texts, starts: np.ndarray, ends: np.ndarray, n: int) -> tuple[n
 
 def fit(rows: list[tuple[bytes, str]]) -> Model:
     """From (text, language) rows."""
-    counts: dict[str, int] = {}
-    for _, language in rows:
-        counts[language] = counts.get(language, 0) + 1
-    kept = sorted(sorted(counts, key=lambda x: (-counts[x], x))[:LANGUAGES])
+    kept = sorted({language for _, language in rows})
     place = {x: i for i, x in enumerate(kept)}
-    rows = [r for r in rows if r[1] in place]
     if not kept:
         return Model((), (), ())
     gathered: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in range(1 + len(ORDERS))]
@@ -108,7 +102,8 @@ def fit(rows: list[tuple[bytes, str]]) -> Model:
         table = np.zeros((len(every), len(kept)))
         np.add.at(table, (where, who), n)
         total = table.sum(1)
-        best = np.sort(np.argsort(-total, kind="stable")[:KEPT])
+        rate = (table / np.maximum(1, table.sum(0))).max(1)  # a language with few documents keeps its words too
+        best = np.sort(np.argsort(-rate, kind="stable")[:KEPT])
         best = best[total[best] >= (2 if k < 3 else 1)]
         mass = table.sum(0) + FLOOR * len(every)
         keys.append(every[best])
@@ -164,16 +159,30 @@ def predict(model: Model, texts: G.Texts, letters: np.ndarray) -> tuple[list[str
     return [model.languages[b] if x else "und" for b, x in zip(best, letters, strict=True)], np.where(letters, share, 0.0)
 
 
+def bounds(sizes: dict[str, int], most: int = SAMPLE) -> dict[str, int]:
+    """How many documents of each language are learned from: equal shares, of which small languages leave what they can't fill."""
+    out, left = {}, most
+    for place, language in enumerate(sorted(sizes, key=lambda x: (sizes[x], x))):
+        out[language] = min(sizes[language], max(1, left // (len(sizes) - place)))
+        left -= out[language]
+    return out
+
+
 def fit_on(documents: DataFrame) -> Model:
-    """From the sample's documents that aren't held out and have a language; chosen by hash."""
+    """From a sample, by hash, of each language's documents that aren't held out."""
     rows = documents.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out() & (F.octet_length("text") <= LONGEST))
-    chosen = rows.where(in_share(F.xxhash64("doc_id", "text"), SAMPLE, rows.count()))
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    share = [(language, int((1 << 32) * most / sizes[language])) for language, most in bounds(sizes).items()]
+    if not share:
+        return fit([])
+    taken = documents.sparkSession.createDataFrame(share, "lang string, _share long")  # a row a language
+    chosen = rows.join(F.broadcast(taken), "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 32)) < F.col("_share"))
     return fit(sorted((bytes(r[0]), r[1]) for r in chosen.select(F.col("text").cast("binary"), "lang").collect()))
 
 
 def identify(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, lang_pred and score of each whole text."""
-    held = documents.sparkSession.sparkContext.broadcast(model)  # KEPT and LANGUAGES bound its size
+    held = documents.sparkSession.sparkContext.broadcast(model)  # KEPT keys, a number for each language
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in G.batches(frames, text):

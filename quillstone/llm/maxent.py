@@ -1,12 +1,19 @@
 """Language-model scoring with a hashed maximum-entropy model.
 
 Tokens are words in lower case (A-Z), then one end a text. The vocabulary is counted over all
-training texts. A token's probability is that of its class, from a softmax over hashed features
-of the tokens before it (one before, two before together, and the second and third before by
-themselves, which skips), times that of the token in its class by add-half counts. Frequent
-tokens are dealt into classes of equal mass; all others into tail classes by hash, each with one
-unseen token. The softmax is trained by workers that each go through their part of the training
-texts with gradient steps from common weights, whose results are averaged, round after round.
+training texts. A token's probability is that of its class, times that of its slot in the class,
+each from a softmax over hashed features of the tokens before it: the one before, the two before
+together, and the second and third before by themselves, which skips. A class's commonest tokens
+have a slot each; the others share one, in which a token's share is by add-half counts.
+
+Classes come from contexts: common tokens are grouped by the commonest tokens that stand beside
+them, and a group is cut into classes of equal mass by frequency. All other tokens are in tail
+classes by hash, each with one unseen token and shares by add-half counts.
+
+Both softmaxes begin at damped log ratios of counts, and are trained by rounds of gradient
+updates: each task adds up observed and expected counts over every token of its texts, the sums
+meet slice by slice, and the difference, scaled by the counts, moves the weights. Expected counts
+are added as integers, so the model doesn't depend on how texts are dealt to tasks.
 
 The counts of frequent tokens (a fixed number) are broadcast; all other counts are joined.
 
@@ -16,8 +23,9 @@ classes are equally likely; repeated rows score alike, rows with equal ids are s
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +35,19 @@ from pyspark.sql import functions as F
 from . import _grams as G
 from ._tables import settled
 
-#: Tokens whose counts are broadcast; classes, the last of which are for all other tokens.
-FREQUENT, CLASSES, TAIL = 1 << 17, 32, 8
+#: Tokens whose counts are broadcast; classes, the last of which are for all other tokens; slots of a class.
+FREQUENT, CLASSES, TAIL, SLOTS = 1 << 17, 32, 8, 32
+#: Tokens that are grouped by context, tokens that make a context, how far they reach, and groups.
+GROUPED, BESIDE, REACH, GROUPS = 1 << 15, 64, 2, 8
+#: Tokens that a group may begin at.
+FIRST = 1024
 #: Hashed feature rows, features a token, tokens a step.
-ROWS, FEATURES, STEP = 1 << 15, 4, 1024
-ROUNDS, RATE = 2, 0.3
-#: Slices in which workers return their weights; fewest workers (more on a larger cluster, up to MOST).
+ROWS, FEATURES, STEP = 1 << 15, 4, 1 << 14
+#: Rounds of gradient updates, their rate, the damping of the start, and the counts that smooth both.
+ROUNDS, RATE, START_SHARE, SMOOTH = 1, 0.5, 0.5, 20.0
+#: Expected counts are added in steps of one part in so many.
+PARTS = 1 << 16
+#: Slices in which tasks return their sums; tasks of a round (more on a larger cluster, up to MOST).
 SLICES, WORKERS, MOST = 16, 16, 1024
 #: Distinct tokens that a task counts before it passes them on.
 HELD = 1 << 20
@@ -44,11 +59,14 @@ class Model:
     tokens: np.ndarray  # frequent tokens, sorted
     counts: np.ndarray
     classes: np.ndarray
-    inside: np.ndarray  # log10 of 1 / (mass of the class), for each class
-    prior: np.ndarray  # log of the classes' shares
+    slots: np.ndarray
+    inside: np.ndarray  # CLASSES: log10 of 1 / (mass of what shares a slot), or of a tail class
+    prior: np.ndarray  # CLASSES: log of the classes' shares
+    slot_prior: np.ndarray  # CLASSES x SLOTS: log of the slots' shares
     total: int  # N
     distinct: int  # V
     weights: np.ndarray  # ROWS x CLASSES
+    slot_weights: np.ndarray  # ROWS x SLOTS
 
 
 def lowered(texts: G.Texts) -> G.Texts:
@@ -118,33 +136,106 @@ def frequent(counts: DataFrame, most: int | None = None) -> np.ndarray:
     return top[np.lexsort((top[:, 0], -top[:, 1]))]
 
 
-def untrained(counts: DataFrame) -> Model:
-    """The model with its vocabulary and classes, from the counts of all training tokens."""
+def neighbours(texts: DataFrame, top: np.ndarray) -> np.ndarray:
+    """For each of the first `GROUPED` tokens how often each of the first `BESIDE` stands within `REACH` places of it."""
+    if not len(top):
+        return np.zeros((GROUPED, BESIDE), np.int64)
+    tokens = top[:GROUPED, 0].view(np.uint64)
+    order = np.argsort(tokens)
+    return summed(texts, partial(beside, tokens[order], order), [(GROUPED, BESIDE)])[0]
+
+
+def beside(tokens: np.ndarray, ranks: np.ndarray, parts: Iterator[G.Texts]) -> list[np.ndarray]:
+    """The counts of `neighbours` in some texts; tokens are sorted and have these ranks."""
+    table = np.zeros((GROUPED, BESIDE), np.int64)
+    for part in parts:
+        found, at = stream(part)
+        where = np.minimum(np.searchsorted(tokens, found), len(tokens) - 1)
+        number = np.where(tokens[where] == found, ranks[where], GROUPED)
+        owner = np.repeat(np.arange(part.n), np.diff(at))
+        for k in range(1, REACH + 1):
+            left, right, same = number[:-k], number[k:], owner[:-k] == owner[k:]
+            for token, other in ((left, right), (right, left)):
+                ok = same & (token < GROUPED) & (other < BESIDE)
+                table += np.bincount(token[ok] * BESIDE + other[ok], minlength=table.size).reshape(table.shape)
+    return [table]
+
+
+def grouped(counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """A group for each token, by k-means over the square roots of its neighbours' shares; fixed starts, far from each other."""
+    if not len(counts):
+        return np.zeros(0, np.int64)
+    usual = (counts.sum(0) + 0.5) / (counts.sum() + 0.5 * BESIDE)
+    shares = counts + usual
+    shares = np.sqrt(shares / shares.sum(1, keepdims=True)).astype(np.float32)
+    sure = weight * (counts.sum(1) > 0)
+    centres = shares[[0]]
+    for _ in range(1, min(GROUPS, len(shares))):
+        far = (1 - (shares[:FIRST] @ centres.T).max(1)) * np.sqrt(sure[:FIRST])
+        centres = np.concatenate([centres, shares[[int(far.argmax())]]])
+    for _ in range(12):
+        group = (shares @ centres.T).argmax(1)
+        for g in range(len(centres)):
+            mean = (shares[group == g] * np.sqrt(sure[group == g])[:, None]).sum(0)
+            size = float(np.linalg.norm(mean))
+            if size:
+                centres[g] = mean / size
+    return (shares @ centres.T).argmax(1)
+
+
+def untrained(texts: DataFrame, counts: DataFrame) -> Model:
+    """The model with its vocabulary, classes and slots, from the counts of all training tokens."""
     tail = F.pmod("token", F.lit(TAIL)).cast("int")
     sums = {r[0]: (r[1], r[2]) for r in counts.groupBy(tail).agg(F.sum("n"), F.count("*")).collect()}
     top = frequent(counts)
-    own = np.array([sums.get(k, (0, 0)) for k in range(TAIL)], np.int64)
-    total, distinct = int(own[:, 0].sum()), int(own[:, 1].sum())
-    head = CLASSES - TAIL
-    before = np.cumsum(top[:, 1]) - top[:, 1] / 2
-    classes = np.minimum(head - 1, (before / max(1, top[:, 1].sum()) * head).astype(np.int64))
-    rest = top[:, 0] % TAIL
-    own[:, 0] -= np.bincount(rest, top[:, 1], TAIL).astype(np.int64)
+    near = min(GROUPED, len(top))
+    group = grouped(neighbours(texts, top)[:near], top[:near, 1].astype(float))
+    return arranged(top, group, np.array([sums.get(k, (0, 0)) for k in range(TAIL)], np.int64))
+
+
+def arranged(top: np.ndarray, group: np.ndarray, own: np.ndarray) -> Model:
+    """From (token, count) commonest first, the groups of the first of them, and (count, number) of all tokens of each tail class."""
+    total, distinct, near = int(own[:, 0].sum()), int(own[:, 1].sum()), len(group)
+    head, masses = CLASSES - TAIL, np.bincount(group, top[:near, 1], GROUPS)
+    bands = np.ones(GROUPS, np.int64)
+    for _ in range(head - GROUPS):
+        bands[(masses / bands).argmax()] += 1
+    begins = np.cumsum(bands) - bands
+    classes = (head + top[:, 0] % TAIL).astype(np.int32)
+    slots = np.zeros(len(top), np.int32)
+    for g in range(GROUPS):
+        mine = np.flatnonzero(group == g)
+        n = top[mine, 1]
+        before = np.cumsum(n) - n / 2
+        classes[mine] = begins[g] + np.minimum(bands[g] - 1, (before / max(1, n.sum()) * bands[g]).astype(np.int64))
+    for c in range(head):
+        mine = np.flatnonzero(classes[:near] == c)[: SLOTS - 1]
+        slots[mine] = 1 + np.arange(len(mine))
+    rest = top[:near, 0] % TAIL
+    own = own.copy()
+    own[:, 0] -= np.bincount(rest, top[:near, 1], TAIL).astype(np.int64)
     own[:, 1] -= np.bincount(rest, minlength=TAIL)
-    mass = np.concatenate([np.bincount(classes, top[:, 1] + 0.5, head), own[:, 0] + 0.5 * (own[:, 1] + 1)])
+    mass = np.zeros((CLASSES, SLOTS))
+    np.add.at(mass, (classes[:near], slots[:near]), top[:near, 1] + 0.5)
+    mass[head:, 0] = own[:, 0] + 0.5 * (own[:, 1] + 1)
+    if not total:
+        mass[:, 0] = 0.5
+    with np.errstate(divide="ignore"):
+        whole = mass.sum(1)
+        prior = np.log(whole / whole.sum())
+        slot_prior = np.log(mass / np.maximum(whole, 1e-9)[:, None])
     order = np.argsort(top[:, 0].view(np.uint64))
-    shares = np.maximum(mass, 0.5)
-    return Model(top[order, 0].view(np.uint64), top[order, 1], classes[order].astype(np.int32), -np.log10(shares), np.log(shares / shares.sum()).astype(np.float32), total, distinct, np.zeros((ROWS, CLASSES), np.float32))
+    return Model(top[order, 0].view(np.uint64), top[order, 1], classes[order], slots[order], -np.log10(np.maximum(mass[:, 0], 0.5)), np.maximum(prior, -60).astype(np.float32), np.maximum(slot_prior, -60).astype(np.float32), total, distinct, np.zeros((ROWS, CLASSES), np.float32), np.zeros((ROWS, SLOTS), np.float32))
 
 
-def known(model: Model, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each token's class, whether it is frequent, and its count if so."""
+def known(model: Model, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each token's class and slot, whether it is frequent, and its count if so."""
     tail = (CLASSES - TAIL + (tokens.view(np.int64) % TAIL)).astype(np.int32)
     if not len(model.tokens):
-        return tail, np.zeros(len(tokens), bool), np.zeros(len(tokens), np.int64)
+        return tail, np.zeros(len(tokens), np.int32), np.zeros(len(tokens), bool), np.zeros(len(tokens), np.int64)
     place = np.minimum(np.searchsorted(model.tokens, tokens), len(model.tokens) - 1)
     found = model.tokens[place] == tokens
-    return np.where(found, model.classes[place], tail), found, np.where(found, model.counts[place], 0)
+    return np.where(found, model.classes[place], tail), np.where(found, model.slots[place], 0), found, np.where(found, model.counts[place], 0)
 
 
 def features(tokens: np.ndarray, at: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -156,68 +247,115 @@ def features(tokens: np.ndarray, at: np.ndarray, places: np.ndarray) -> np.ndarr
     return np.stack([(G.mix(m + G.U(k)) & G.U(ROWS - 1)).astype(np.int32) for k, m in enumerate(mixed)], 1)
 
 
-def _softmax(model: Model, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+def slot_rows(rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """The feature rows of the softmax within the tokens' classes."""
+    return (rows * np.int32(5) + (classes * np.int32(7919))[:, None] + np.int32(1)) & np.int32(ROWS - 1)
+
+
+def _softmax(prior: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     logits = weights[rows[:, 0]]
     for k in range(1, FEATURES):
         logits += weights[rows[:, k]]
-    logits += model.prior
+    logits += prior
     logits -= logits.max(1, keepdims=True)
     np.exp(logits, out=logits)
     logits /= logits.sum(1, keepdims=True)
     return logits
 
 
-def train_part(model: Model, parts: Iterator[G.Texts]) -> tuple[np.ndarray, int]:
-    """The weights after gradient steps over every token of some texts, and the number of tokens."""
-    weights, scale, seen = model.weights.copy(), np.full(ROWS, 1.0, np.float32), 0
+def steps(model: Model, texts: G.Texts) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(from, class, slot, class rows, slot rows) of so many tokens at a time; slot rows are those of tokens in head classes only."""
+    tokens, at = stream(texts)
+    classes, slots, _, _ = known(model, tokens)
+    for i in range(0, len(tokens), STEP):
+        c, s = classes[i : i + STEP], slots[i : i + STEP]
+        rows = features(tokens, at, np.arange(i, i + len(c)))
+        head = c < CLASSES - TAIL
+        yield i, c, s[head], rows, slot_rows(rows[head], c[head])
+
+
+def observed(model: Model, parts: Iterator[G.Texts]) -> list[np.ndarray]:
+    """How often each feature row has each class, and each slot, over every token of some texts."""
+    out = [np.zeros((ROWS, CLASSES), np.int64), np.zeros((ROWS, SLOTS), np.int64)]
     for texts in parts:
-        tokens, at = stream(texts)
-        target = known(model, tokens)[0]
-        for i in range(0, len(tokens), STEP):
-            some = features(tokens, at, np.arange(i, min(len(tokens), i + STEP)))
-            wrong = _softmax(model, weights, some)
-            wrong[np.arange(len(some)), target[i : i + STEP]] -= 1
-            flat = some.ravel()
-            order = np.argsort(flat, kind="stable")
-            ranked = flat[order]
-            first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-            places = ranked[first]
-            slope = np.add.reduceat(wrong[order // FEATURES], first, 0)
-            scale[places] += (slope * slope).sum(1)
-            weights[places] -= RATE / np.sqrt(scale[places])[:, None] * slope
-            seen += len(some)
-    return weights, seen
-
-
-def round_of(texts: DataFrame, model: Model) -> Model:
-    """The model after one distributed round: workers' weights, averaged by their numbers of tokens."""
+        found: tuple[list, list] = ([], [])
+        for _, c, s, rows, inner in steps(model, texts):
+            found[0].append((rows * np.int32(CLASSES) + c[:, None]).ravel())
+            found[1].append((inner * np.int32(SLOTS) + s[:, None]).ravel())
+        for table, cells in zip(out, found, strict=True):
+            if cells:
+                table += np.bincount(np.concatenate(cells), minlength=table.size).reshape(table.shape)
+    return out
+
+
+def expected(model: Model, parts: Iterator[G.Texts]) -> list[np.ndarray]:
+    """What the model expects of the same counts, in `PARTS` of one: whole numbers, so their order doesn't matter."""
+    out = [np.zeros((CLASSES, ROWS)), np.zeros((SLOTS, ROWS))]
+    for texts in parts:
+        for _, c, _, rows, inner in steps(model, texts):
+            head = c[c < CLASSES - TAIL]
+            for table, prior, weights, where in ((out[0], model.prior, model.weights, rows), (out[1], model.slot_prior[head], model.slot_weights, inner)):
+                if len(where):
+                    flat = where.ravel()
+                    for line, p in zip(table, np.rint(_softmax(prior, weights, where).T * np.float32(PARTS)), strict=True):
+                        line += np.bincount(flat, np.repeat(p, FEATURES), ROWS)
+    return [np.ascontiguousarray(table.T).astype(np.int64) for table in out]
+
+
+def summed(texts: DataFrame, one: Callable[[Iterator[G.Texts]], list[np.ndarray]], shapes: list[tuple[int, int]]) -> list[np.ndarray]:
+    """The sums of the integer tables that `one` makes of each task's texts; tasks return them in slices, which meet by number."""
     context = texts.sparkSession.sparkContext
-    held = context.broadcast(model)  # fixed numbers of rows, classes and frequent tokens
+    held = context.broadcast(one)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, seen = train_part(held.value, (part for _, part in G.batches(frames)))
-        if seen:
-            cut = np.split(weights.astype(np.float16), SLICES)
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([seen] * SLICES, pa.int64()), pa.array([c.tobytes() for c in cut], pa.binary())], ["slice", "seen", "weights"])
-
-    def average(key: tuple, part: pa.Table) -> pa.Table:
-        seen = part["seen"].to_numpy().astype(np.float64)
-        total = sum(n * np.frombuffer(w.as_py(), np.float16).astype(np.float64) for n, w in zip(seen, part["weights"], strict=True))
-        return pa.table({"slice": [key[0].as_py()], "weights": [(total / seen.sum()).astype(np.float32).tobytes()]}, schema=pa.schema([("slice", pa.int32()), ("weights", pa.binary())]))
+        tables = held.value(part for _, part in G.batches(frames))
+        for k in range(SLICES):
+            pieces = [np.split(t, SLICES)[k].astype("<i8").tobytes() for t in tables]
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(pieces), pa.int32()), pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.binary())], ["slice", "number", "sums"])
+
+    def add(key: tuple, part: pa.Table) -> pa.Table:
+        total = np.zeros(0, np.int64)
+        for x in part["sums"]:
+            more = np.frombuffer(x.as_py(), "<i8")
+            total = total + more if len(total) else more
+        return pa.table({"slice": [key[0].as_py()], "number": [key[1].as_py()], "sums": [total.tobytes()]}, schema=pa.schema([("slice", pa.int32()), ("number", pa.int32()), ("sums", pa.binary())]))
 
     workers = min(MOST, max(WORKERS, context.defaultParallelism))
-    done = texts.select("text").coalesce(workers).mapInArrow(run, "slice int, seen long, weights binary")
-    slices = {r[0]: r[1] for r in done.groupBy("slice").applyInArrow(average, "slice int, weights binary").collect()}
-    if len(slices) < SLICES:
-        return model
-    weights = np.concatenate([np.frombuffer(slices[k], np.float32) for k in range(SLICES)]).reshape(ROWS, CLASSES)
-    return Model(model.tokens, model.counts, model.classes, model.inside, model.prior, model.total, model.distinct, weights)
+    shape = "slice int, number int, sums binary"
+    found = {(r[0], r[1]): r[2] for r in texts.select("text").coalesce(workers).mapInArrow(run, shape).groupBy("slice", "number").applyInArrow(add, shape).collect()}
+    return [np.concatenate([np.frombuffer(found[k, i], "<i8") if (k, i) in found else np.zeros(rows // SLICES * width, np.int64) for k in range(SLICES)]).reshape(rows, width) for i, (rows, width) in enumerate(shapes)]
+
+
+SHAPES = [(ROWS, CLASSES), (ROWS, SLOTS)]
+
+
+def started(model: Model, seen: list[np.ndarray]) -> Model:
+    """Weights at damped log ratios of what a feature has seen to what all tokens have."""
+    out = []
+    for table in seen:
+        share = (table.sum(0) + 0.5) / (table.sum() + 0.5 * table.shape[1])
+        n = table.sum(1, keepdims=True)
+        out.append((START_SHARE * np.log((table + SMOOTH * share) / ((n + SMOOTH) * share))).astype(np.float32))
+    return replace(model, weights=out[0], slot_weights=out[1])
+
+
+def moved(model: Model, seen: list[np.ndarray], thought: list[np.ndarray]) -> Model:
+    """One gradient update: observed less expected counts, scaled by both."""
+    out = []
+    for weights, table, guess in zip((model.weights, model.slot_weights), seen, thought, strict=True):
+        guess = guess / PARTS
+        out.append((weights + 2 * RATE * (table - guess) / (table + guess + SMOOTH)).astype(np.float32))
+    return replace(model, weights=out[0], slot_weights=out[1])
 
 
 def train(texts: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> Model:
-    model = untrained(counts)
+    model = untrained(texts, counts)
+    if not model.total:
+        return model
+    seen = summed(texts, partial(observed, model), SHAPES)
+    model = started(model, seen)
     for _ in range(rounds):
-        model = round_of(texts, model)
+        model = moved(model, seen, summed(texts, partial(expected, model), SHAPES))
     return model
 
 
@@ -227,18 +365,23 @@ def local_scores(model: Model, texts: G.Texts) -> tuple[dict[str, np.ndarray], n
     `score` lacks, and `base` too, the logarithm of the joined tokens' counts.
     """
     tokens, at = stream(texts)
-    classes, frequent, counts = known(model, tokens)
+    classes, slots, frequent, counts = known(model, tokens)
     score = np.zeros(len(tokens))
-    for i in range(0, len(tokens), 1 << 14):
-        places = np.arange(i, min(len(tokens), i + (1 << 14)))
-        p = _softmax(model, model.weights, features(tokens, at, places))
-        score[places] = np.log10(np.maximum(p[np.arange(len(places)), classes[places]], 1e-30))
-    score += model.inside[classes]
+    for i, c, s, rows, inner in steps(model, texts):
+        here = slice(i, i + len(c))
+        p = _softmax(model.prior, model.weights, rows)
+        score[here] = np.log10(np.maximum(p[np.arange(len(c)), c], 1e-30))
+        if len(inner):
+            head = c < CLASSES - TAIL
+            p = _softmax(model.slot_prior[c[head]], model.slot_weights, inner)
+            score[here][head] += np.log10(np.maximum(p[np.arange(len(s)), s], 1e-30))
+    shared = slots == 0
+    score += np.where(shared, model.inside[classes], 0.0)
     log = np.where(frequent, np.log10(counts + 0.5), 0.0)
     n = np.diff(at)
     base = G.span_sums(log, at) - n * np.log10(model.total + 0.5 * (model.distinct + 1))
     left = np.flatnonzero(~frequent)
-    return {"n_tokens": n, "n_known": G.span_sums(frequent.astype(np.int64), at), "base": base, "score": G.span_sums(score + log, at)}, tokens[left].view(np.int64), np.searchsorted(left, at)
+    return {"n_tokens": n, "n_known": G.span_sums(frequent.astype(np.int64), at), "base": base, "score": G.span_sums(score + np.where(shared, log, 0.0), at)}, tokens[left].view(np.int64), np.searchsorted(left, at)
 
 
 def score_texts(documents: DataFrame, model: Model, counts: DataFrame) -> DataFrame:

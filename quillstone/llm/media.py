@@ -2,10 +2,11 @@
 
 `build_movie` stores bytes losslessly as 8 x 8 pixel frames of 8-bit grey samples; `read_movie`
 walks the nested boxes of any container and returns what its sample tables say. `media_columns`
-is the DataFrame form over a binary column.
+is the DataFrame form over a binary column. Movie fragments and compact size tables are read too.
 
 Defined results: null or empty content gives no track; a box that runs over its parent's end
-is cut there; a table that is truncated gives the error text in `error` and no ranges; further
+is cut there; a table that is truncated, or counts more samples than the file can hold, gives the
+error text in `error` and no ranges; ids may be of any type and null; further
 columns of the input are ignored, repeated rows give equal rows.
 """
 
@@ -21,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._grams import texts_of
+from ._grams import batches, trim
 
 FRAME = 64
 RATE = 25
@@ -98,6 +99,8 @@ class Track:
     sizes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     offsets: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    number: int = 0
+    added: int = 0  # what fragments add to the duration
 
     @property
     def seconds(self) -> float:
@@ -116,42 +119,116 @@ def _entries(data: memoryview, at: int, end: int, kind: str, width: int = 1) ->
     return np.frombuffer(data, kind, n * width, at + 4).astype(np.int64).reshape(n, width)
 
 
+def _sizes(data: memoryview, leaves: dict[bytes, tuple[int, int]]) -> np.ndarray:
+    """The samples' sizes, from either form of the table; no more samples than the file has bytes."""
+    if b"stz2" in leaves:
+        at, end = leaves[b"stz2"]
+        width, n = data[at + 7], struct.unpack_from(">I", data, at + 8)[0]
+        if width not in (4, 8, 16) or at + 12 + (n * width + 7) // 8 > end:
+            raise ValueError("a table is longer than its box")
+        if width == 16:
+            return np.frombuffer(data, ">u2", n, at + 12).astype(np.int64)
+        found = np.frombuffer(data, np.uint8, (n * width + 7) // 8, at + 12).astype(np.int64)
+        return found if width == 8 else np.stack([found >> 4, found & 15], 1).ravel()[:n]
+    if b"stsz" not in leaves:
+        return np.zeros(0, np.int64)
+    at, end = leaves[b"stsz"]
+    fixed, n = struct.unpack_from(">II", data, at + 4)
+    if fixed * n > len(data):
+        raise ValueError("the samples are longer than the file")
+    return np.full(n, fixed, np.int64) if fixed else _entries(data, at + 8, end, ">u4")[:, 0]
+
+
 def _track(data: memoryview, leaves: dict[bytes, tuple[int, int]]) -> Track:
     """A track from the leaf boxes below its trak box."""
     out = Track()
+    if b"tkhd" in leaves:
+        at, _ = leaves[b"tkhd"]
+        out.number = struct.unpack_from(">I", data, at + (20 if data[at] == 1 else 12))[0]
     if b"mdhd" in leaves:
         at, _ = leaves[b"mdhd"]
         form, skip = (">IQ", 20) if data[at] == 1 else (">II", 12)
         out.timescale, out.duration = struct.unpack_from(form, data, at + skip)
+    if b"stts" in leaves and not out.duration:
+        times = _entries(data, leaves[b"stts"][0] + 4, leaves[b"stts"][1], ">u4", 2)
+        out.duration = sum(n * delta for n, delta in times.tolist())
     if b"hdlr" in leaves:
         out.handler = bytes(data[leaves[b"hdlr"][0] + 8 :][:4]).decode("latin-1")
     if b"stsd" in leaves:
         out.codec = bytes(data[leaves[b"stsd"][0] + 12 :][:4]).decode("latin-1")
-    if b"stsz" in leaves:
-        at, end = leaves[b"stsz"]
-        fixed, n = struct.unpack_from(">II", data, at + 4)
-        out.sizes = np.full(n, fixed, np.int64) if fixed else _entries(data, at + 8, end, ">u4")[:, 0]
+    out.sizes = _sizes(data, leaves)
     samples = len(out.sizes)
     where = leaves.get(b"co64") or leaves.get(b"stco")
     if where and b"stsc" in leaves and samples:
         chunks = _entries(data, where[0] + 4, where[1], ">u8" if b"co64" in leaves else ">u4")[:, 0]
         runs = _entries(data, leaves[b"stsc"][0] + 4, leaves[b"stsc"][1], ">u4", 3)
-        per = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0] - 1, len(chunks))))
-        owner = np.repeat(np.arange(len(per)), per)[:samples]
-        if len(owner) < samples:
+        begins = np.append(runs[:, 0] - 1, len(chunks))
+        if not len(runs) or begins[0] or (np.diff(begins) < 0).any():
+            raise ValueError("the runs of chunks aren't in order")
+        per = np.repeat(runs[:, 1], np.diff(begins))
+        upto = np.cumsum(per)
+        owner = np.searchsorted(upto, np.arange(samples), side="right")
+        if not len(per) or owner[-1] >= len(per):
             raise ValueError("the chunks hold fewer samples than there are")
         before = np.concatenate([[0], np.cumsum(out.sizes)])
-        first = np.concatenate([[0], np.cumsum(per)])[:-1]
-        out.offsets = chunks[owner] + before[:-1] - before[np.minimum(first, samples)[owner]]
+        first = np.minimum(upto - per, samples)
+        out.offsets = chunks[owner] + before[:-1] - before[first[owner]]
     out.keys = _entries(data, leaves[b"stss"][0] + 4, leaves[b"stss"][1], ">u4")[:, 0] - 1 if b"stss" in leaves else np.arange(samples)
-    out.keys = out.keys[out.keys < len(out.offsets)]
+    out.keys = out.keys[(out.keys >= 0) & (out.keys < len(out.offsets))]
     return out
 
 
+def _optional(data: memoryview, at: int, flags: int, fields: tuple[tuple[int, str], ...]) -> tuple[dict[int, int], int]:
+    """The fields whose bits are set, in order, and where they end."""
+    found = {}
+    for bit, form in fields:
+        if flags & bit:
+            found[bit] = struct.unpack_from(form, data, at)[0]
+            at += struct.calcsize(form)
+    return found, at
+
+
+def _fragment(data: memoryview, start: int, body: int, end: int, tracks: dict[int, Track], usual: dict[int, tuple[int, int, int]]) -> None:
+    """Adds the samples of a movie fragment (from its moof box) to their tracks."""
+    for kind, traf, stop in boxes(data, body, end):
+        if kind != b"traf":
+            continue
+        inner = list(boxes(data, traf, stop))
+        head = next((b for k, b, _ in inner if k == b"tfhd"), None)
+        if head is None:
+            raise ValueError("a fragment has no header")
+        flags, number = struct.unpack_from(">II", data, head)
+        given, _ = _optional(data, head + 8, flags & 0xFFFFFF, ((0x1, ">Q"), (0x2, ">I"), (0x8, ">I"), (0x10, ">I"), (0x20, ">I")))
+        track = tracks.setdefault(number, Track(number=number))
+        duration, size, marks = (given.get(bit, old) for bit, old in zip((0x8, 0x10, 0x20), usual.get(number, (0, 0, 0)), strict=True))
+        base = given.get(0x1, start)
+        place = base
+        for kind_, run, _ in inner:
+            if kind_ != b"trun":
+                continue
+            flags, n = struct.unpack_from(">II", data, run)
+            lead, at = _optional(data, run + 8, flags & 0xFFFFFF, ((0x1, ">i"), (0x4, ">I")))
+            columns = [bit for bit in (0x100, 0x200, 0x400, 0x800) if flags & bit]
+            if (n * size if 0x200 not in columns else n) > len(data) or at + 4 * n * len(columns) > len(data):
+                raise ValueError("the samples are longer than the file")
+            rows = np.frombuffer(data, ">u4", n * len(columns), at).astype(np.int64).reshape(n, len(columns))
+            column = lambda bit, other: rows[:, columns.index(bit)] if bit in columns else np.full(n, other, np.int64)  # noqa: B023, E731
+            sizes, flagged = column(0x200, size), column(0x400, marks)
+            if 0x4 in lead and n:
+                flagged = np.concatenate([[lead[0x4]], flagged[1:]])
+            place = base + lead[0x1] if 0x1 in lead else place
+            offsets = place + np.cumsum(sizes) - sizes
+            place += int(sizes.sum())
+            track.keys = np.concatenate([track.keys, len(track.sizes) + np.flatnonzero(flagged & 0x10000 == 0)])
+            track.sizes, track.offsets = np.concatenate([track.sizes, sizes]), np.concatenate([track.offsets, offsets])
+            track.added += int(column(0x100, duration).sum())
+
+
 def read_movie(content: bytes) -> list[Track]:
-    """The tracks of a container, from its boxes alone; the payload is never touched."""
-    data, tracks = memoryview(content), []
+    """The tracks of a container, fragments too, from its boxes alone; the payload is never touched."""
+    data, tracks, fragments = memoryview(content), [], []
     leaves: dict[bytes, tuple[int, int]] = {}
+    usual: dict[int, tuple[int, int, int]] = {}
     todo = [(0, len(data), False)]
     while todo:
         start, end, closes = todo.pop()
@@ -159,15 +236,28 @@ def read_movie(content: bytes) -> list[Track]:
             tracks.append(_track(data, leaves))
             leaves = {}
             continue
-        inner = []
+        inner, at = [], start
         for kind, body, stop in boxes(data, start, end):
             if kind == b"trak":
                 inner += [(body, stop, False), (0, 0, True)]
             elif kind in NESTED:
                 inner.append((body, stop, False))
+            elif kind == b"moof":
+                fragments.append((at, body, stop))
+            elif kind == b"trex":
+                number, _, *rest = struct.unpack_from(">5I", data, body + 4)
+                usual[number] = tuple(rest)
             else:
                 leaves.setdefault(kind, (body, stop))
+            at = stop
         todo += inner[::-1]
+    if fragments:
+        known = {t.number: t for t in tracks}
+        for fragment in fragments:
+            _fragment(data, *fragment, known, usual)
+        tracks = list(known.values())
+        for track in tracks:
+            track.duration += track.added if not track.duration else 0
     return tracks
 
 
@@ -209,34 +299,32 @@ def store_texts(documents: DataFrame) -> DataFrame:
     """doc_id, n_bytes and the container of each whole text (null: empty), as `media`."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            texts = texts_of(part.column(1))
-            raw, step = texts.data.tobytes(), 256
-            for i in range(0, texts.n, step):
-                spans = texts.offs[i : i + step + 1].tolist()
-                made = [build_movie(padded(raw[a:b])) for a, b in zip(spans, spans[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([part.column(0).slice(i, step), pa.array(np.diff(texts.offs[i : i + step + 1])), pa.array(made, pa.binary())], ["doc_id", "n_bytes", "media"])
+        for part, texts in batches(parts):
+            raw, spans = texts.data.tobytes(), texts.offs.tolist()
+            made = [build_movie(padded(raw[a:b])) for a, b in zip(spans, spans[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(texts.offs)), pa.array(made, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
-DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+DIGEST = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, seconds double, n_samples long, n_keyframes long"
 
 
 def _digest(media: bytes) -> tuple:
     track = read_movie(media)[0]
     payload, ranges = stored(media, track), np.stack([track.offsets[track.keys], track.sizes[track.keys]], 1)
     feature = f"{track.codec.strip()} {track.handler} {track.seconds:.2f}s {len(track.sizes)} samples {len(ranges)} keyframes {ranges[0][0]}+{ranges[0][1]}..{ranges[-1][0]}+{ranges[-1][1]} {zlib.crc32(ranges.astype('<i8').tobytes()):08x}"
-    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-FRAME:]), len(media), hashlib.sha256(media).hexdigest(), feature
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-FRAME:]), len(media), hashlib.sha256(media).hexdigest(), feature, track.codec, track.seconds, len(track.sizes), len(ranges)
 
 
 def media_digest(stored_texts: DataFrame) -> DataFrame:
-    """Reads the containers of `store_texts` back: `DIGEST` for each."""
+    """Reads the containers of `store_texts` back: doc_id and `DIGEST` for each."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.int64(), pa.int64()]
         for part in parts:
             rows = [_digest(x.as_py()) for x in part.column(2)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], [c.split()[0] for c in DIGEST.split(", ")])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], ["doc_id", *(c.split()[0] for c in DIGEST.split(", "))])
+        trim()
 
-    return stored_texts.mapInArrow(run, DIGEST)
+    return stored_texts.mapInArrow(run, f"doc_id {stored_texts.schema['doc_id'].dataType.simpleString()}, {DIGEST}")

@@ -137,6 +137,59 @@ def test_bad_movies_are_errors_not_crashes():
         media.describe(movie[:cut])
 
 
+def box(kind, *parts):
+    body = b"".join(parts)
+    return (8 + len(body)).to_bytes(4, "big") + kind + body
+
+
+def u32(*values):
+    return b"".join(v.to_bytes(4, "big") for v in values)
+
+
+def test_counts_are_bounded_by_the_file():
+    movie = media.build_movie(bytes(640))
+    size = movie.index(b"stsz") + 8
+    assert media.describe(movie[:size] + u32(64, 0xFFFFFFFF) + movie[size + 8 :])[5]
+    runs = movie.index(b"stsc") + 12
+    for bad in (u32(1, 0xFFFFFFFF, 1), u32(0xFFFFFFF0, 10, 1), u32(2, 10, 1)):
+        media.describe(movie[:runs] + bad + movie[runs + 12 :])
+    assert media.describe(movie[:runs] + u32(1, 3, 1) + movie[runs + 12 :])[5]
+
+
+@pytest.mark.parametrize("width", [4, 8, 16])
+def test_compact_sizes(width):
+    sizes = [3, 15, 1, 7, 9]
+    packed = {4: bytes([0x3F, 0x17, 0x90]), 8: bytes(sizes), 16: b"".join(x.to_bytes(2, "big") for x in sizes)}[width]
+    table = box(b"stz2", u32(0), bytes([0, 0, 0, width]), u32(5), packed)
+    stbl = box(b"stbl", table, box(b"stsc", u32(0, 1, 1, 5, 1)), box(b"stco", u32(0, 1, 100)), box(b"stts", u32(0, 2, 2, 10, 3, 5)))
+    (track,) = media.read_movie(box(b"moov", box(b"trak", box(b"mdia", box(b"mdhd", u32(0, 0, 0, 25, 0, 0)), box(b"minf", stbl)))) + bytes(200))
+    assert track.sizes.tolist() == sizes and track.offsets.tolist() == [100, 103, 118, 119, 126] and track.duration == 35
+
+
+def test_fragments_are_read():
+    head = box(b"moov", box(b"trak", box(b"tkhd", u32(0, 0, 0, 7, 0, 0)), box(b"mdia", box(b"mdhd", u32(0, 0, 0, 10, 0, 0)))), box(b"mvex", box(b"trex", u32(0, 7, 1, 5, 4, 0x10000))))
+
+    def moof(offset):
+        first = box(b"trun", u32(0x205, 3, offset, 0, 4, 6, 2))  # the offset and the first sample's flags are given
+        return box(b"moof", box(b"mfhd", u32(0, 1)), box(b"traf", box(b"tfhd", u32(0x20000, 7)), first, box(b"trun", u32(0, 2))))
+
+    one = moof(len(moof(0)) + 8)
+    movie = head + one + box(b"mdat", b"aaaabbbbbbccddddeeee") + one + box(b"mdat", b"AAAABBBBBBCCDDDDEEEE")
+    (track,) = media.read_movie(movie)
+    assert track.number == 7 and track.sizes.tolist() == [4, 6, 2, 4, 4] * 2 and track.keys.tolist() == [0, 5]
+    assert media.stored(movie, track) == b"aaaabbbbbbccddddeeeeAAAABBBBBBCCDDDDEEEE" and track.duration == 50
+    assert [movie[a : a + n] for a, n in track.ranges()] == [b"aaaa", b"AAAA"]
+    assert media.describe(head + one[:-8] + u32(0, 0xFFFFFFFF))[5]
+    for cut in range(len(head), len(movie), 7):
+        media.describe(movie[:cut])
+
+
+def test_media_takes_any_id(spark):
+    frame = spark.createDataFrame([("x", "abc"), (None, None)], "doc_id string, text string")
+    out = media.media_digest(media.store_texts(frame)).collect()
+    assert sorted((r["doc_id"] or "", r["n_bytes"], r["codec"], r["n_samples"]) for r in out) == [("", 0, "raw ", 1), ("x", 3, "raw ", 1)]
+
+
 def test_large_boxes_and_offsets():
     inner = b"\0\0\0\x01free" + (24).to_bytes(8, "big") + bytes(8)
     assert [(k, b - a) for k, a, b in media.boxes(memoryview(inner + b"\0\0\0\0mdatxyz"), 0, 35)] == [(b"free", 8), (b"mdat", 3)]
@@ -273,6 +326,58 @@ def test_language_backoff_is_progressive():
     assert found == ["x", "y", "x"]
 
 
+def test_language_scores_equal_brute_force():
+    r = random.Random(6)
+    sample = [(prose(r, 30).encode(), "en") for _ in range(6)] + [(" ".join("".join(r.choices(("zü", "ßa", "ko"), k=3)) for _ in range(30)).encode(), "xx") for _ in range(3)]
+    model = langid.fit(sample)
+    count = [Counter() for _ in range(6)]
+    mass = [Counter() for _ in range(6)]
+    marks = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalpha())
+    tidy = lambda t: t.decode().lower().translate(str.maketrans(marks, " " * len(marks))).encode().split()
+
+    def grams(word, n):
+        padded = b" " + word + b" "
+        return [padded[i : i + n] for i in range(len(padded) - n + 1)]
+
+    for text, language in sample:
+        for word in tidy(text):
+            for k, found in enumerate(([word], *(grams(word, n) for n in langid.ORDERS))):
+                for g in found:
+                    count[k][g, language] += 1
+                    mass[k][language] += 1
+    kinds = [{g for g, _ in c} for c in count]
+    total = [Counter() for _ in range(6)]
+    for k, c in enumerate(count):
+        for (g, _), n in c.items():
+            total[k][g] += n
+    known = [{g for g in kinds[k] if total[k][g] >= (2 if k < 3 else 1)} for k in range(6)]
+    log = lambda k, g, x: math.log((count[k][g, x] + langid.FLOOR) / (mass[k][x] + langid.FLOOR * len(kinds[k])))
+    texts = [prose(r, 12).encode(), b"k\xc3\x96k\xc3\xbczu zzzz, the", b"qqq"]
+    got, score = langid.predict(model, G.texts_of(pa.array(texts, pa.binary())), np.ones(3, bool))
+    for text, language, share in zip(texts, got, score, strict=True):
+        sums, n = Counter(), 0
+        for word in tidy(text):
+            for k, found in enumerate(([word], *(grams(word, m) for m in langid.ORDERS))):
+                hits = [g for g in found if g in known[k]]
+                if hits:
+                    n += 1
+                    for x in ("en", "xx"):
+                        sums[x] += sum(log(k, g, x) for g in hits) / len(hits)
+                    break
+        mean = {x: sums[x] / max(1, n) for x in ("en", "xx")}
+        best = max(("en", "xx"), key=lambda x: mean[x])
+        assert language == best and share == pytest.approx(1 / sum(math.exp(m - mean[best]) for m in mean.values()), abs=1e-4)
+
+
+def test_rare_languages_are_learned(spark, monkeypatch):
+    assert langid.bounds({"en": 6000, "sr": 3, "de": 900}, 2000) == {"sr": 3, "de": 900, "en": 1097}
+    monkeypatch.setattr(langid, "SAMPLE", 40)
+    rows = [(i, "alpha beta gamma delta", "en", "s", 0) for i in range(600)] + [(1000 + i, "ovo je nešto drugo", "sr", "s", 0) for i in range(6)]
+    frame = spark.createDataFrame(rows, SHAPE)
+    assert langid.bounds({"en": 600, "sr": 4}) and set(langid.fit_on(frame).languages) == {"en", "sr"}
+    assert langid.identify(frame, langid.fit_on(frame)).where("doc_id >= 1000 AND lang_pred <> 'sr'").count() == 0
+
+
 # 4
 
 
@@ -370,41 +475,88 @@ def test_maxent_base_and_counts(docs, extra, empty):
     assert maxent.score_all(docs, F.lit(False)).where("train_tokens <> 0 OR n_known <> 0").count() == 0
 
 
-def test_maxent_is_a_distribution_and_learns(spark, monkeypatch):
+@pytest.fixture(scope="module")
+def speech(spark):
+    r = random.Random(12)
+    tongues = [[f"{a}{b}" for a in x for b in "aeiou"] for x in ("bdfg", "klmn", "prst")]
+    draw = lambda n: " ".join(r.choices(r.choice(tongues), k=n))
+    return spark.createDataFrame([(i, draw(r.randint(0, 40))) for i in range(400)], "doc_id long, text string").cache()
+
+
+def trained(spark, texts, monkeypatch, frequent=30):
+    monkeypatch.setattr(maxent, "FREQUENT", frequent)
+    counts = maxent.count_tokens(texts)
+    return maxent.train(texts.select("text"), counts), {np.int64(r[0]).view(np.uint64): r[1] for r in counts.collect()}
+
+
+def test_maxent_takes_frequent_tokens_without_ties(spark, monkeypatch):
     monkeypatch.setattr(maxent, "FREQUENT", 3)
-    tied = maxent.count_tokens(spark.createDataFrame([("a b c d e f",)] * 8, "text string"))
-    assert len(maxent.frequent(tied)) <= 3
-    text = "a a a a b b b c c d e f " * 30
-    frame = spark.createDataFrame([(text,)] * 8, "text string")
-    counts = maxent.count_tokens(frame)
-    model = maxent.untrained(counts)
-    table = {np.uint64(np.int64(r[0]).view(np.uint64)): r[1] for r in counts.collect()}
-    tokens = np.array(list(table), np.uint64)
-    classes, frequent, n = maxent.known(model, tokens)
-    weights = 10.0 ** model.inside[classes] * (np.array(list(table.values())) + 0.5)
-    per_class = np.bincount(classes, weights, maxent.CLASSES)
-    assert frequent.sum() == 3
-    head = maxent.CLASSES - maxent.TAIL
-    used = np.unique(classes)
-    assert per_class[used[used < head]] == pytest.approx(1)
-    missing = 10.0 ** model.inside[used[used >= head]] * 0.5
-    assert per_class[used[used >= head]] + missing == pytest.approx(1)
-    part = [G.texts_of(pa.array([text] * 8, pa.binary()))]
-    trained = maxent.Model(model.tokens, model.counts, model.classes, model.inside, model.prior, model.total, model.distinct, maxent.train_part(model, iter(part * 6))[0])
-    before, after = (maxent.local_scores(m, part[0])[0]["score"][0] for m in (model, trained))
-    assert after > before
+    assert len(maxent.frequent(maxent.count_tokens(spark.createDataFrame([("a b c d e f",)] * 8, "text string")))) <= 3
+
 
+def test_maxent_score_equals_brute_force_and_is_a_distribution(spark, speech, monkeypatch):
+    model, count = trained(spark, speech, monkeypatch)
+    vocabulary = np.array(sorted(count), np.uint64)
+    assert len(model.tokens) < len(vocabulary) and model.slots.max() > 0
+    head = maxent.CLASSES - maxent.TAIL
 
-def test_maxent_learns_from_every_position():
+    def log10_of(before, token):
+        """By hand, from the weights: class, slot, then the token's share of a shared slot."""
+        stream = np.array([*before, token], np.uint64)
+        rows = maxent.features(stream, np.array([0, len(stream)]), np.array([len(before)]))
+        (c,), (s,), (known,), (n,) = maxent.known(model, stream[-1:])
+        n = count.get(token, 0) if not known else n
+        soft = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+        p = soft(model.prior + model.weights[rows[0]].astype(float).sum(0))[c]
+        if c < head:
+            inner = maxent.slot_rows(rows, np.array([c], np.int32))
+            p *= soft(model.slot_prior[c] + model.slot_weights[inner[0]].astype(float).sum(0))[s]
+        return math.log10(p) + (model.inside[c] + math.log10(n + 0.5) if s == 0 else 0.0)
+
+    for context in ([], [vocabulary[3]], [vocabulary[1], vocabulary[7], np.uint64(99)]):
+        seen = sum(10 ** log10_of(context, t) for t in vocabulary)
+        unseen = 0.0
+        for k in range(maxent.TAIL):
+            token = next(np.uint64(x) for x in range(10**6, 10**6 + 10**4) if np.uint64(x).view(np.int64) % maxent.TAIL == k and np.uint64(x) not in count)
+            unseen += 10 ** log10_of(context, token)
+        assert seen + unseen == pytest.approx(1, abs=1e-4)
+
+    counts = maxent.count_tokens(speech)
+    got = {r["doc_id"]: r["score"] for r in maxent.score_texts(speech, model, counts).collect()}
+    for d, text in [(r["doc_id"], r["text"]) for r in speech.limit(20).collect()]:
+        tokens = maxent.stream(G.texts_of(pa.array([text])))[0]
+        assert got[d] == pytest.approx(sum(log10_of(tokens[max(0, i - 3) : i], t) for i, t in enumerate(tokens)), abs=1e-3)
+
+
+def test_maxent_counts_every_position_and_expects_by_its_softmax():
     texts = G.texts_of(pa.array(["", "a b", "c", None, "d e f g h i j k l m", "a b"]))
     tokens, at = maxent.stream(texts)
-    order = np.unique(tokens)
-    model = maxent.Model(order, np.ones(len(order), np.int64), np.arange(len(order), dtype=np.int32), np.zeros(maxent.CLASSES), np.zeros(maxent.CLASSES, np.float32), len(tokens), len(order), np.zeros((maxent.ROWS, maxent.CLASSES), np.float32))
-    weights, seen = maxent.train_part(model, iter([texts]))
-    assert seen == len(tokens) == 21
-    rows, target = maxent.features(tokens, at, np.arange(len(tokens))), maxent.known(model, tokens)[0]
-    gained = weights[rows].sum(1)[np.arange(len(tokens)), target]
-    assert (gained > 0).all()
+    every, n = np.unique(tokens.view(np.int64), return_counts=True)
+    top = np.stack([every, n], 1)[np.lexsort((every, -n))]
+    model = maxent.arranged(top, np.arange(len(top)) % maxent.GROUPS, np.zeros((maxent.TAIL, 2), np.int64))
+    model = maxent.replace(model, total=int(n.sum()), weights=np.random.default_rng(1).normal(size=model.weights.shape).astype(np.float32))
+    seen, inner = maxent.observed(model, iter([texts]))
+    assert seen.sum() == inner.sum() == 21 * maxent.FEATURES
+    thought, thought_inner = maxent.expected(model, iter([texts]))
+    assert thought.sum() == pytest.approx(21 * maxent.FEATURES * maxent.PARTS, rel=1e-3) and thought_inner.sum() == pytest.approx(21 * maxent.FEATURES * maxent.PARTS, rel=1e-3)
+    by_hand, count = np.zeros(seen.shape), np.zeros(seen.shape, np.int64)
+    rows, classes = maxent.features(tokens, at, np.arange(len(tokens))), maxent.known(model, tokens)[0]
+    for r, c in zip(rows, classes, strict=True):
+        x = model.prior + model.weights[r].sum(0)
+        p = np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+        for k in r:
+            by_hand[k] += p
+            count[k, c] += 1
+    assert (seen == count).all() and np.abs(thought / maxent.PARTS - by_hand).max() < 1e-3
+    after = maxent.moved(model, [seen, inner], [thought, thought_inner])
+    assert (np.sign(after.weights - model.weights) == np.sign(count * maxent.PARTS - thought)).all()
+
+
+def test_maxent_is_the_same_however_texts_are_dealt_and_beats_counts(spark, speech, monkeypatch):
+    (one, _), (other, _) = (trained(spark, speech.repartition(n), monkeypatch) for n in (1, 7))
+    assert (one.weights == other.weights).all() and (one.slot_weights == other.slot_weights).all() and (one.classes == other.classes).all()
+    out = maxent.score_all(speech, F.col("doc_id") % 5 != 1).where("doc_id % 5 = 1").agg(F.sum("score"), F.sum("base_score")).first()
+    assert out[0] > 0.95 * out[1]
 
 
 # 7 and 10
