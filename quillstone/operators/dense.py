@@ -29,6 +29,15 @@ def rank_key(distance: Column) -> Column:
     return F.round(distance, ORDER_DIGITS)
 
 
+def against(rows: DataFrame, asked: DataFrame, id_column: str = "query_id") -> DataFrame:
+    """Every row beside every query. Queries are broadcast if there are at most `QUERY_BLOCK`; more are dealt to a grid of blocks."""
+    if asked.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK:
+        return rows.join(F.broadcast(asked))
+    side = max(2, -(-asked.count() // QUERY_BLOCK))
+    blocks = asked.withColumn("_b", F.pmod(F.xxhash64(id_column), F.lit(side)))
+    return rows.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(side - 1).cast("long")))).join(blocks, "_b").drop("_b")
+
+
 def topk(chunks: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", filter_sql: str | None = None, prefilter: bool = True, keep: tuple[str, ...] = (), id_column: str = "chunk_id") -> DataFrame:
     """query_id, id, dense_distance, dense_rank (from 0), score, and the kept columns of the k nearest chunks.
 
@@ -42,13 +51,7 @@ def topk(chunks: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
     extra = [c for c in keep if c != id_column]
     rows = rows.select(id_column, *extra, V.doubles("vector").alias("_v"))
     asked = queries.select("query_id", V.doubles("query_vector").alias("_q"))
-    n = asked.limit(QUERY_BLOCK + 1).count()
-    if n <= QUERY_BLOCK:
-        pairs = rows.join(F.broadcast(asked))
-    else:  # too many to broadcast: both sides are dealt to a grid of blocks
-        side = max(2, -(-asked.count() // QUERY_BLOCK))
-        blocks = asked.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(side)))
-        pairs = rows.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(side - 1).cast("long")))).join(blocks, "_b").drop("_b")
+    pairs = against(rows, asked)
     found = pairs.withColumn("dense_distance", V.distance(metric, F.col("_v"), F.col("_q"))).drop("_v", "_q")
     by = Window.partitionBy("query_id").orderBy(rank_key(F.col("dense_distance")), id_column)
     best = found.withColumn("dense_rank", F.row_number().over(by) - 1).where(F.col("dense_rank") < k)

@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.order import natural_key
 
 
+def positions(frame: DataFrame, name: str, part: list[str], coarse: dict[str, str], fine: list[Column]) -> DataFrame:
+    """Adds `name`: the place (from 0) of each row in the order coarse, fine within each part.
+
+    `coarse` maps columns to asc or desc. No part is sorted in one task: rows are numbered within
+    their coarse values, and these values' sizes, summed before they meet, give what stands before.
+    """
+    keys = [*part, *coarse]
+    order = [F.col(c).desc() if way == "desc" else F.col(c).asc() for c, way in coarse.items()]
+    sizes = frame.groupBy(*keys).agg(F.count("*").alias("_n"))
+    by = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.coalesce(F.sum("_n").over(by), F.lit(0)).alias("_before"))
+    rows = frame.withColumn("_inside", F.row_number().over(Window.partitionBy(*keys).orderBy(*fine)) - 1)
+    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)))
+    return rows.join(before, same).withColumn(name, F.col("_before") + F.col("_inside")).drop("_before", "_inside", *(f"_k{i}" for i in range(len(keys))))
+
+
 def folder_rows(results: DataFrame, folder: str = "folder", document: str = "file_path") -> DataFrame:
     """folder, hits, documents."""
     return results.groupBy(folder).agg(F.count("*").alias("hits"), F.count_distinct(document).alias("documents"))
@@ -15,10 +33,11 @@ def folder_rows(results: DataFrame, folder: str = "folder", document: str = "fil
 
 def grouped_order(results: DataFrame, folder: str = "folder", document: str = "file_path") -> DataFrame:
     """Adds `position` (from 0) within each query: folders by their best score, then name; inside by natural path and chunk."""
-    best = F.max("score").over(Window.partitionBy("query_id", folder))
-    rows = results.withColumn("_best", best).withColumn("_key", natural_key(F.col(document)))
-    by = Window.partitionBy("query_id").orderBy(F.desc("_best"), folder, "_key", "chunk_index")
-    return rows.withColumn("position", F.row_number().over(by) - 1).drop("_best", "_key")
+    best = results.groupBy("query_id", folder).agg(F.max("score").alias("_best")).withColumnsRenamed({"query_id": "_q", folder: "_f"})
+    same = F.col("query_id").eqNullSafe(F.col("_q")) & F.col(folder).eqNullSafe(F.col("_f"))
+    rows = results.join(best, same).withColumn("_key", natural_key(F.col(document)))
+    placed = positions(rows, "position", ["query_id"], {"_best": "desc", folder: "asc", "_key": "asc"}, [F.col("chunk_index")])
+    return placed.drop("_best", "_key", "_q", "_f")
 
 
 def document_places(results: DataFrame, folder: str = "folder", document: str = "file_path", order: str = "position") -> DataFrame:

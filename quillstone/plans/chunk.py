@@ -10,9 +10,10 @@ import json
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import cache
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,17 +24,25 @@ DOCUMENT = "title: {title} | text: {content}"
 
 
 class Tokens(Protocol):
-    """encode gives tokens whose concatenation by decode is the text, up to white space."""
+    """encode gives tokens whose concatenation by decode is the text, up to white space.
 
-    def encode(self, text: str) -> list[str]: ...
+    `extra` tokens are put around every text (marks of its start and end). If `additive`, a text
+    between blank lines has as many tokens as its parts, so each part is counted once.
+    """
 
-    def decode(self, tokens: list[str]) -> str: ...
+    additive: bool
+    extra: int
+
+    def encode(self, text: str) -> list: ...
+
+    def decode(self, tokens: list) -> str: ...
 
 
 class WordTokens:
     """Words and marks with the white space before them: deterministic, and exact when decoded."""
 
     PIECE = re.compile(r"\s*(?:\w+|[^\w\s])")
+    additive, extra = True, 0
 
     def encode(self, text: str) -> list[str]:
         return self.PIECE.findall(text)
@@ -42,6 +51,49 @@ class WordTokens:
         return "".join(tokens).strip()
 
 
+@dataclass(frozen=True)
+class RankTokens:
+    """Byte-level BPE by a local rank file and its pattern; `extra` special tokens surround a text."""
+
+    path: str
+    pattern: str
+    extra: int = 2
+    additive = False
+
+    def _coder(self):
+        return _coder(self.path, self.pattern)
+
+    def encode(self, text: str) -> list[int]:
+        return self._coder().encode_ordinary(text)
+
+    def decode(self, tokens: list[int]) -> str:
+        return self._coder().decode_bytes(tokens).decode("utf-8", "ignore").strip()
+
+    def padded(self, texts: list[str], length: int, start: int = 0, end: int = 0, pad: int = 0) -> tuple[list[list[int]], list[list[int]], list[int]]:
+        """(ids, mask, places of the texts that were cut): start, at most length - extra tokens, end, then padding."""
+        ids, masks, cut = [], [], []
+        for place, text in enumerate(texts):
+            found = self.encode(text)
+            if len(found) > length - self.extra:
+                cut.append(place)
+            marks = ([start], [end]) if self.extra == 2 else ([], [])
+            row = [*marks[0], *found[: length - self.extra], *marks[1]]
+            ids.append(row + [pad] * (length - len(row)))
+            masks.append([1] * len(row) + [0] * (length - len(row)))
+        return ids, masks, cut
+
+
+@cache
+def _coder(path: str, pattern: str):
+    import base64
+
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
+    return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
 @dataclass
 class Draft:
     kind: str
@@ -69,17 +121,25 @@ class Folder:
     carried: str = ""
 
     def __post_init__(self) -> None:
-        shell = self.template.replace("{title}", self.title or "none").replace("{content}", "")
-        self.shell = len(self.tokens.encode(shell))
+        self.shell = len(self.tokens.encode(self._rendered(""))) + self.tokens.extra
+        self.used = 0
+
+    def _rendered(self, text: str) -> str:
+        return self.template.replace("{title}", self.title or "none").replace("{content}", text)
 
     def size(self, text: str) -> int:
-        return self.shell + len(self.tokens.encode(text))
+        """Tokens of the rendered template with this text, special ones too."""
+        if self.tokens.additive:
+            return self.shell + len(self.tokens.encode(text))
+        return len(self.tokens.encode(self._rendered(text))) + self.tokens.extra
 
     def fits(self, text: str) -> bool:
         return self.size(text) <= self.budget
 
-    def longest(self, n: int, text: Callable[[int], str]) -> str:
-        """text(k) for the largest k <= n that fits; k = 0 is the fallback."""
+    def longest(self, n: int, text: Callable[[int], str], rest: int = 0) -> str:
+        """text(k) for the largest k <= n that fits; k = 0 is the fallback. text(k) has k + rest tokens."""
+        if self.tokens.additive:
+            return text(max(0, min(n, self.budget - self.shell - rest)))
         low, high = 0, n
         while low < high:
             middle = (low + high + 1) // 2
@@ -88,9 +148,9 @@ class Folder:
 
     def shortened(self, text: str) -> tuple[str, bool]:
         """The text, or its longest run of first tokens within the budget."""
-        if self.fits(text):
-            return text, False
         tokens = self.tokens.encode(text)
+        if self.shell + len(tokens) <= self.budget if self.tokens.additive else self.fits(text):
+            return text, False
         return self.longest(len(tokens), lambda k: self.tokens.decode(tokens[:k])), True
 
     def flush(self, carry: bool) -> None:
@@ -100,19 +160,19 @@ class Folder:
             whole = body
             if self.carried and not cut:
                 tail = self.tokens.encode(self.carried)
-                whole = self.longest(len(tail), lambda k: f"{self.tokens.decode(tail[len(tail) - k:])}\n\n{body}" if k else body)
+                rest = len(self.tokens.encode(body)) if self.tokens.additive else 0
+                whole = self.longest(len(tail), lambda k: f"{self.tokens.decode(tail[len(tail) - k:])}\n\n{body}" if k else body, rest)
             (kind, first), (_, last) = self.places[0], self.places[-1]
             place = dict(first)
             if kind == "markdown" and "line_range" in last:
                 place["line_range"] = [first["line_range"][0], last["line_range"][1]]
-            elif kind == "page" and last.get("page") != first.get("page"):
-                place["last_page"] = last.get("page")
             self.drafts.append(Draft("prose", whole, kind, place, self.headings or (), cut))
             tokens = self.tokens.encode(whole)
             self.carried = self.tokens.decode(tokens[-self.overlap :]) if carry and self.overlap else ""
         if not carry:
             self.carried = ""
         self.body, self.places = [], []
+        self.used = self.shell + (len(self.tokens.encode(self.carried)) if self.carried else 0)
 
     def add(self, s: dict) -> None:
         place = (s["locator_type"], json.loads(s["locator_json"]))
@@ -126,8 +186,12 @@ class Folder:
         if self.headings is not None and path != self.headings:
             self.flush(False)
         self.headings = path
-        if self.body and not self.fits("\n\n".join([*([self.carried] if self.carried else []), *self.body, s["text"]])):
+        more = len(self.tokens.encode(s["text"])) if self.tokens.additive else 0
+        if self.body and not (self.used + more <= self.budget if self.tokens.additive else self.fits("\n\n".join([*([self.carried] if self.carried else []), *self.body, s["text"]]))):
             self.flush(True)
+        if not self.body:
+            self.used = self.shell + (len(self.tokens.encode(self.carried)) if self.carried else 0)
+        self.used += more
         self.body.append(s["text"])
         self.places.append(place)
 
@@ -173,12 +237,31 @@ def chunk_segments(segments: DataFrame, params: IngestParams, tokens: Tokens | N
     if params.token_budget <= 0 or not 0 <= params.prose_overlap_tokens < params.token_budget:
         raise ConfigurationError("the budget must be positive and larger than the overlap")
     counter = tokens or WordTokens()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.astype(object).where(pdf.notna(), None).to_dict("records")
-        return pd.DataFrame(list(fold_file(rows, params, counter)), columns=CHUNK_ROWS.names)
-
-    return segments.groupBy("root_id", "relative_path").applyInPandas(run, CHUNK_ROWS)
+    keys = ["root_id", "relative_path"]
+    shape = pa.schema([(f.name, {T.LongType(): pa.int64(), T.BooleanType(): pa.bool_(), T.StringType(): pa.string()}.get(f.dataType, pa.list_(pa.string()))) for f in CHUNK_ROWS])
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(shape)], schema=shape)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Files come one after another, so only one file's segments are held."""
+        held: list[dict] = []
+        out: list[tuple] = []
+        for part in parts:
+            for row in part.to_pylist():
+                if held and any(row[k] != held[0][k] for k in keys):
+                    out += fold_file(held, params, counter)
+                    held = []
+                held.append(row)
+                if len(out) >= 1000:
+                    yield batch(out)
+                    out = []
+        if held:
+            out += fold_file(held, params, counter)
+        if out:
+            yield batch(out)
+
+    return segments.repartition(*keys).sortWithinPartitions(*keys, "seg_no").mapInArrow(run, CHUNK_ROWS)
 
 
 def text_segments(texts: DataFrame, by_paragraph: bool = False) -> DataFrame:
@@ -211,4 +294,4 @@ def chunk_id_column(root_id: Column, relative_path: Column, kind: Column, locato
     return F.sha2(F.concat(*parts, F.lit("}")), 256)
 
 
-__all__ = ["CHUNK_ROWS", "Draft", "Folder", "Tokens", "WordTokens", "chunk_id_column", "chunk_segments", "fold_file", "sha256_hex", "text_segments"]
+__all__ = ["CHUNK_ROWS", "Draft", "Folder", "RankTokens", "Tokens", "WordTokens", "chunk_id_column", "chunk_segments", "fold_file", "sha256_hex", "text_segments"]

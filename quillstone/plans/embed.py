@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import render_template
 from ..schema import ConfigurationError, model_identity
+from .chunk import DOCUMENT, Tokens
 
 
 @dataclass(frozen=True)
@@ -109,3 +110,26 @@ def embed_documents(records: DataFrame, embedder: Embedder) -> DataFrame:
 def embed_queries(queries: DataFrame, embedder: Embedder) -> DataFrame:
     """query_id, query, query_vector."""
     return queries.withColumn("query_vector", embedder.embed(embedder.profile.query(F.col("query"))))
+
+
+def measured(records: DataFrame, text: str, tokens: Tokens, most: int, template: str = DOCUMENT, title: str | None = None) -> DataFrame:
+    """The records with `n_tokens` of the rendered template, special tokens too, and `truncated`: a model of `most` tokens would cut it."""
+
+    @F.pandas_udf("long")
+    def count(rendered: pd.Series) -> pd.Series:
+        return rendered.map(lambda t: len(tokens.encode(t)) + tokens.extra, na_action="ignore").astype("Int64")
+
+    name = F.col(title) if title is not None else None
+    return records.withColumn("n_tokens", count(render_template(template, F.col(text), name))).withColumn("truncated", F.col("n_tokens") > most)
+
+
+def truncation_report(counted: DataFrame) -> DataFrame:
+    """records, truncated, longest: one row; which ones were cut stays in the table."""
+    return counted.agg(F.count("*").alias("records"), F.count_if("truncated").alias("truncated"), F.max("n_tokens").alias("longest"))
+
+
+def progress(records: DataFrame, batch: int) -> DataFrame:
+    """done, total: how many records are embedded after each batch of so many."""
+    size = records.agg(F.count("*").alias("total"))
+    steps = F.explode(F.sequence(F.lit(batch).cast("long"), F.col("total") + batch - 1, F.lit(batch).cast("long")))
+    return size.where("total > 0").select(steps.alias("done"), "total").select(F.least("done", "total").alias("done"), "total")

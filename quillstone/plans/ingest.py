@@ -87,3 +87,9 @@ def run(spark: SparkSession, roots: Sequence[str], state: State, params: IngestP
     everything = state.registry.read().select(F.from_json("record_json", records.drop("record_json").schema).alias("r")).select("r.*")
     marked.unpersist()
     return Report(everything, removed, omissions, counts)
+
+
+def records_of(registry: DataFrame, root_id: str, relative_path: str) -> DataFrame:
+    """The records of one file, in their order in it."""
+    mine = registry.where((F.col("root_id") == root_id) & (F.col("relative_path") == relative_path))
+    return mine.orderBy(F.get_json_object("record_json", "$.chunk_index").cast("long"), "chunk_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import dense, diversity, expansion, fusion, lexical
@@ -72,7 +72,7 @@ def search(chunks: DataFrame, queries: DataFrame, options: Options | None = None
     """
     o = options or Options()
     found = candidates(chunks, queries, o, table)
-    found = found.join(found.groupBy("query_id").agg(F.count("*").alias("total_candidates")), "query_id")
+    found = found.withColumn("total_candidates", F.count("*").over(Window.partitionBy("query_id")))
     hits = chunks.join(F.broadcast(found) if _few(queries, o) else found, "chunk_id")
     if rerank is not None:
         hits = rerank(hits)

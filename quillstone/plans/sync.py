@@ -14,11 +14,11 @@ from .embed import Embedder, embed_documents
 
 
 def diff(records: DataFrame, index: DataFrame) -> DataFrame:
-    """The records with `change`: added, updated (text or title differ) or unchanged.
+    """The records with `change`: added, updated (the texts differ) or unchanged.
 
     Only ids and digests of the index take part, never its texts or vectors.
     """
-    digest = F.xxhash64(F.col("text"), F.coalesce(F.col("title"), F.lit("")))
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
     known = index.select("chunk_id", digest.alias("_known"))
     both = records.withColumn("_now", digest).join(known, "chunk_id", "left")
     change = F.when(F.col("_known").isNull(), "added").when(F.col("_known") != F.col("_now"), "updated").otherwise("unchanged")

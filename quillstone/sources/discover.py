@@ -37,8 +37,8 @@ def author(relative_path: Column) -> Column:
 
 
 def first_of_each(files: DataFrame, path: str = "abs_path", root_place: str = "root_place") -> DataFrame:
-    """Each file once, under the first root that holds it; paths differ by more than case."""
-    by = Window.partitionBy(F.lower(path)).orderBy(root_place)
+    """Each file once, under the first root that holds it; paths that differ by case are different files."""
+    by = Window.partitionBy(path).orderBy(root_place)
     return files.withColumn("_n", F.row_number().over(by)).where("_n = 1").drop("_n")
 
 

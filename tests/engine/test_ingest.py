@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstone import cli, schema
-from quillstone.plans import compat, config, embed, ingest, render, sync, vision
+from quillstone.plans import chunk, compat, config, embed, ingest, render, sync, vision
 from quillstone.plans.chunk import Folder, WordTokens, chunk_id_column, chunk_segments, text_segments
 from quillstone.plans.embed import HashingEmbedder
 from quillstone.schema import ConfigurationError, IngestParams, SchemaError
@@ -317,3 +317,64 @@ def test_nothing_else_imports_the_optional_subpackage():
 
     root = Path(schema.__file__).parent
     assert not [p for p in root.rglob("*.py") if "llm" not in p.parts and ("quillstone.llm" in p.read_text() or "from .llm" in p.read_text())]
+
+
+def test_paths_that_differ_by_case_are_two_files(spark, tmp_path):
+    for name in ("Note.txt", "note.txt"):
+        (tmp_path / name).write_text(name)
+    found, _ = discover.discover(spark, [str(tmp_path), str(tmp_path) + "/"])
+    assert sorted(r[0] for r in found.select("relative_path").collect()) == ["Note.txt", "note.txt"]
+
+
+def test_a_title_alone_is_no_change(spark):
+    index = spark.createDataFrame([("a", "x", "old"), ("b", "y", "old")], "chunk_id string, text string, title string")
+    new = spark.createDataFrame([("a", "x", "new"), ("b", "z", "old"), ("c", None, None)], "chunk_id string, text string, title string")
+    assert {r["chunk_id"]: r["change"] for r in sync.diff(new, index).collect()} == {"a": "unchanged", "b": "updated", "c": "added"}
+
+
+def test_a_chunk_of_many_pages_stands_at_the_first():
+    page = lambda n: {"kind": "prose", "text": f"word{n}", "locator_type": "page", "locator_json": f'{{"page":{n}}}', "heading_path": [], "provenance_json": None}
+    f = Folder(None, 50, 0, WordTokens())
+    for segment in (page(3), page(4)):
+        f.add(segment)
+    f.flush(False)
+    assert [d.locator for d in f.drafts] == [{"page": 3}]
+
+
+class Plain(WordTokens):
+    """The same tokens, counted in whole texts."""
+
+    additive = False
+
+
+def test_counting_parts_equals_counting_wholes():
+    import random
+
+    r = random.Random(4)
+    rows = [{"seg_no": i, "kind": r.choice(("prose", "prose", "prose", "table")), "text": " ".join(r.choices(("one", "two,", "three.", "x" * 9), k=r.randint(1, 60))), "locator_type": "markdown", "locator_json": f'{{"line_range":[{i},{i}],"ordinal":{i}}}', "heading_path": [str(i // 9)], "provenance_json": None, "root_id": "r", "relative_path": "p", "author": "", "title": "T t", "file_hash": "h"} for i in range(60)]
+    for budget, overlap in ((20, 0), (40, 8), (70, 30), (500, 16)):
+        params = IngestParams(token_budget=budget, prose_overlap_tokens=overlap)
+        assert list(chunk.fold_file(rows, params, WordTokens())) == list(chunk.fold_file(rows, params, Plain()))
+
+
+def test_ranked_tokens_fill_a_model():
+    import public_tokenizers
+
+    t = chunk.RankTokens(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    ids, mask, cut = t.padded(["a few words", "longer " * 40], 16, start=1, end=2)
+    assert [len(x) for x in ids] == [16, 16] and cut == [1] and mask[1] == [1] * 16 and sum(mask[0]) == 2 + len(t.encode("a few words"))
+    assert ids[0][0] == 1 and ids[1][-1] == 2 and t.decode(t.encode("né words")) == "né words"
+    f = chunk.Folder(None, 24, 4, t)
+    for n in range(6):
+        f.add({"kind": "prose", "text": f"a paragraph of words {n}", "locator_type": "markdown", "locator_json": f'{{"line_range":[{n},{n}],"ordinal":{n}}}', "heading_path": [], "provenance_json": None})
+    f.flush(False)
+    assert len(f.drafts) > 1 and all(f.size(d.text) <= 24 for d in f.drafts)
+
+
+def test_truncation_is_reported(spark):
+    from quillstone.plans import embed
+
+    rows = spark.createDataFrame([("one two",), ("w " * 200,), (None,)], "text string")
+    out = embed.measured(rows, "text", WordTokens(), 50)
+    assert [r["n_tokens"] for r in out.collect()] == [8, 206, None] and tuple(embed.truncation_report(out).first()) == (3, 1, 206)
+    assert embed.progress(rows, 2).collect() == [(2, 3), (3, 3)] and embed.progress(rows.limit(0), 2).count() == 0
