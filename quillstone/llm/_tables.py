@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,13 +20,13 @@ def remainder(doc_id: str | Column, modulus: int) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder, from spark.checkpoint.dir; without one there is no folder that all executors share."""
+    """The checkpoint folder, from spark.checkpoint.dir. A local session, whose one machine shares all, gets a new one if that is unset."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return context.getCheckpointDir()
 
 

@@ -41,8 +41,10 @@ FREQUENT, CLASSES, TAIL, SLOTS = 1 << 17, 32, 8, 32
 GROUPED, BESIDE, REACH, GROUPS = 1 << 15, 64, 2, 8
 #: Tokens that a group may begin at.
 FIRST = 1024
-#: Hashed feature rows, features a token, tokens a step.
-ROWS, FEATURES, STEP = 1 << 15, 4, 1 << 14
+#: Hashed feature rows, features a token, tokens a step, and of these so many at a time, whose numbers stay in a core's cache.
+ROWS, FEATURES, STEP, FEW = 1 << 15, 4, 1 << 14, 1 << 12
+#: No weight is larger.
+BOUND = 10.0
 #: Rounds of gradient updates, their rate, the damping of the start, and the counts that smooth both.
 ROUNDS, RATE, START_SHARE, SMOOTH = 1, 0.5, 0.5, 20.0
 #: Expected counts are added in steps of one part in so many.
@@ -252,23 +254,38 @@ def slot_rows(rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return (rows * np.int32(5) + (classes * np.int32(7919))[:, None] + np.int32(1)) & np.int32(ROWS - 1)
 
 
-def _softmax(prior: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+def _mass(prior: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logits, their exponentials, and the sums of these. Weights are bounded, so nothing overflows."""
     logits = weights[rows[:, 0]]
     for k in range(1, FEATURES):
         logits += weights[rows[:, k]]
     logits += prior
-    logits -= logits.max(1, keepdims=True)
-    np.exp(logits, out=logits)
-    logits /= logits.sum(1, keepdims=True)
-    return logits
+    raised = np.exp(logits)
+    return logits, raised, raised.sum(1)
 
 
-def steps(model: Model, texts: G.Texts) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _log10_of(prior: np.ndarray, weights: np.ndarray, rows: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The log10 probability of the chosen one in each line's softmax."""
+    logits, _, sums = _mass(prior, weights, rows)
+    return (logits[np.arange(len(rows)), chosen] - np.log(sums)) * np.float32(1 / np.log(10))
+
+
+def _parts(prior: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The softmax of each line in whole `PARTS`, turned on its side."""
+    out = np.empty((weights.shape[1], len(rows)), np.float32)
+    for i in range(0, len(rows), FEW):
+        _, raised, sums = _mass(prior[i : i + FEW] if prior.ndim > 1 else prior, weights, rows[i : i + FEW])
+        raised *= (np.float32(PARTS) / sums)[:, None]
+        out[:, i : i + FEW] = np.rint(raised, out=raised).T
+    return out
+
+
+def steps(model: Model, texts: G.Texts, size: int = STEP) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(from, class, slot, class rows, slot rows) of so many tokens at a time; slot rows are those of tokens in head classes only."""
     tokens, at = stream(texts)
     classes, slots, _, _ = known(model, tokens)
-    for i in range(0, len(tokens), STEP):
-        c, s = classes[i : i + STEP], slots[i : i + STEP]
+    for i in range(0, len(tokens), size):
+        c, s = classes[i : i + size], slots[i : i + size]
         rows = features(tokens, at, np.arange(i, i + len(c)))
         head = c < CLASSES - TAIL
         yield i, c, s[head], rows, slot_rows(rows[head], c[head])
@@ -297,7 +314,7 @@ def expected(model: Model, parts: Iterator[G.Texts]) -> list[np.ndarray]:
             for table, prior, weights, where in ((out[0], model.prior, model.weights, rows), (out[1], model.slot_prior[head], model.slot_weights, inner)):
                 if len(where):
                     flat = where.ravel()
-                    for line, p in zip(table, np.rint(_softmax(prior, weights, where).T * np.float32(PARTS)), strict=True):
+                    for line, p in zip(table, _parts(prior, weights, where), strict=True):
                         line += np.bincount(flat, np.repeat(p, FEATURES), ROWS)
     return [np.ascontiguousarray(table.T).astype(np.int64) for table in out]
 
@@ -335,7 +352,7 @@ def started(model: Model, seen: list[np.ndarray]) -> Model:
     for table in seen:
         share = (table.sum(0) + 0.5) / (table.sum() + 0.5 * table.shape[1])
         n = table.sum(1, keepdims=True)
-        out.append((START_SHARE * np.log((table + SMOOTH * share) / ((n + SMOOTH) * share))).astype(np.float32))
+        out.append(np.clip(START_SHARE * np.log((table + SMOOTH * share) / ((n + SMOOTH) * share)), -BOUND, BOUND).astype(np.float32))
     return replace(model, weights=out[0], slot_weights=out[1])
 
 
@@ -344,7 +361,7 @@ def moved(model: Model, seen: list[np.ndarray], thought: list[np.ndarray]) -> Mo
     out = []
     for weights, table, guess in zip((model.weights, model.slot_weights), seen, thought, strict=True):
         guess = guess / PARTS
-        out.append((weights + 2 * RATE * (table - guess) / (table + guess + SMOOTH)).astype(np.float32))
+        out.append(np.clip(weights + 2 * RATE * (table - guess) / (table + guess + SMOOTH), -BOUND, BOUND).astype(np.float32))
     return replace(model, weights=out[0], slot_weights=out[1])
 
 
@@ -367,14 +384,11 @@ def local_scores(model: Model, texts: G.Texts) -> tuple[dict[str, np.ndarray], n
     tokens, at = stream(texts)
     classes, slots, frequent, counts = known(model, tokens)
     score = np.zeros(len(tokens))
-    for i, c, s, rows, inner in steps(model, texts):
-        here = slice(i, i + len(c))
-        p = _softmax(model.prior, model.weights, rows)
-        score[here] = np.log10(np.maximum(p[np.arange(len(c)), c], 1e-30))
+    for i, c, s, rows, inner in steps(model, texts, FEW):
+        here, head = slice(i, i + len(c)), c < CLASSES - TAIL
+        score[here] = _log10_of(model.prior, model.weights, rows, c)
         if len(inner):
-            head = c < CLASSES - TAIL
-            p = _softmax(model.slot_prior[c[head]], model.slot_weights, inner)
-            score[here][head] += np.log10(np.maximum(p[np.arange(len(s)), s], 1e-30))
+            score[here][head] += _log10_of(model.slot_prior[c[head]], model.slot_weights, inner, s)
     shared = slots == 0
     score += np.where(shared, model.inside[classes], 0.0)
     log = np.where(frequent, np.log10(counts + 0.5), 0.0)

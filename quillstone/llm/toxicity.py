@@ -180,14 +180,17 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 30
 
 def fit(rows: list[tuple[bytes, int]]) -> Model:
     """Odds and curve from the odd rows of the sample under dictionaries of the even ones; then dictionaries of all rows."""
-    full, odd = dictionaries(rows), rows[1::2]
+    odd = rows[1::2]
     if len({label for _, label in odd}) < 2:
-        return full
+        return dictionaries(rows)
     model = dictionaries(rows[::2])
     texts = G.texts_of(pa.array([t for t, _ in odd], pa.binary()))
     y = np.array([label for _, label in odd], float)
     gains, at = Gains(model)(texts)
     odds = window_odds(gains, np.repeat(y, np.diff(at)))
+    G.trim()
+    full = dictionaries(rows)
+    G.trim()
     return Model(full.toxic, full.ordinary, tuple(odds.tolist()), tuple(_logistic(evidence(gains, at, odds), y).tolist()))
 
 

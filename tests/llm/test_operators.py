@@ -212,7 +212,8 @@ def test_media_query(docs, extra, empty):
 # 2
 
 
-def brute_links(rows, threshold=0.8):
+def brute_classes(rows, threshold=0.8):
+    """The root and the number of links of each row."""
     sets = []
     for _, text, *_ in rows:
         w = words_of(text)
@@ -232,11 +233,16 @@ def brute_links(rows, threshold=0.8):
                 links[i] += 1
                 links[j] += 1
                 parent[find(j)] = find(i)
+    return [find(i) for i in range(n)], links
+
+
+def brute_links(rows, threshold=0.8):
+    roots, links = brute_classes(rows, threshold)
     classes = {}
-    for i in range(n):
-        if rows[i][0] is not None:
-            classes[find(i)] = min(classes.get(find(i), 1 << 60), rows[i][0])
-    return [(rows[i][0], classes.get(find(i)), links[i]) for i in range(n)]
+    for (d, *_), root in zip(rows, roots, strict=True):
+        if d is not None:
+            classes[root] = min(classes.get(root, 1 << 60), d)
+    return [(d, classes.get(root), n) for (d, *_), root, n in zip(rows, roots, links, strict=True)]
 
 
 @pytest.mark.parametrize("block", [512, 2])
@@ -612,6 +618,66 @@ def test_windows_cover_every_word():
     assert at.tolist() == [0, 3, 3, 6] and spans[:3] == [(0, 7), (8, 15), (16, 17)] and [b - a for a, b in spans[3:]] == [512, 512, 276]
 
 
+def test_toxicity_scores_equal_brute_force(judged):
+    docs, labels = judged
+    model = toxicity.fit_on(docs, labels)
+    import zstandard
+
+    coders = []
+    for content in (model.ordinary, model.toxic):
+        held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        coders.append(zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False))
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect() if len(r["text"] or "") < 4000]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_texts(docs, model).collect()}
+    for d, text in rows[:40] + rows[-4:]:
+        low = re.sub(rb"[A-Z]", lambda m: m.group().lower(), raw(text))
+        spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", low)]
+        windows = [low[spans[i][0] : spans[min(i + 8, len(spans)) - 1][1]] for i in range(0, len(spans), 8)]
+        gains = [len(coders[0].compress(b" " + w + b" " + toxicity.CARRIER)) - len(coders[1].compress(b" " + w + b" " + toxicity.CARRIER)) for w in windows]
+        odds = [model.odds[min(max(g, toxicity.LOWEST), toxicity.HIGHEST) - toxicity.LOWEST] for g in gains]
+        x = model.weights[0] + model.weights[1] * min(max(sum(odds), -30), 30) / 10 + model.weights[2] * sum(odds) / max(1, len(odds))
+        assert got[d] == pytest.approx(1 / (1 + math.exp(-x)), abs=1e-9)
+
+
+def test_quality_features_don_t_depend_on_neighbours():
+    texts = [raw(r[1]) for r in ROWS if len(r[1] or "") < 3000]
+    table = np.random.default_rng(5).normal(size=quality.BUCKETS).astype(np.float32)
+    sums, counts = quality.totals(G.texts_of(pa.array(texts, pa.binary())), table)
+    for text, total, n in zip(texts, sums, counts, strict=True):
+        (alone,), (count,) = quality.totals(G.texts_of(pa.array([text], pa.binary())), table)
+        w = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m.group().lower(), text))
+        runs = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        again = sum(k - 1 for k in runs.values())
+        assert n == count == len(w) + max(0, len(w) - 1) + again + sum(max(0, len(text) - k + 1) for k in quality.CHARS)
+        assert total == pytest.approx(alone, rel=1e-6, abs=1e-6)
+    buckets = lambda x: sorted(np.concatenate([b for b, _ in quality.feature_groups(G.texts_of(pa.array([x], pa.binary())))]).tolist())
+    assert buckets(b"A bb A") == buckets(b"a BB a") and quality.TWIN in buckets(b"x x") and quality.AGAIN in buckets(b"a b c a b c")
+
+
+def test_quality_step_equals_dense_arithmetic(monkeypatch):
+    for name, value in (("EPOCHS", 1), ("LEAST_STEPS", 1), ("BATCH", 4)):
+        monkeypatch.setattr(quality, name, value)
+    rows = [(b"one two three", 1), (b"two two", 0), (b"", 0), (b"three four one", 1)]
+    model = quality.fit(rows, seed=3)
+    x = np.zeros((4, quality.BUCKETS))
+    for i, (text, _) in enumerate(rows):
+        for b, _ in quality.feature_groups(G.texts_of(pa.array([text], pa.binary()))):
+            np.add.at(x[i], b, 1)
+    x /= np.maximum(1, x.sum(1, keepdims=True))
+    random_ = np.random.default_rng(3)
+    used = np.flatnonzero(x.sum(0))
+    vectors = np.zeros((quality.BUCKETS, quality.DIM))
+    vectors[used] = random_.uniform(-1 / quality.DIM, 1 / quality.DIM, (len(used), quality.DIM))
+    layer, y = random_.normal(0, 0.3, (quality.DIM, 2)), np.array([r[1] for r in rows])
+    hidden = x @ vectors
+    logits = hidden @ layer
+    wrong = np.exp(logits) / np.exp(logits).sum(1, keepdims=True) - np.eye(2)[y]
+    vectors -= quality.RATE * quality.SCALE / 4 * (x.T @ (wrong @ layer.T))
+    layer = layer - quality.RATE / 4 * hidden.T @ wrong
+    bias = -quality.RATE / 4 * wrong.sum(0)
+    assert model.table[used] == pytest.approx((vectors @ (layer[:, 1] - layer[:, 0]))[used], rel=1e-3, abs=1e-4) and model.bias == pytest.approx(bias[1] - bias[0], abs=1e-5)
+
+
 # 8
 
 
@@ -681,6 +747,26 @@ def test_mix(docs, extra, empty):
     assert mixing.mixture(extra).columns == extra.columns and mixing.mixture(empty).count() == 0
 
 
+def test_taken_words_equal_a_walk_over_the_schedule(docs):
+    sizes = mixing.sized(docs)
+    arcs = mixing.arcs(mixing.targets(sizes))
+    bounds = {r["sid"]: (r["lo"], r["hi"], math.floor(r["target"]), r["source_size"]) for r in arcs.collect()}
+    total = sum(r["target"] for r in arcs.collect())
+    slots = Counter()
+    for k in range(int(-(-total // mixing.BLOCK)) + mixing.SPARE):
+        point = k % mixing.RING * mixing.STEP % mixing.RING
+        slots.update(sid for sid, (lo, hi, *_) in bounds.items() if lo <= point < hi)
+    stream = mixing.streams(sizes, arcs).collect()
+    got = Counter()
+    for r in mixing.mix(docs).collect():
+        got[r["tag"], r["at"], r["size"]] += r["taken"]
+    for r in stream:
+        _, _, goal, size = bounds[r["sid"]]
+        upto = min(goal, slots[r["sid"]] * mixing.BLOCK)
+        words = sum(max(0, min(upto, b + r["size"]) - b) for b in (r["at"], r["at"] + size)) if r["size"] else 0
+        assert got[r["tag"], r["at"], r["size"]] == words
+
+
 def test_mixture_keeps_equal_texts_of_other_sources_apart(spark):
     text = "one two three"
     rows = [(1, text, "en", "s1", 13), (1, text, "de", "s1", 13), (1, text, "en", "s2", 13)]
