@@ -37,6 +37,14 @@ def document_frequency(table: DataFrame) -> DataFrame:
     return table.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def vocabulary(chunks: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
+    """term, df, words of the wanted terms, and for the empty term all chunks and all their words: one pass, summed before it meets."""
+    words = chunks.select(terms(text).alias("_t")).withColumn("_n", F.size("_t").cast("long"))
+    each = words.select("_n", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), "_t"))).alias("term"))
+    every = wanted.unionAll(wanted.sparkSession.range(1).select(F.lit("").alias("term")))
+    return each.join(every, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"), F.sum("_n").alias("words"))
+
+
 def idf(n_docs: Column, df: Column) -> Column:
     return F.log(1 + (n_docs - df + 0.5) / (df + 0.5))
 
@@ -45,24 +53,31 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int, filter_sql: str | None =
     """query_id, id, lexical_score, lexical_rank (from 0) of the k best chunks that hold any query term.
 
     `queries` has query_id and query. Query terms are distinct; statistics are those of the whole
-    corpus; the filter, and the ids in `allowed`, only choose candidates, before the ranking.
-    Without a materialised table of postings, only the query's terms are taken from the chunks.
-    `stats` has one row, so it is broadcast; the postings meet the query terms by term.
+    corpus; the filter, and the ids in `allowed`, only choose candidates, before anything is scored.
+    Without a materialised table of postings, one pass over the chunks counts them and the query's
+    terms, and a second takes only these terms. `stats` has one row, so it is broadcast; the
+    postings meet the weighted query terms by term.
     """
     if k <= 0:
         raise QueryError("the number of results must be positive")
     asked = queries.select("query_id", F.explode(F.array_distinct(terms("query"))).alias("term"))
-    table = postings(chunks, id_column) if table is None else table
-    stats = corpus_stats(chunks) if stats is None else stats
-    held = table.join(asked.select("term").distinct(), "term", "left_semi")
-    weights = held.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(stats)).select("term", "avg_len", idf(F.col("n_docs"), F.col("df")).alias("idf"))
-    hits = held.join(weights, "term").join(asked, "term")
+    wanted = asked.select("term").distinct()
+    if table is None:
+        counted = vocabulary(chunks, wanted)
+        table, stats = postings(chunks, id_column), counted.where("term = ''").select(F.col("df").alias("n_docs"), (F.col("words") / F.col("df")).alias("avg_len")) if stats is None else stats
+        frequency = counted.where("term <> ''").select("term", "df")
+    else:
+        stats = corpus_stats(chunks) if stats is None else stats
+        frequency = document_frequency(table.join(wanted, "term", "left_semi"))
+    held = table.join(wanted, "term", "left_semi")
+    if filter_sql is not None:
+        held = held.join(where(chunks, filter_sql).select(id_column), id_column, "left_semi")
+    if allowed is not None:
+        held = held.join(allowed.select(id_column), id_column, "left_semi")
+    weights = frequency.join(F.broadcast(stats)).select("term", "avg_len", idf(F.col("n_docs"), F.col("df")).alias("idf"))
+    hits = held.join(asked.join(weights, "term"), "term")
     tf = F.col("tf").cast("double")
     part = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("doc_len") / F.col("avg_len")))
     found = hits.groupBy("query_id", id_column).agg(F.sum(part).alias("lexical_score"))
-    if filter_sql is not None:
-        found = found.join(where(chunks, filter_sql).select(id_column), id_column, "left_semi")
-    if allowed is not None:
-        found = found.join(allowed.select(id_column), id_column, "left_semi")
     by = Window.partitionBy("query_id").orderBy(F.round("lexical_score", ORDER_DIGITS).desc(), id_column)
     return found.withColumn("lexical_rank", F.row_number().over(by) - 1).where(F.col("lexical_rank") < k)

@@ -196,8 +196,7 @@ def _parts(spark: SparkSession, sf_dir: str, depth: int = 40) -> tuple[DataFrame
     chunks = chunks_of(spark, sf_dir)
     ids = vectors_of(spark, sf_dir).join(chunks.select("chunk_id"), "chunk_id", "left_semi")
     near = dense.topk(ids, vector_queries(spark, sf_dir), depth).select("query_id", "chunk_id", "dense_distance", "dense_rank", "score")
-    table_ = lexical.postings(chunks)
-    words = lexical.bm25(chunks, text_queries(spark, sf_dir), depth, table=table_, allowed=ids)
+    words = lexical.bm25(chunks, text_queries(spark, sf_dir), depth, allowed=ids)
     return near, words.select("query_id", "chunk_id", "lexical_score", "lexical_rank")
 
 
