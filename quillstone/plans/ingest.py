@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..schema import FILE_STATE, REGISTRY, IngestParams, content_hash
+from ..schema import FILE_STATE, OMISSION_ROWS, REGISTRY, VISION_CACHE, IngestParams, content_hash
 from ..sources import discover, extract
-from ..sources.store import Snapshots, upserted
-from . import sync
+from ..sources.store import Bundle, upserted
+from . import sync, vision
 from .chunk import Tokens, chunk_segments
 
 
@@ -29,6 +29,8 @@ class Report:
     removed: DataFrame
     omissions: DataFrame
     files: dict[str, int]
+    vision_requests: int = 0
+    vision_cache_hits: int = 0
 
     def omission_counts(self) -> DataFrame:
         return discover.omission_counts(self.omissions)
@@ -39,54 +41,56 @@ class Report:
 
 
 class State:
-    """The state tables of ingestion in one folder."""
+    """The state tables of ingestion in one folder, committed together."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.files = Snapshots(spark, f"{folder}/file_state", FILE_STATE)
-        self.registry = Snapshots(spark, f"{folder}/chunk_registry", REGISTRY)
-        self.removed = Snapshots(spark, f"{folder}/removed", REMOVED)
+        self.tables = Bundle(spark, folder, {"file_state": FILE_STATE, "chunk_registry": REGISTRY, "removed": REMOVED, "vision_cache": VISION_CACHE})
 
     def drop(self) -> None:
-        self.files.drop()
-        self.registry.drop()
-        self.removed.drop()
+        self.tables.drop()
 
 
-def run(spark: SparkSession, roots: Sequence[str], state: State, params: IngestParams | None = None, include: Sequence[str] = (), exclude: Sequence[str] = (), tokens: Tokens | None = None) -> Report:
-    """Only new and changed files are read beyond their bytes' hash; the state is committed once a run.
+def run(spark: SparkSession, roots: Sequence[str], state: State, params: IngestParams | None = None, include: Sequence[str] = (), exclude: Sequence[str] = (), tokens: Tokens | None = None, describe: vision.Describe | None = None) -> Report:
+    """Only new and changed files are read beyond their bytes' hash; the state is committed once, at the end.
 
     Ids that a changed file no longer makes are removed too. A file that fails keeps its last good
-    chunks, and so do files of a root that can't be reached.
+    chunks, and so do files of a root that can't be reached. Images become figures by the gates
+    of `vision.resolve`; what they can't be is an omission.
     """
     params, run_id = params or IngestParams(), uuid.uuid4().hex
     keys = ["root_id", "relative_path"]
     found, omissions = discover.discover(spark, roots, include, exclude)
     found = found.withColumn("route", discover.route(F.col("relative_path"), F.col("content"))).withColumn("content_hash", content_hash("content")).withColumn("params_fingerprint", F.lit(params.fingerprint()))
-    known, registry = state.files.read(), state.registry.read()
+    known, registry, cache = (state.tables.read(name) for name in ("file_state", "chunk_registry", "vision_cache"))
     marked = sync.classify(found, known).persist()
     todo = marked.where("status <> 'unchanged' AND route IS NOT NULL").withColumn("file_hash", F.col("content_hash"))
     extracted = extract.extract(todo).persist()
-    omissions = omissions.unionByName(discover.unsupported(marked.withColumn("path", F.concat_ws("/", *keys)))).unionByName(extract.omissions(extracted))
+    seen = vision.resolve_files(extract.images(extracted), marked, cache, describe, params.vision_model, params.prompt_version, params.min_image_pixels).persist()
+    omissions = omissions.unionByName(discover.unsupported(marked.withColumn("path", F.concat_ws("/", *keys)))).unionByName(extract.omissions(extracted)).unionByName(vision.omissions(seen))
     failed = extracted.where("omission = 'failed'").select(*keys).distinct()
-    records = chunk_segments(extract.segments(extracted), params, tokens)
-    records = records.withColumn("record_json", F.to_json(F.struct(*records.columns)))
+    records = chunk_segments(extract.segments(extracted).unionByName(vision.figures(seen, params.vision_model, params.prompt_version)), params, tokens)
+    records = records.withColumn("record_json", F.to_json(F.struct(*records.columns))).persist()
     good = marked.where("route IS NOT NULL").join(failed, keys, "left_anti")
     unreachable = F.col("root_id").isin(*[r.rstrip("/") for r in roots if r not in discover.check_roots(roots)[0]])
     gone = sync.gone(known.where(~unreachable), marked, registry, failed)
     redone = registry.join(good.where("status <> 'unchanged'").select(*keys), keys, "left_semi").join(records.select("chunk_id"), "chunk_id", "left_anti").select("chunk_id", *keys)
-    state.removed.replace(gone.unionByName(redone))
-    removed = state.removed.read()
+    removed = gone.unionByName(redone)
     counts = {r[0]: r[1] for r in marked.groupBy("status").count().collect()}
     kept = registry.join(removed.select("chunk_id"), "chunk_id", "left_anti")
-    new_registry = upserted(kept, records.select("chunk_id", *keys, "record_json"))
     absent = known.where(~unreachable).select(*keys).join(marked.select(*keys), keys, "left_anti")
     stamped = good.select(*keys, "content_hash", "params_fingerprint", "status", F.lit(run_id).alias("last_seen_run"))
-    new_files = upserted(known.join(absent, keys, "left_anti"), stamped, keys)
-    state.registry.replace(new_registry)
-    state.files.replace(new_files)
-    everything = state.registry.read().select(F.from_json("record_json", records.drop("record_json").schema).alias("r")).select("r.*")
-    marked.unpersist()
-    return Report(everything, removed, omissions, counts)
+    state.tables.commit({
+        "removed": removed,
+        "chunk_registry": upserted(kept, records.select("chunk_id", *keys, "record_json")),
+        "file_state": upserted(known.join(absent, keys, "left_anti"), stamped, keys),
+        "vision_cache": upserted(cache, vision.cache_rows(seen, params.vision_model, params.prompt_version), ["image_sha256", "model_id", "prompt_version"]),
+    })
+    everything = state.tables.read("chunk_registry").select(F.from_json("record_json", records.drop("record_json").schema).alias("r")).select("r.*")
+    counted = vision.counters(seen).first()
+    omissions = spark.createDataFrame(omissions.collect(), OMISSION_ROWS)  # a row for each thing left out, as the report lists them
+    for frame in (marked, extracted, seen, records):
+        frame.unpersist()
+    return Report(everything, state.tables.read("removed"), omissions, counts, counted["requests"], counted["cache_hits"])
 
 
 def records_of(registry: DataFrame, root_id: str, relative_path: str) -> DataFrame:

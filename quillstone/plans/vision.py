@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import extract
+
 MIN_PIXELS = 200
 Describe = Callable[[bytes], str]
 
@@ -53,3 +55,60 @@ def cache_rows(resolved: DataFrame, model_id: str, prompt_version: str) -> DataF
 def counters(resolved: DataFrame) -> DataFrame:
     """requests and cache_hits: one row."""
     return resolved.agg(F.count_if(F.col("outcome").isin("described", "vision_failed")).alias("requests"), F.count_if(F.col("outcome") == "cached").alias("cache_hits"))
+
+
+def resolve_files(refs: DataFrame, files: DataFrame, cache: DataFrame, describe: Describe | None, model_id: str = "", prompt_version: str = "", least: int = MIN_PIXELS) -> DataFrame:
+    """The image segments of files with `outcome`, `said` and `reason`; their bytes come from the archive's files.
+
+    An image file is its own image; a Markdown reference names a file beside its document; a
+    workbook's picture is a member of the workbook, and its chart speaks by its ranges. A
+    reference without readable bytes is `unreadable`.
+    """
+    beside = F.concat(F.regexp_extract("relative_path", r"^(.*/)?[^/]*$", 1), F.col("image_ref"))
+    for _ in range(UPWARDS):
+        beside = F.regexp_replace(beside, r"(^|/)\./|(^|/)(?!\.\./)[^/]+/\.\./", "$1$2")
+    inside = F.col("locator_type").isin("image_file", "sheet")
+    rows = refs.withColumn("target", F.when(inside, F.col("relative_path")).otherwise(beside)).withColumn("chart_text", F.when((F.col("locator_type") == "sheet") & (F.col("image_ref") == "chart"), F.col("text")))
+    held = files.select("root_id", F.col("relative_path").alias("target"), F.col("content").alias("_bytes"))
+    rows = rows.join(held, ["root_id", "target"], "left")
+
+    @F.pandas_udf("struct<content:binary,width:int,height:int,reason:string>")
+    def look(content: pd.Series, ref: pd.Series, kind: pd.Series, chart: pd.Series) -> pd.DataFrame:
+        out = []
+        for bytes_, name, locator, text in zip(content, ref, kind, chart, strict=True):
+            try:
+                if text is not None:
+                    out.append((text.encode(), least, least, None))
+                    continue
+                if bytes_ is None:
+                    raise ValueError(f"the image {name} isn't in the archive")
+                found = extract.member(bytes(bytes_), name) if locator == "sheet" else bytes(bytes_)
+                out.append((found, *extract.image_size(found), None))
+            except Exception as e:  # an image that can't be read is a result
+                out.append((None, 0, 0, str(e)))
+        return pd.DataFrame(out, columns=["content", "width", "height", "reason"])
+
+    rows = rows.withColumn("_look", look("_bytes", "image_ref", "locator_type", "chart_text")).select(*(c for c in rows.columns if c not in ("_bytes", "text", "target")), "_look.*")
+    rows = rows.withColumn("image_sha256", F.sha2("content", 256))
+    seen = resolve(rows.where("reason IS NULL"), cache, describe, model_id, prompt_version, least)
+    unread = rows.where("reason IS NOT NULL").withColumn("outcome", F.lit("unreadable")).withColumn("text", F.lit(None).cast("string"))
+    return seen.unionByName(unread).drop("content", "chart_text")
+
+
+#: Folders that a reference may climb.
+UPWARDS = 8
+
+
+def figures(seen: DataFrame, model_id: str, prompt_version: str) -> DataFrame:
+    """What was said of images as segments, where the images stood."""
+    said = seen.where("text IS NOT NULL").withColumn("kind", F.lit("figure"))
+    origin = F.to_json(F.struct(F.lit(prompt_version).alias("prompt_version"), F.lit(model_id).alias("vision_model")))
+    return said.withColumn("provenance_json", origin).drop("outcome", "reason", "width", "height", "image_sha256")
+
+
+def omissions(seen: DataFrame) -> DataFrame:
+    """Images that say nothing, and why."""
+    size = F.concat(F.lit("the image has "), "width", F.lit(" x "), "height", F.lit(" pixels"))
+    reason = F.coalesce("reason", F.when(F.col("outcome") == "below_threshold", size).when(F.col("outcome") == "vision_unavailable", "there is no describer").otherwise("the describer failed"))
+    missing = F.when(F.col("outcome") == "vision_unavailable", "vision")
+    return seen.where("text IS NULL").select(F.col("outcome").alias("category"), F.concat_ws("/", "root_id", "relative_path").alias("path"), reason.alias("reason"), missing.alias("missing_capability"))

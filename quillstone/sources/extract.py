@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import io
 import json
+import posixpath
 import re
 import struct
 import unicodedata
@@ -177,8 +178,8 @@ def column_letters(n: int) -> str:
     return out
 
 
-def _sheets(book: zipfile.ZipFile) -> Iterator[tuple[str, bool, dict[tuple[int, int], tuple[str | None, str | None]], list[tuple[int, int, int, int]]]]:
-    """(name, hidden, cells as (row, column) -> (value, formula), merged ranges) of each sheet."""
+def _sheets(book: zipfile.ZipFile) -> Iterator[tuple[str, str, bool, dict[tuple[int, int], tuple[str | None, str | None]], list[tuple[int, int, int, int]]]]:
+    """(name, member, hidden, cells as (row, column) -> (value, formula), merged ranges) of each sheet."""
     root = ElementTree.fromstring(book.read("xl/workbook.xml"))
     targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
     strings = []
@@ -186,7 +187,8 @@ def _sheets(book: zipfile.ZipFile) -> Iterator[tuple[str, bool, dict[tuple[int,
         strings = ["".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")) for si in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).findall("m:si", _NS)]
     for sheet in root.find("m:sheets", _NS):
         target = targets[sheet.get(_REL)].lstrip("/")
-        tree = ElementTree.fromstring(book.read(target if target.startswith("xl/") else f"xl/{target}"))
+        part = target if target.startswith("xl/") else f"xl/{target}"
+        tree = ElementTree.fromstring(book.read(part))
         found = {}
         for c in tree.iter(f"{{{_NS['m']}}}c"):
             letters, number = re.match(r"([A-Z]+)(\d+)", c.get("r")).groups()
@@ -205,15 +207,53 @@ def _sheets(book: zipfile.ZipFile) -> Iterator[tuple[str, bool, dict[tuple[int,
         for m in tree.iter(f"{{{_NS['m']}}}mergeCell"):
             a, b, c, d = re.match(r"([A-Z]+)(\d+):([A-Z]+)(\d+)", m.get("ref")).groups()
             merged.append((int(b), column_number(a), int(d), column_number(c)))
-        yield sheet.get("name"), sheet.get("state", "visible") != "visible", found, merged
+        yield sheet.get("name"), part, sheet.get("state", "visible") != "visible", found, merged
+
+
+_DRAWING = "{http://schemas.openxmlformats.org/drawingml/2006/spreadsheetDrawing}"
+_CHART = "{http://schemas.openxmlformats.org/drawingml/2006/chart}"
+_EMBED = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}embed"
+
+
+def _related(book: zipfile.ZipFile, part: str) -> dict[str, str]:
+    """The members that a part of the workbook refers to, by id."""
+    folder, _, name = part.rpartition("/")
+    listing = f"{folder}/_rels/{name}.rels"
+    if listing not in book.namelist():
+        return {}
+    return {r.get("Id"): posixpath.normpath(posixpath.join(folder, r.get("Target"))).lstrip("/") for r in ElementTree.fromstring(book.read(listing))}
+
+
+def _anchored(book: zipfile.ZipFile, sheet: str) -> Iterator[tuple[str, str, str | None]]:
+    """(cell, member or `chart`, the chart's ranges) of each picture and chart that is anchored on a sheet."""
+    for drawing in sorted(t for t in _related(book, sheet).values() if "/drawings/drawing" in t):
+        targets = _related(book, drawing)
+        for anchor in ElementTree.fromstring(book.read(drawing)):
+            corner = anchor.find(f"{_DRAWING}from")
+            if corner is None:
+                continue
+            cell = f"{column_letters(int(corner.find(f'{_DRAWING}col').text) + 1)}{int(corner.find(f'{_DRAWING}row').text) + 1}"
+            for node in anchor.iter():
+                if node.get(_EMBED) in targets:
+                    yield cell, targets[node.get(_EMBED)], None
+                elif node.tag == f"{_CHART}chart" and node.get(_REL) in targets:
+                    tree = ElementTree.fromstring(book.read(targets[node.get(_REL)]))
+                    values, categories = ([f.text for part in tree.iter(f"{_CHART}{kind}") for f in part.iter(f"{_CHART}f")] for kind in ("val", "cat"))
+                    parts = [f"{name}: {', '.join(found)}" for name, found in (("values", values), ("categories", list(dict.fromkeys(categories)))) if found]
+                    yield cell, "chart", "; ".join(parts) or "chart"
+
+
+def member(content: bytes, name: str) -> bytes:
+    with zipfile.ZipFile(io.BytesIO(content)) as book:
+        return book.read(name)
 
 
 def workbook(content: bytes) -> tuple[str | None, list[Segment], list[Omission]]:
-    """Blocks (runs of rows with values) and formulas of each visible sheet."""
+    """Blocks (runs of rows with values), formulas, pictures and charts of each visible sheet."""
     out: list[Segment] = []
     omissions: list[Omission] = []
     with zipfile.ZipFile(io.BytesIO(content)) as book:
-        for name, hidden, grid, merged in _sheets(book):
+        for name, part, hidden, grid, merged in _sheets(book):
             if hidden:
                 omissions.append(("hidden_sheet", f"sheet {name} is hidden"))
                 continue
@@ -242,6 +282,8 @@ def workbook(content: bytes) -> tuple[str | None, list[Segment], list[Omission]]
                         omissions.append(("value_unavailable", f"{name}!{cell} has a formula without a stored value"))
                     else:
                         out.append(segment(len(out), "formula", "sheet", {"sheet": name, "cell_range": cell}, text=f"{name}!{cell}: ={formula} -> {value}"))
+            for cell, reference, ranges in _anchored(book, part):
+                out.append(segment(len(out), "image", "sheet", {"sheet": name, "cell_range": cell}, image_ref=reference, text=ranges))
     return None, out, omissions
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,11 +41,14 @@ def stats(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count("*").alias("chunks"), F.count_distinct("file_path").alias("documents"), F.array_sort(F.collect_set(F.when(identity != "", identity))).alias("identities"), F.count_if(identity == "").alias("unstamped"))
 
 
-class Snapshots:
-    """A named table of versions below a folder of any file system that Spark reaches."""
+class Bundle:
+    """Named tables of versions below a folder of any file system that Spark reaches, behind one pointer.
 
-    def __init__(self, spark: SparkSession, folder: str, schema: StructType):
-        self.spark, self.folder, self.schema = spark, folder.rstrip("/"), schema
+    A commit writes the next versions and then moves the pointer, so all tables change or none.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, schemas: Mapping[str, StructType]):
+        self.spark, self.folder, self.schemas = spark, folder.rstrip("/"), dict(schemas)
         self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -56,46 +60,72 @@ class Snapshots:
         found = (s.getPath().getName() for s in self._fs.listStatus(folder))
         return sorted(n for n in found if n.startswith(prefix))
 
-    def _current(self) -> tuple[int, str | None]:
-        """The number of the last pointer and the version that it names."""
-        pointers = self._names("CURRENT-")
-        if not pointers:
-            return 0, None
-        text = self.spark.read.text(f"{self.folder}/{pointers[-1]}", wholetext=True).first()[0]
-        return int(pointers[-1].removeprefix("CURRENT-")), json.loads(text)["version"]
+    def _pointer(self, name: str) -> dict[str, str]:
+        return json.loads(self.spark.read.text(f"{self.folder}/{name}", wholetext=True).first()[0])
 
-    def version(self) -> str | None:
-        return self._current()[1]
+    def versions(self) -> dict[str, str]:
+        """The version of each table that the last pointer names."""
+        pointers = self._names("CURRENT-")
+        return self._pointer(pointers[-1]) if pointers else {}
 
-    def read(self) -> DataFrame:
+    def read(self, name: str) -> DataFrame:
         """The current version; an empty table if there is none yet."""
-        version = self.version()
+        version = self.versions().get(name)
         if version is None:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/{version}")
+            return self.spark.createDataFrame([], self.schemas[name])
+        return self.spark.read.schema(self.schemas[name]).parquet(f"{self.folder}/{version}")
 
-    def replace(self, rows: DataFrame) -> None:
-        """Writes the rows as the next version and points to it; of the older versions only the last stays."""
-        (number, last), version = self._current(), f"v-{uuid.uuid4().hex}"
+    def shaped(self, name: str, rows: DataFrame) -> DataFrame:
+        return rows.select(*(F.col(f.name).cast(f.dataType) for f in self.schemas[name]))
+
+    def commit(self, tables: Mapping[str, DataFrame]) -> None:
+        """Writes these tables' next versions and points to them; of the older versions only the last stay."""
+        pointers = self._names("CURRENT-")
+        number = int(pointers[-1].removeprefix("CURRENT-")) if pointers else 0
+        old = self._pointer(pointers[-1]) if pointers else {}
+        new = dict(old)
         try:
-            rows.select(*(F.col(f.name).cast(f.dataType) for f in self.schema)).write.parquet(f"{self.folder}/{version}")
+            for name, rows in tables.items():
+                new[name] = f"v-{uuid.uuid4().hex}"
+                self.shaped(name, rows).write.parquet(f"{self.folder}/{new[name]}")
         except Exception as e:
             raise StoreError(f"the table can't be written: {e}") from e
-        new = self._path(f"{self.folder}/{version}.pointer")
-        out = self._fs.create(new, True)
-        out.write(json.dumps({"version": version}).encode())
+        waiting = self._path(f"{self.folder}/{uuid.uuid4().hex}.pointer")
+        out = self._fs.create(waiting, True)
+        out.write(json.dumps(new).encode())
         out.close()
-        if not self._fs.rename(new, self._path(f"{self.folder}/CURRENT-{number + 1:012d}")):
+        if not self._fs.rename(waiting, self._path(f"{self.folder}/CURRENT-{number + 1:012d}")):
             raise StoreError("another writer has replaced the table")
-        for name in [n for n in self._names("v-") if n not in (version, last)] + self._names("CURRENT-")[:-2]:
+        kept = {*old.values(), *new.values()}
+        for name in [n for n in self._names("v-") if n not in kept] + self._names("CURRENT-")[:-2]:
             self._fs.delete(self._path(f"{self.folder}/{name}"), True)
 
+    def drop(self) -> None:
+        self._fs.delete(self._path(self.folder), True)
+
+
+class Snapshots:
+    """One table of versions: a bundle of one."""
+
+    def __init__(self, spark: SparkSession, folder: str, schema: StructType):
+        self.bundle = Bundle(spark, folder, {"rows": schema})
+        self.spark, self.folder, self.schema = spark, self.bundle.folder, schema
+
+    def version(self) -> str | None:
+        return self.bundle.versions().get("rows")
+
+    def read(self) -> DataFrame:
+        return self.bundle.read("rows")
+
+    def replace(self, rows: DataFrame) -> None:
+        self.bundle.commit({"rows": rows})
+
     def append(self, rows: DataFrame) -> None:
         version = self.version()
         if version is None:
             self.replace(rows)
         else:
-            rows.select(*(F.col(f.name).cast(f.dataType) for f in self.schema)).write.mode("append").parquet(f"{self.folder}/{version}")
+            self.bundle.shaped("rows", rows).write.mode("append").parquet(f"{self.folder}/{version}")
 
     def upsert(self, rows: DataFrame, key: str | list[str]) -> None:
         self.replace(upserted(self.read(), rows, key))
@@ -122,7 +152,8 @@ class Snapshots:
 
     def bytes(self) -> int:
         version = self.version()
-        return 0 if version is None else self._fs.getContentSummary(self._path(f"{self.folder}/{version}")).getLength()
+        fs, path = self.bundle._fs, self.bundle._path
+        return 0 if version is None else fs.getContentSummary(path(f"{self.folder}/{version}")).getLength()
 
     def drop(self) -> None:
-        self._fs.delete(self._path(self.folder), True)
+        self.bundle.drop()

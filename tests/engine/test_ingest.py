@@ -10,6 +10,7 @@ from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quillstone import cli, schema
 from quillstone.plans import chunk, compat, config, embed, ingest, render, sync, vision
@@ -378,3 +379,80 @@ def test_truncation_is_reported(spark):
     out = embed.measured(rows, "text", WordTokens(), 50)
     assert [r["n_tokens"] for r in out.collect()] == [8, 206, None] and tuple(embed.truncation_report(out).first()) == (3, 1, 206)
     assert embed.progress(rows, 2).collect() == [(2, 3), (3, 3)] and embed.progress(rows.limit(0), 2).count() == 0
+
+
+def png(width, height, mark=b""):
+    return b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", width, height) + bytes(9) + mark
+
+
+def drawn_book():
+    """A workbook with one cell, a picture at B3 and a chart at D1."""
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    pack = "http://schemas.openxmlformats.org/package/2006/relationships"
+    rels = lambda **t: f'<Relationships xmlns="{pack}">' + "".join(f'<Relationship Id="{k}" Type="x" Target="{v}"/>' for k, v in t.items()) + "</Relationships>"
+    d, a, c = (f"http://schemas.openxmlformats.org/drawingml/2006/{x}" for x in ("spreadsheetDrawing", "main", "chart"))
+    anchor = lambda col, row, inner: f"<d:twoCellAnchor><d:from><d:col>{col}</d:col><d:row>{row}</d:row></d:from>{inner}</d:twoCellAnchor>"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="S" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", rels(r1="worksheets/sheet1.xml"))
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData><row><c r="A1" t="inlineStr"><is><t>cell</t></is></c></row></sheetData></worksheet>')
+        z.writestr("xl/worksheets/_rels/sheet1.xml.rels", rels(r1="../drawings/drawing1.xml"))
+        z.writestr("xl/drawings/drawing1.xml", f'<d:wsDr xmlns:d="{d}" xmlns:a="{a}" xmlns:c="{c}" xmlns:r="{rel}">{anchor(1, 2, "<d:pic><d:blipFill><a:blip r:embed=" + chr(34) + "p1" + chr(34) + "/></d:blipFill></d:pic>")}{anchor(3, 0, "<d:graphicFrame><c:chart r:id=" + chr(34) + "c1" + chr(34) + "/></d:graphicFrame>")}</d:wsDr>')
+        z.writestr("xl/drawings/_rels/drawing1.xml.rels", rels(p1="../media/image1.png", c1="../charts/chart1.xml"))
+        z.writestr("xl/media/image1.png", png(400, 300, b"book"))
+        z.writestr("xl/charts/chart1.xml", f'<c:chartSpace xmlns:c="{c}"><c:ser><c:cat><c:strRef><c:f>S!A1:A3</c:f></c:strRef></c:cat><c:val><c:numRef><c:f>S!B1:B3</c:f></c:numRef></c:val></c:ser></c:chartSpace>')
+    return out.getvalue()
+
+
+def test_pictures_and_charts_of_a_workbook():
+    _, found, omitted = extract.workbook(drawn_book())
+    assert [(s["kind"], s["image_ref"], s["text"], s["locator_json"]) for s in found[1:]] == [("image", "xl/media/image1.png", None, '{"sheet":"S","cell_range":"B3"}'), ("image", "chart", "values: S!B1:B3; categories: S!A1:A3", '{"sheet":"S","cell_range":"D1"}')]
+    assert not omitted and extract.member(drawn_book(), "xl/media/image1.png").endswith(b"book")
+
+
+def test_images_become_figures_once(spark, tmp_path):
+    root, state = tmp_path / "archive", ingest.State(spark, str(tmp_path / "state"))
+    (root / "ann/img").mkdir(parents=True)
+    (root / "ann/img/big.png").write_bytes(png(300, 300, b"big"))
+    (root / "ann/img/small.png").write_bytes(png(20, 300))
+    (root / "ann/a.md").write_text("# T\n\nbefore ![x](./img/big.png) after\n\n![y](../ann/img/small.png)\n\n![z](img/none.png)\n")
+    (root / "b.xlsx").write_bytes(drawn_book())
+
+    def describe(content: bytes) -> str:
+        if content.endswith(b"book"):
+            raise ValueError("blurred")
+        return "seen " + content[-3:].decode()
+
+    params = IngestParams(token_budget=60, prose_overlap_tokens=8, vision_model="m", prompt_version="1")
+    one = ingest.run(spark, [str(root)], state, params, describe=describe)
+    figures = {(r["relative_path"], r["text"]) for r in one.records.where("chunk_kind = 'figure'").collect()}
+    assert figures == {("ann/a.md", "seen big"), ("ann/img/big.png", "seen big"), ("b.xlsx", "values: S!B1:B3; categories: S!A1:A3")}
+    order = [r["text"] for r in one.records.where("relative_path = 'ann/a.md'").orderBy("chunk_index").collect()]
+    assert order == ["before", "seen big", "after"]
+    assert {r["category"]: r["n"] for r in one.omission_counts().collect()} == {"below_threshold": 2, "unreadable": 1, "vision_failed": 1}
+    assert (one.vision_requests, one.vision_cache_hits) == (3, 0)
+    assert state.tables.read("vision_cache").count() == 1 and len(state.tables._names("CURRENT-")) == 1
+    (root / "ann/a.md").write_text("# T\n\nchanged ![x](img/big.png)\n")
+    two = ingest.run(spark, [str(root)], state, params, describe=None)
+    assert ("ann/a.md", "seen big") in {(r["relative_path"], r["text"]) for r in two.records.where("chunk_kind = 'figure'").collect()}
+    assert two.vision_cache_hits == 1 and len(state.tables._names("CURRENT-")) == 2
+    assert [json.loads(r["record_json"])["chunk_kind"] for r in ingest.records_of(state.tables.read("chunk_registry"), str(root), "ann/a.md").collect()] == ["prose", "figure"]
+    without_one = ingest.run(spark, [str(root)], ingest.State(spark, str(tmp_path / "other")), params)
+    assert {r["category"]: r["n"] for r in without_one.omission_counts().collect()} == {"below_threshold": 1, "vision_unavailable": 3}
+
+
+def test_a_commit_moves_all_tables_or_none(spark, tmp_path):
+    from quillstone.schema import StoreError
+    from quillstone.sources.store import Bundle
+
+    shape = StructType.fromDDL("a long")
+    both = Bundle(spark, str(tmp_path / "both"), {"x": shape, "y": shape})
+    row = lambda n: spark.createDataFrame([(n,)], "a long")
+    both.commit({"x": row(1), "y": row(1)})
+    both.commit({"x": row(2)})
+    assert [both.read(n).first()[0] for n in ("x", "y")] == [2, 1]
+    bad = row(3).select(F.raise_error(F.lit("no")).cast("long").alias("a"))
+    with pytest.raises(StoreError):
+        both.commit({"x": row(3), "y": bad})
+    assert [both.read(n).first()[0] for n in ("x", "y")] == [2, 1]
