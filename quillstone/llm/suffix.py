@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _grams as G
-from ._tables import settled
+from ._tables import settled, written
 
 LENGTH, GRAM = 200, 32
 LEFT = LENGTH - GRAM  # an anchor is at most so far behind the start of its string
@@ -240,8 +240,8 @@ def sort_buckets(rows: DataFrame, block: int = BLOCK) -> DataFrame:
 def removals(documents: DataFrame, block: int = BLOCK) -> DataFrame:
     """row, check, runs: the repeated bytes (from, to; perhaps overlapping) of the rows (row, check, text) that have some."""
     often = settled(count_anchors(documents).where("n > 1").select("anchor"))  # so that the next join's large partitions can be split
-    found = settled(places(documents).join(often, "anchor"))
-    contexts = settled(found.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("row", "check", "place", "extent")).alias("one")))
+    found = written(places(documents).join(often, "anchor"))  # as Parquet, as checkpoints aren't compressed
+    contexts = written(found.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("row", "check", "place", "extent")).alias("one")))
     buckets = contexts.groupBy("anchor").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 AND least = 1").select("anchor", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
     place = F.struct("anchor", "context", F.pmod(F.xxhash64("context"), F.col("blocks")).cast("int").alias("block"), "blocks", F.expr(LEAD).alias("lead"), "place", F.expr(SPAN).alias("span"))
     wanted = contexts.select("anchor", "context", "one.*").join(settled(buckets), "anchor").select("row", "check", place.alias("w")).groupBy("row", "check").agg(F.collect_list("w").alias("wanted"))
