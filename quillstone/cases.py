@@ -6,8 +6,12 @@ speak of errors or of the folder itself return literal rows.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .functions import text as X
 from .functions import vectors as V
@@ -17,7 +21,7 @@ from .plans import archive, chunk, compat, embed, ingest, render, sync, vision
 from .plans.search import Options, search
 from .queries import POOL_SQL, TAGS, chunks_of, query, table, text_queries, vector_queries, vectors_of
 from .schema import EngineError, IngestParams
-from .sources import discover, extract
+from .sources import corpus, discover, extract, store
 
 DOCS = "documents"
 ESC = "\x1b"
@@ -484,3 +488,69 @@ def archive_corpus(spark, sf_dir):
     return archive.build(files, total=60, floor=3).select("chunk_id", "publication", "article_title", "text")
 
 
+
+
+@query("""WITH e AS (SELECT event_type AS model, event_id::DOUBLE AS t, value, CASE WHEN event_id % 13 <> 0 THEN value END AS w, event_id FROM events),
+c AS (SELECT model, count(value) AS calls, median(value) AS m, quantile_disc(value, 0.95) AS p, 3 * count(*) AS inputs, sum(value) AS s, max(event_id) AS peak, arg_min(event_id, t) AS baseline, avg(CASE WHEN event_id % 4 = 0 THEN 1.0 ELSE 0.5 END) AS r FROM e GROUP BY 1),
+d AS (SELECT *, coalesce(lead(t) OVER (PARTITION BY model ORDER BY t) - t, 0) AS d FROM e), j AS (SELECT model, coalesce(sum(w * d), 0) AS j, sum(CASE WHEN w IS NULL THEN d ELSE 0 END) AS u FROM d GROUP BY 1)
+SELECT model, calls, round(m, 6) AS median, round(p, 6) AS p95, inputs, round(CASE WHEN s > 0 THEN inputs / s END, 6) AS per_second, round(u, 3) AS unmeasured_s, round(j * 1000 / inputs, 3) AS joules_per_thousand, peak, baseline, round(r, 6) AS mean_recall FROM c JOIN j USING (model)""")
+def bench_matrix(spark, sf_dir):
+    """Event types as models: every event is a call, a sample of power, of memory, and a recall."""
+    e = table(spark, sf_dir, "events").withColumnRenamed("event_type", "model").withColumn("at_seconds", F.col("event_id").cast("double"))
+    out = evaluation.matrix(
+        e.select("model", F.lit(3).alias("inputs"), F.col("value").alias("seconds")),
+        e.select("model", "at_seconds", F.when(F.col("event_id") % 13 != 0, F.col("value")).alias("watts")),
+        e.select("model", "at_seconds", F.col("event_id").alias("bytes")),
+        e.select("model", F.when(F.col("event_id") % 4 == 0, 1.0).otherwise(0.5).alias("recall")),
+    )
+    return out.select("model", "calls", "inputs", "peak", "baseline", *(F.round(c, n).alias(c) for c, n in (("median", 6), ("p95", 6), ("per_second", 6), ("unmeasured_s", 3), ("joules_per_thousand", 3), ("mean_recall", 6))))
+
+
+# Tables on disk
+
+
+def _scratch(spark) -> str:
+    """A new folder below the one that the cluster shares; a local session without one gets its own."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='tables-')}/{uuid.uuid4().hex}"
+
+
+@query("SELECT doc_id AS chunk_id, text || CASE WHEN doc_id % 5 = 0 THEN '!' ELSE '' END AS text FROM documents WHERE (doc_id % 2 = 0 OR doc_id % 3 = 0 OR doc_id % 5 = 0) AND doc_id % 7 <> 0 AND doc_id % 11 <> 0")
+def store_cycle(spark, sf_dir):
+    """A table that is made, appended to, upserted, thinned twice and compacted."""
+    c = table(spark, sf_dir, DOCS).select(F.col("doc_id").alias("chunk_id"), "text")
+    t = store.Snapshots(spark, _scratch(spark), T.StructType.fromDDL("chunk_id long, text string"))
+    t.append(c.where("chunk_id % 2 = 0"))
+    t.append(c.where("chunk_id % 2 = 1 AND chunk_id % 3 = 0"))
+    t.upsert(c.where("chunk_id % 5 = 0").withColumn("text", F.concat("text", F.lit("!"))), "chunk_id")
+    t.delete("chunk_id % 7 = 0")
+    t.delete_ids(c.where("chunk_id % 11 = 0"), "chunk_id")
+    t.compact()
+    return t.read()
+
+
+@query("SELECT 'old' AS table_name, doc_id FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT 'new', doc_id FROM documents WHERE doc_id % 3 = 0")
+def bundle_commit(spark, sf_dir):
+    """Two tables behind one pointer: a commit of one leaves the other, a commit that fails leaves both."""
+    d = table(spark, sf_dir, DOCS).select("doc_id")
+    shape = T.StructType.fromDDL("doc_id long")
+    both = store.Bundle(spark, _scratch(spark), {"old": shape, "new": shape})
+    both.commit({"old": d.where("doc_id % 2 = 0"), "new": d})
+    both.commit({"new": d.where("doc_id % 3 = 0")})
+    try:
+        both.commit({"old": d, "new": d.select(F.when(F.col("doc_id") >= 0, F.raise_error(F.lit("stop")).cast("long")).otherwise(F.col("doc_id")).alias("doc_id"))})
+    except EngineError:
+        pass
+    return both.read("old").select(F.lit("old").alias("table_name"), "doc_id").unionAll(both.read("new").select(F.lit("new").alias("table_name"), "doc_id"))
+
+
+@query("SELECT 'q' || item_id AS query_id, text AS query, 'p/' || item_id || '#' || 2 * item_id AS chunk_id FROM benchmark WHERE 2 * item_id IN (SELECT doc_id FROM documents)")
+def corpus_lines(spark, sf_dir):
+    """A benchmark corpus written as JSON lines, then read and checked: two excerpts an article, one judgement a query."""
+    folder = _scratch(spark)
+    article = F.floor(F.col("doc_id") / 2).cast("string")
+    d = table(spark, sf_dir, DOCS)
+    chunks = d.select(F.concat(F.lit("p/"), article, F.lit("#"), "doc_id").alias("chunk_id"), F.lit("p").alias("publication"), article.alias("article_id"), F.lit("T").alias("article_title"), F.concat(F.lit("excerpt "), "doc_id").alias("text"))
+    chunks.write.json(f"{folder}/chunks.jsonl")
+    judged = table(spark, sf_dir, "benchmark").join(d.select((F.col("doc_id") / 2).alias("item_id")).where("item_id = floor(item_id)"), "item_id", "left_semi")
+    judged.select(F.concat(F.lit("q"), "item_id").alias("query_id"), "text", F.array(F.concat(F.lit("p/"), "item_id", F.lit("#"), (2 * F.col("item_id")).cast("string"))).alias("relevant_chunk_ids")).write.json(f"{folder}/relevance.jsonl")
+    return corpus.load(spark, folder)[1]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 import time
 from collections.abc import Sequence
@@ -106,7 +107,8 @@ def _search(args, config) -> str:
     total = (rows.agg({"total_candidates": "max"}).first()[0]) or 0
     if args.json:
         return render.search_json(rows, args.query, options.mode, "cpu", args.group_by_folder, total, time.time() - began)
-    return render.search_text(rows, args.query, options.mode, "cpu", args.group_by_folder)
+    color = render.may_color(args.no_color, sys.stdout.isatty(), os.environ)
+    return render.search_text(rows, args.query, options.mode, "cpu", args.group_by_folder, color)
 
 
 def _index(args, config) -> str:

@@ -81,7 +81,7 @@ def search_cells(celled: DataFrame, centres: DataFrame, queries: DataFrame, k: i
     if exact:
         return topk(celled, queries, k, metric, id_column=id_column)
     asked = queries.select("query_id", V.doubles("query_vector").alias("_q"))
-    near = asked.join(F.broadcast(centres)).withColumn("_d", V.squared_l2(F.col("_q"), F.col("centre")))
+    near = against(centres, asked).withColumn("_d", V.squared_l2(F.col("_q"), F.col("centre")))
     near = near.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("_d", "cell"))).where(F.col("_n") <= nprobes).select("query_id", "_q", "cell")
     found = celled.select(id_column, "cell", V.doubles("vector").alias("_v")).join(near, "cell").withColumn("dense_distance", V.distance(metric, F.col("_v"), F.col("_q")))
     by = Window.partitionBy("query_id").orderBy(rank_key(F.col("dense_distance")), id_column)

@@ -72,6 +72,21 @@ def memory(samples: DataFrame, run: str = "run_id", at: str = "at_seconds", valu
     return samples.groupBy(run).agg(F.max(value).alias("peak"), F.min_by(value, at).alias("baseline"))
 
 
+def matrix(timings: DataFrame, power: DataFrame, memory_: DataFrame, recalls: DataFrame) -> DataFrame:
+    """One row a model: its latencies, throughput, energy for a thousand inputs, memory and mean recall.
+
+    timings: model, inputs, seconds of each call; power: model, at_seconds, watts; memory_: model,
+    at_seconds, bytes; recalls: model, recall. Models without a measure of a kind have nulls there.
+    """
+    calls = latency(timings, ["model"], "seconds").withColumnsRenamed({"n": "calls", "percentile": "p95"})
+    totals = timings.groupBy("model").agg(F.sum("inputs").alias("inputs"), F.sum("seconds").alias("_seconds"))
+    out = calls.join(totals, "model").withColumn("per_second", throughput(F.col("inputs"), F.col("_seconds"))).drop("_seconds")
+    used = energy(power, "model").select("model", "joules", "unmeasured_s")
+    out = out.join(used, "model", "left").withColumn("joules_per_thousand", joules_per_thousand(F.col("joules"), F.col("inputs"))).drop("joules")
+    out = out.join(memory(memory_, "model"), "model", "left")
+    return out.join(recalls.groupBy("model").agg(F.avg("recall").alias("mean_recall")), "model", "left")
+
+
 def composition(chunks: DataFrame, group: str, length: Column) -> DataFrame:
     """One row for each group: chunks, and the least, greatest, mean and total length."""
     return chunks.groupBy(group).agg(F.count("*").alias("chunks"), F.min(length).alias("least"), F.max(length).alias("greatest"), F.avg(length).alias("mean"), F.sum(length).alias("total"))

@@ -6,7 +6,7 @@ The shapes are built by Spark; only the rows that are shown (a query's limit) re
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,18 +50,34 @@ def search_json(rows: DataFrame, query: str, mode: str, provider: str, grouped:
     return json.dumps(head | {"folders": listed, "results": results}, ensure_ascii=False, indent=indent)
 
 
-def search_text(rows: DataFrame, query: str, mode: str, provider: str, grouped: bool = False) -> str:
-    shown = rows.withColumn("snippet", X.snippet(F.col("text"))).withColumn("context", X.snippet(F.col("expanded_context"), 400)).orderBy("position").collect()
+#: The terminal's codes for the styles of a result.
+STYLES = {"reset": "\x1b[0m", "bold": "\x1b[1m", "dim": "\x1b[2m", "cyan": "\x1b[36m", "green": "\x1b[32m", "magenta": "\x1b[35m"}
+
+
+def styled(text: str, style: str, color: bool) -> str:
+    return f"{STYLES[style]}{text}{STYLES['reset']}" if color else text
+
+
+def may_color(asked_not_to: bool, terminal: bool, environment: Mapping[str, str]) -> bool:
+    """Styles are for a terminal only, unless the user or NO_COLOR (if set to anything) says no."""
+    return terminal and not asked_not_to and not environment.get("NO_COLOR")
+
+
+def search_text(rows: DataFrame, query: str, mode: str, provider: str, grouped: bool = False, color: bool = False) -> str:
+    """Results for a terminal; escapes that come from the archive are taken out, so only these styles are there."""
+    clean = {c: X.strip_ansi(F.col(c)) for c in ("folder", "breadcrumb")}
+    shown = rows.withColumns(clean | {"snippet": X.snippet(F.col("text")), "context": X.snippet(F.col("expanded_context"), 400)}).orderBy("position").collect()
+    head = [f"{styled('Query:', 'bold', color)} {query}", f"Mode: {mode} | Provider: {provider}"]
     if not shown:
-        return f"Query: {query}\nMode: {mode} | Provider: {provider}\n\nNo results."
-    lines = [f"Query: {query}", f"Mode: {mode} | Provider: {provider}", f"Results: {len(shown)} in {len({r['folder'] for r in shown})} folders", "=" * RULER]
+        return "\n".join([*head, "", "No results."])
+    lines = [*head, f"Results: {len(shown)} in {len({r['folder'] for r in shown})} folders", styled("=" * RULER, "dim", color)]
     folder = None
     for r in shown:
         if grouped and r["folder"] != folder:
             folder = r["folder"]
-            tags = f" [{', '.join(r['tags'])}]" if r["tags"] else ""
-            lines += [f"Folder: {folder}{tags}", "-" * RULER]
-        lines += [f"{r['breadcrumb']} [Score: {r['score']:.3f}]", f'  "{r["snippet"]}"']
+            tags = " " + styled(f"[{', '.join(r['tags'])}]", "magenta", color) if r["tags"] else ""
+            lines += [styled(f"Folder: {folder}", "cyan", color) + tags, styled("-" * RULER, "dim", color)]
+        lines += [f"{r['breadcrumb']} {styled(f'[Score: {r["score"]:.3f}]', 'green', color)}", f'  "{r["snippet"]}"']
         if r["context"]:
             lines.append(f"  Context: {r['context']}")
         lines.append("")

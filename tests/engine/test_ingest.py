@@ -456,3 +456,13 @@ def test_a_commit_moves_all_tables_or_none(spark, tmp_path):
     with pytest.raises(StoreError):
         both.commit({"x": row(3), "y": bad})
     assert [both.read(n).first()[0] for n in ("x", "y")] == [2, 1]
+
+
+def test_styles_are_for_terminals(spark):
+    rows = spark.createDataFrame([(0, 0, "f\x1b[31m", ["t"], "[x\x1b7]", 0.5, "text", None)], "query_id int, position int, folder string, tags array<string>, breadcrumb string, score double, text string, expanded_context string")
+    plain, bright = (render.search_text(rows, "q", "dense_only", "cpu", True, color) for color in (False, True))
+    assert "\x1b" not in plain and "Folder: f [t]" in plain and "[x] [Score: 0.500]" in plain
+    from quillstone.functions import text as X
+
+    assert "\x1b[36mFolder: f\x1b[0m" in bright and spark.range(1).select(X.strip_ansi(F.lit(bright)).alias("x")).first()["x"] == plain
+    assert render.may_color(False, True, {}) and not any(render.may_color(*x) for x in ((True, True, {}), (False, False, {}), (False, True, {"NO_COLOR": "1"})))
