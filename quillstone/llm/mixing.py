@@ -26,7 +26,7 @@ STEP = 1_327_217_884
 #: Equal arcs that slots and sources are matched on.
 CELLS = 4096
 #: Pieces of a source's shuffled order, and slots in a row, that one task numbers.
-PIECES = 1024
+PIECES = 1 << 13
 RUN = 1 << 16
 BLOCK = 64
 WORD = r"[^\x20\x09-\x0D]+"
