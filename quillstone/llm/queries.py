@@ -23,6 +23,19 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+OP2_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM d),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 10 * i >= 8 * (x.n + y.n - i)),
+l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+c AS (SELECT r, r AS m FROM d UNION SELECT c.r, l.b FROM c JOIN l ON c.m = l.a),
+k AS (SELECT c.r, min(d.doc_id) AS class_id FROM c JOIN d ON d.r = c.m GROUP BY 1)
+SELECT d.doc_id, class_id, (SELECT count(*) FROM l WHERE l.a = d.r) AS n_links FROM d JOIN k USING (r)
+"""
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     found = langid.identify(documents, langid.fit_on(documents))
@@ -38,6 +51,21 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.report(table(spark, sf_dir, "documents"))
 
 
+OP5_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT r, unnest(range(0, length(h) // 2 - 199)) AS i, h FROM d WHERE length(h) >= 400),
+g AS (SELECT r, i, md5_number(substring(h, 2 * i + 1, 400)) AS g FROM s),
+q AS (SELECT r, i FROM g WHERE g IN (SELECT g FROM g GROUP BY g HAVING count(*) > 1)),
+o AS (SELECT *, i - lag(i) OVER (PARTITION BY r ORDER BY i) AS step FROM q),
+u AS (SELECT *, sum(CASE WHEN step <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS run FROM o),
+v AS (SELECT r, run, min(i) AS a, max(i) + 200 AS z FROM u GROUP BY 1, 2),
+x AS (SELECT r, list({'a': a, 'z': z} ORDER BY a) AS runs, sum(z - a) AS n_removed, count(*) AS n_spans FROM v GROUP BY 1)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN runs IS NULL THEN h ELSE array_to_string(list_transform(range(1, len(runs) + 2), lambda k: substring(h, (2 * CASE WHEN k = 1 THEN 0 ELSE runs[k - 1].z END + 1)::BIGINT, (2 * (CASE WHEN k > len(runs) THEN length(h) // 2 ELSE runs[k].a END - CASE WHEN k = 1 THEN 0 ELSE runs[k - 1].z END))::BIGINT)), '') END)) AS kept_sha256
+FROM d LEFT JOIN x USING (r)
+"""
+
+
 def op6_maxent_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = remainder("doc_id", 5) == 1
     scored = maxent.score_all(table(spark, sf_dir, "documents"), ~held)
@@ -98,4 +126,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_source_mix": op9_source_mix,
     "op10_quality_classifier": op10_quality_classifier,
 }
-ORACLES: dict[str, str] = {"op8_quality_rules": OP8_SQL}
+ORACLES: dict[str, str] = {"op2_jaccard_join": OP2_SQL, "op5_suffix_dedup": OP5_SQL, "op8_quality_rules": OP8_SQL}
