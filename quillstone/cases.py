@@ -386,6 +386,12 @@ def corpus_policy(spark, sf_dir):
     return evaluation.policy_breaches(_corpus(spark, sf_dir))
 
 
+@query("WITH g AS (SELECT doc_id % 10 AS q, count(DISTINCT doc_id) AS n FROM labels WHERE quality = 1 GROUP BY 1) SELECT count(*) AS queries, sum(n)::BIGINT AS judgements, min(n) AS least, max(n) AS greatest, round(avg(n), 6) AS mean FROM g")
+def judgement_stats(spark, sf_dir):
+    judged = table(spark, sf_dir, "labels").where("quality = 1").select((F.col("doc_id") % 10).alias("query_id"), F.col("doc_id").alias("chunk_id"))
+    return evaluation.judgements(judged).withColumn("mean", F.round("mean", 6))
+
+
 @query("SELECT doc_id FROM labels WHERE doc_id % 2 = 1")
 def unknown_judgements(spark, sf_dir):
     return evaluation.unknown_judgements(table(spark, sf_dir, "labels").select("doc_id"), table(spark, sf_dir, DOCS).where("doc_id % 2 = 0"), "doc_id")

@@ -92,6 +92,12 @@ def composition(chunks: DataFrame, group: str, length: Column) -> DataFrame:
     return chunks.groupBy(group).agg(F.count("*").alias("chunks"), F.min(length).alias("least"), F.max(length).alias("greatest"), F.avg(length).alias("mean"), F.sum(length).alias("total"))
 
 
+def judgements(relevant: DataFrame, id_column: str = "chunk_id") -> DataFrame:
+    """queries, judgements, least, greatest, mean: how many relevant ids the queries have; one row."""
+    each = relevant.select("query_id", id_column).distinct().groupBy("query_id").agg(F.count("*").alias("n"))
+    return each.agg(F.count("*").alias("queries"), F.sum("n").alias("judgements"), F.min("n").alias("least"), F.max("n").alias("greatest"), F.avg("n").alias("mean"))
+
+
 def policy_breaches(chunks: DataFrame, most_chars: int = 500, per_article: int = 2) -> DataFrame:
     """rule, chunk_id of what a benchmark corpus may not hold; no rows if all is well."""
     outside = ~F.startswith(F.col("chunk_id"), F.concat_ws("#", F.concat_ws("/", "publication", "article_id"), F.lit("")))
