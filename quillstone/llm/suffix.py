@@ -12,7 +12,7 @@ those whose remainder is in a difference cover are ranked once a block, so a tie
 rank at the next sampled column and the bytes of the end, and memory is bounded by the block. Buckets
 of more neighbourhoods than a block are cut; their strings meet again by fingerprints.
 
-Fingerprints of neighbourhoods and anchors have 64 bits. Defined results: texts are UTF-8 bytes,
+Fingerprints of neighbourhoods have 64 bits, those of anchors 48; anchors that agree by chance share a bucket. Defined results: texts are UTF-8 bytes,
 null is empty; texts shorter than `LENGTH` keep all; overlaps within a text count; equal rows are
 places of their own; rows with equal ids but other texts are separate.
 """
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _grams as G
-from ._tables import settled, written
+from ._tables import written
 
 LENGTH, GRAM = 200, 32
 LEFT = LENGTH - GRAM  # an anchor is at most so far behind the start of its string
@@ -36,6 +36,7 @@ COVER = 32
 BLOCK = 4096
 PLACE = 31  # bits of a place in the key that is minimised
 WIDTH = LEFT + LENGTH
+SHORTER = 16  # bits that an anchor's number drops: it only names a bucket, in which all bytes are compared
 
 
 def cover(modulus: int = COVER) -> tuple[int, ...]:
@@ -81,7 +82,7 @@ def anchors(texts: G.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     place = (least[valid] & G.U((1 << PLACE) - 1)).astype(np.int64)
     new = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     last = valid[np.append(new[1:], len(valid)) - 1]
-    return prints[place[new]], place[new], valid[new], last
+    return prints[place[new]] >> G.U(SHORTER), place[new], valid[new], last
 
 
 #: `extent` is the lead (bytes before the anchor) in the upper half and the span (bytes in all) in the lower.
@@ -239,14 +240,15 @@ def sort_buckets(rows: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def removals(documents: DataFrame, block: int = BLOCK) -> DataFrame:
     """row, check, runs: the repeated bytes (from, to; perhaps overlapping) of the rows (row, check, text) that have some."""
-    often = settled(count_anchors(documents).where("n > 1").select("anchor"))  # so that the next join's large partitions can be split
-    found = written(places(documents).join(often, "anchor"))  # as Parquet, as checkpoints aren't compressed
+    # written as Parquet, as checkpoints aren't compressed; and then a join's large partitions can be split
+    often = written(count_anchors(documents).where("n > 1").select("anchor"))
+    found = written(places(documents).join(often, "anchor"))
     contexts = written(found.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("row", "check", "place", "extent")).alias("one")))
     buckets = contexts.groupBy("anchor").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 AND least = 1").select("anchor", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
     place = F.struct("anchor", "context", F.pmod(F.xxhash64("context"), F.col("blocks")).cast("int").alias("block"), "blocks", F.expr(LEAD).alias("lead"), "place", F.expr(SPAN).alias("span"))
-    wanted = contexts.select("anchor", "context", "one.*").join(settled(buckets), "anchor").select("row", "check", place.alias("w")).groupBy("row", "check").agg(F.collect_list("w").alias("wanted"))
+    wanted = contexts.select("anchor", "context", "one.*").join(written(buckets), "anchor").select("row", "check", place.alias("w")).groupBy("row", "check").agg(F.collect_list("w").alias("wanted"))
     pieces = cut(documents.join(wanted, ["row", "check"]))
-    sorted_ = settled(sort_buckets(pieces.repartition("anchor", "block").sortWithinPartitions("anchor", "block"), block))
+    sorted_ = written(sort_buckets(pieces.repartition("anchor", "block").sortWithinPartitions("anchor", "block"), block))
     strings = sorted_.where("string IS NOT NULL").groupBy("anchor", "column", "string").agg(F.collect_set("context").alias("contexts"), F.count("*").alias("all"))
     known = contexts.select("context", "n", "one.extent").select("context", "n", F.expr(LEAD).alias("lead"), F.expr(SPAN).alias("span"))
     late = strings.where("all > 1").select(F.explode("contexts").alias("context"), "column").join(known, "context")
