@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, langid, maxent, media, mixing, quality, rules, suffix, toxicity
+from . import audit, bpe, jaccard, langid, maxent, media, minmax, mixing, quality, rules, suffix, toxicity, trie
 from ._labels import held_out
 from ._tables import remainder, table
 
@@ -114,6 +114,71 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP11_SQL = r"""
+WITH l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1),
+d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+m AS (SELECT t, min(doc_id) AS least FROM d GROUP BY 1),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+        || CASE WHEN 100 * (length(d.t) - length(regexp_replace(d.t, '[A-Z]', '', 'g'))) > 3 * length(d.t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(d.t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN d.doc_id > least THEN 'E' ELSE '' END AS fails
+      FROM d JOIN m ON m.t = d.t LEFT JOIN l ON l.doc_id = d.doc_id),
+c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY 1, 2),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || g.x || h.x || i.x AS filter_order FROM x a, x b, x g, x h, x i WHERE len(list_distinct([a.x, b.x, g.x, h.x, i.x])) = 5),
+s AS (SELECT filter_order, k AS step, substring(filter_order, k, 1) AS own, substring(filter_order, 1, k - 1) AS before FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS k)),
+r AS (SELECT part, filter_order, step, own, n, good, toxic, fails, translate(fails, before, '') <> fails AS gone, contains(fails, own) AS failing FROM c, s),
+t AS (SELECT part, filter_order, step, own, sum(CASE WHEN NOT gone AND NOT failing THEN n ELSE 0 END) AS kept, sum(CASE WHEN NOT gone AND failing THEN n ELSE 0 END) AS removed, sum(CASE WHEN gone AND failing THEN n ELSE 0 END) AS redundant,
+        sum(CASE WHEN fails = own THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN NOT gone AND failing THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN NOT gone AND failing THEN toxic ELSE 0 END) AS toxic_lost FROM r GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM t
+"""
+
+
+def op12_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax.near_dedup(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, unnest(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM d),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+c AS (SELECT r, r AS m FROM d UNION SELECT c.r, l.b FROM c JOIN l ON c.m = l.a),
+k AS (SELECT c.r, min(d.doc_id) AS component_id FROM c JOIN d ON d.r = c.m GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id IS NOT DISTINCT FROM component_id AS kept FROM d JOIN k USING (r) LEFT JOIN n USING (r)
+"""
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+OP13_SQL = r"""
+WITH t AS (SELECT conv_id AS c, turn, sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS k, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, k, words, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, k) AS no FROM t),
+-- h is the CRC-32 of the decimal id, bit by bit, modulo 4
+b AS (SELECT c, count(*) AS n, c - c % 20 AS base, list_reduce(list_concat([4294967295], flatten(list_transform(range(1, length(c::VARCHAR) + 1), lambda i: [ascii(substring(c::VARCHAR, i::BIGINT, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+        lambda x, y: CASE WHEN y >= 0 THEN xor(x, y) WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END) AS crc FROM o GROUP BY c),
+v AS (SELECT b.c, b.n, b.base, xor(b.crc, 4294967295) % 4 AS h, least(xor(b.crc, 4294967295) % 4, coalesce(g.n, 0)) AS m FROM b LEFT JOIN b g ON g.c = b.base),
+r AS (SELECT v.c, o.no AS depth, k, words FROM v JOIN o ON o.c = v.base AND o.no <= v.m UNION ALL SELECT v.c, v.m + o.no - v.h, k, words FROM v JOIN o ON o.c = v.c AND o.no > v.h
+      UNION ALL SELECT c, 0, '', 0 FROM v),
+p AS (SELECT c, depth, words, max(depth) OVER (PARTITION BY c) AS length, md5(string_agg(k, '' ORDER BY depth) OVER (PARTITION BY c ORDER BY depth)) AS p FROM r),
+a AS (SELECT *, min(c) OVER (PARTITION BY depth, p) AS node, count(*) OVER (PARTITION BY depth, p) AS n FROM p),
+x AS (SELECT y.node, y.depth, y.n, y.words, z.node AS parent FROM a y LEFT JOIN a z ON z.c = y.node AND z.depth = y.depth - 1 WHERE y.c = y.node),
+k AS (SELECT parent AS node, depth - 1 AS depth, count(*) AS n_children FROM x WHERE parent IS NOT NULL GROUP BY 1, 2),
+w AS (SELECT x.*, coalesce(n_children, 0) AS n_children FROM x LEFT JOIN k USING (node, depth)),
+s AS (SELECT a.node, a.depth, sum(CASE WHEN w.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((w.n - 1) * w.words) AS saved FROM w JOIN a ON a.c = w.node AND a.depth <= w.depth GROUP BY 1, 2),
+e AS (SELECT node, depth, string_agg(c::VARCHAR, ',' ORDER BY c) AS ends FROM a WHERE depth = length GROUP BY 1, 2)
+SELECT w.node AS conv_id, w.depth::BIGINT AS depth, w.parent AS parent_conv_id, w.n AS n_convs, w.n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM w JOIN s USING (node, depth) LEFT JOIN e USING (node, depth)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
     "op2_jaccard_join": op2_jaccard_join,
@@ -125,5 +190,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_source_mix": op9_source_mix,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_minmax_dedup": op12_minmax_dedup,
+    "op13_prefix_trie": op13_prefix_trie,
 }
-ORACLES: dict[str, str] = {"op2_jaccard_join": OP2_SQL, "op5_suffix_dedup": OP5_SQL, "op8_quality_rules": OP8_SQL}
+ORACLES: dict[str, str] = {"op2_jaccard_join": OP2_SQL, "op5_suffix_dedup": OP5_SQL, "op8_quality_rules": OP8_SQL, "op11_filter_audit": OP11_SQL, "op12_minmax_dedup": OP12_SQL, "op13_prefix_trie": OP13_SQL}
