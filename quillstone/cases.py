@@ -6,7 +6,6 @@ speak of errors or of the folder itself return literal rows.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +21,7 @@ from .plans.search import Options, search
 from .queries import POOL_SQL, TAGS, chunks_of, query, table, text_queries, vector_queries, vectors_of
 from .schema import EngineError, IngestParams
 from .sources import corpus, discover, extract, store
+from .sources.scratch import shared_folder
 
 DOCS = "documents"
 ESC = "\x1b"
@@ -516,8 +516,8 @@ def bench_matrix(spark, sf_dir):
 
 
 def _scratch(spark) -> str:
-    """A new folder below the one that the cluster shares; a local session without one gets its own."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='tables-')}/{uuid.uuid4().hex}"
+    """A new folder below the one that the cluster shares."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 @query("SELECT doc_id AS chunk_id, text || CASE WHEN doc_id % 5 = 0 THEN '!' ELSE '' END AS text FROM documents WHERE (doc_id % 2 = 0 OR doc_id % 3 = 0 OR doc_id % 5 = 0) AND doc_id % 7 <> 0 AND doc_id % 11 <> 0")

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .positions import placed
+
 SEPARATOR = "\n\n---\n\n"
 
 
@@ -88,5 +90,6 @@ def rollup_aggregate(results: DataFrame, document: str = "file_path") -> DataFra
     texts = F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "rank", "text"))), lambda s: s["text"])
     best = F.max_by(F.struct(*rest), F.struct("score", (-F.col("rank")).alias("r"))) if rest else F.lit(None)
     out = results.groupBy("query_id", document).agg(best.alias("_best"), F.max("score").alias("score"), F.array_join(texts, SEPARATOR).alias("text"), F.sum("token_count").alias("token_count"), F.min("rank").alias("rank"))
-    out = out.select("query_id", document, *(f"_best.{c}" for c in rest), "score", "text", "token_count", F.lit("document").alias("chunk_kind"), "rank")
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")) - 1)
+    out = out.select("query_id", document, *(f"_best.{c}" for c in rest), "score", "text", "token_count", F.lit("document").alias("chunk_kind"), F.col("rank").alias("_first"))
+    columns = [*out.columns[:-1], "rank"]
+    return placed(out, ["query_id"], ["_first"], "rank").select(*columns)

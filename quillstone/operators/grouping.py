@@ -4,26 +4,21 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.order import natural_key
+from .positions import placed
 
 
 def positions(frame: DataFrame, name: str, part: list[str], coarse: dict[str, str], fine: list[Column]) -> DataFrame:
     """Adds `name`: the place (from 0) of each row in the order coarse, fine within each part.
 
-    `coarse` maps columns to asc or desc. No part is sorted in one task: rows are numbered within
-    their coarse values, and these values' sizes, summed before they meet, give what stands before.
+    `coarse` maps columns to asc or desc. Rows are dealt by ranges of the whole order, so neither
+    a part nor the coarse values of one meet in one task.
     """
-    keys = [*part, *coarse]
     order = [F.col(c).desc() if way == "desc" else F.col(c).asc() for c, way in coarse.items()]
-    sizes = frame.groupBy(*keys).agg(F.count("*").alias("_n"))
-    by = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.coalesce(F.sum("_n").over(by), F.lit(0)).alias("_before"))
-    rows = frame.withColumn("_inside", F.row_number().over(Window.partitionBy(*keys).orderBy(*fine)) - 1)
-    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)))
-    return rows.join(before, same).withColumn(name, F.col("_before") + F.col("_inside")).drop("_before", "_inside", *(f"_k{i}" for i in range(len(keys))))
+    return placed(frame, part, [*order, *fine], name)
 
 
 def folder_rows(results: DataFrame, folder: str = "folder", document: str = "file_path") -> DataFrame:
@@ -41,8 +36,13 @@ def grouped_order(results: DataFrame, folder: str = "folder", document: str = "f
 
 
 def document_places(results: DataFrame, folder: str = "folder", document: str = "file_path", order: str = "position") -> DataFrame:
-    """Adds `document_index` (from 1, in order of first sight) and `document_total` within each folder."""
-    first = F.min(order).over(Window.partitionBy("query_id", folder, document))
-    rows = results.withColumn("_first", first)
-    rows = rows.withColumn("document_index", F.dense_rank().over(Window.partitionBy("query_id", folder).orderBy("_first")))
-    return rows.withColumn("document_total", F.max("document_index").over(Window.partitionBy("query_id", folder))).drop("_first")
+    """Adds `document_index` (from 1, in order of first sight) and `document_total` within each folder.
+
+    Documents are numbered by their first places, a row each, however many results they have.
+    """
+    keys = ["query_id", folder, document]
+    seen = results.groupBy(*keys).agg(F.min(order).alias("_first_seen"))
+    numbered = placed(seen, keys[:2], ["_first_seen"], "_index", "document_total")
+    numbered = numbered.select((F.col("_index") + 1).alias("document_index"), "document_total", *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)))
+    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)))
+    return results.join(numbered, same).drop("_k0", "_k1", "_k2")

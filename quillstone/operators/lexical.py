@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import QueryError
+from ..sources.scratch import written
 from .dense import where
 
 K1, B = 1.2, 0.75
@@ -37,12 +38,15 @@ def document_frequency(table: DataFrame) -> DataFrame:
     return table.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def vocabulary(chunks: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
-    """term, df, words of the wanted terms, and for the empty term all chunks and all their words: one pass, summed before it meets."""
-    words = chunks.select(terms(text).alias("_t")).withColumn("_n", F.size("_t").cast("long"))
-    each = words.select("_n", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), "_t"))).alias("term"))
+def held_terms(chunks: DataFrame, wanted: DataFrame, id_column: str = "chunk_id", text: str = "text") -> DataFrame:
+    """term, id, tf, doc_len of the wanted terms, and a row of the empty term for each chunk: texts are read and cut into terms once.
+
+    What is kept is written, so that counts, statistics and scores come from it and not from the texts again.
+    """
+    words = chunks.select(id_column, terms(text).alias("_t")).withColumn("doc_len", F.size("_t").cast("long"))
+    each = words.select(id_column, "doc_len", F.explode(F.concat(F.array(F.lit("")), "_t")).alias("term"))
     every = wanted.unionAll(wanted.sparkSession.range(1).select(F.lit("").alias("term")))
-    return each.join(every, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"), F.sum("_n").alias("words"))
+    return written(each.join(every, "term", "left_semi").groupBy(id_column, "doc_len", "term").agg(F.count("*").alias("tf")).select("term", id_column, "tf", "doc_len"))
 
 
 def idf(n_docs: Column, df: Column) -> Column:
@@ -54,21 +58,21 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int, filter_sql: str | None =
 
     `queries` has query_id and query. Query terms are distinct; statistics are those of the whole
     corpus; the filter, and the ids in `allowed`, only choose candidates, before anything is scored.
-    Without a materialised table of postings, one pass over the chunks counts them and the query's
-    terms, and a second takes only these terms. `stats` has one row, so it is broadcast; the
-    postings meet the weighted query terms by term.
+    Without a materialised table of postings, one pass over the texts takes the query's terms, and
+    everything else comes from these. `stats` has one row, so it is broadcast; the postings meet
+    the weighted query terms by term.
     """
     if k <= 0:
         raise QueryError("the number of results must be positive")
     asked = queries.select("query_id", F.explode(F.array_distinct(terms("query"))).alias("term"))
     wanted = asked.select("term").distinct()
     if table is None:
-        counted = vocabulary(chunks, wanted)
-        table, stats = postings(chunks, id_column), counted.where("term = ''").select(F.col("df").alias("n_docs"), (F.col("words") / F.col("df")).alias("avg_len")) if stats is None else stats
-        frequency = counted.where("term <> ''").select("term", "df")
+        seen = held_terms(chunks, wanted, id_column)
+        table = seen.where("term <> ''")
+        stats = seen.where("term = ''").agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len")) if stats is None else stats
     else:
         stats = corpus_stats(chunks) if stats is None else stats
-        frequency = document_frequency(table.join(wanted, "term", "left_semi"))
+    frequency = document_frequency(table.join(wanted, "term", "left_semi"))
     held = table.join(wanted, "term", "left_semi")
     if filter_sql is not None:
         held = held.join(where(chunks, filter_sql).select(id_column), id_column, "left_semi")

@@ -8,6 +8,7 @@ below the shared folder first: ranges are sampled anew whenever they are compute
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
@@ -34,3 +35,20 @@ def positions(rows: DataFrame, order: list[str | Column], name: str = "position"
     offsets = rows.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(counts, before, strict=False)], "_part long, _before long")
     at = kept.withColumn("_part", part).join(F.broadcast(offsets), "_part")
     return at.withColumn(name, F.col("_before") + place).drop("_id", "_part", "_before")
+
+
+def placed(rows: DataFrame, part: list[str], order: list[str | Column], name: str, size: str | None = None) -> DataFrame:
+    """The rows with their place (from 0) within their part in the order, and with `size`, the number of its rows.
+
+    Parts are ranges of the one order over all rows, so a part of most rows is cut like any other;
+    what is joined back is a row a part.
+    """
+    found = positions(rows, [*part, *order], "_pos")
+    if not part and size is None:
+        return found.withColumnRenamed("_pos", name)
+    firsts = found.groupBy(*part).agg(F.min("_pos").alias("_pos_first"), F.count("*").alias("_pos_size"))
+    firsts = firsts.select("_pos_first", "_pos_size", *(F.col(c).alias(f"_pos_part{i}") for i, c in enumerate(part)))
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_pos_part{i}")) for i, c in enumerate(part)), F.lit(True))
+    out = found.join(firsts, same).withColumn(name, F.col("_pos") - F.col("_pos_first"))
+    out = out if size is None else out.withColumn(size, F.col("_pos_size"))
+    return out.drop("_pos", "_pos_first", "_pos_size", *(f"_pos_part{i}" for i in range(len(part))))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import dense, diversity, expansion, fusion, lexical
+from ..operators.blocks import PostingBlocks
 from ..schema import FUSIONS, METRICS, MODES, ConfigurationError, QueryError
 
 Rerank = Callable[[DataFrame], DataFrame]
@@ -47,14 +48,18 @@ class Options:
         return self.fetch_k or max(4 * self.limit, 30)
 
 
-def candidates(chunks: DataFrame, queries: DataFrame, o: Options, table: DataFrame | None = None) -> DataFrame:
+def candidates(chunks: DataFrame, queries: DataFrame, o: Options, table: DataFrame | PostingBlocks | None = None) -> DataFrame:
     """query_id, chunk_id, score, rank and the diagnostics of either list; queries that are blank find nothing."""
     asked = queries.where(F.trim("query") != "")
     near = words = None
     if o.mode != "lexical_only":
         near = dense.topk(chunks, asked, o.depth, o.metric, o.filter_sql, o.prefilter).select("query_id", "chunk_id", "dense_distance", "dense_rank", "score")
     if o.mode != "dense_only":
-        words = lexical.bm25(chunks, asked, o.depth, o.filter_sql, table).select("query_id", "chunk_id", "lexical_score", "lexical_rank")
+        if isinstance(table, PostingBlocks):
+            found = table.search(asked, o.depth, None if o.filter_sql is None else dense.where(chunks, o.filter_sql))
+        else:
+            found = lexical.bm25(chunks, asked, o.depth, o.filter_sql, table)
+        words = found.select("query_id", "chunk_id", "lexical_score", "lexical_rank")
     if words is None:
         return near.withColumn("rank", F.col("dense_rank")).withColumn("lexical_score", F.lit(None).cast("double")).withColumn("lexical_rank", F.lit(None).cast("int"))
     if near is None:
@@ -64,7 +69,7 @@ def candidates(chunks: DataFrame, queries: DataFrame, o: Options, table: DataFra
     return fusion.linear(near, words, o.linear_alpha, o.depth)
 
 
-def search(chunks: DataFrame, queries: DataFrame, options: Options | None = None, table: DataFrame | None = None, rerank: Rerank | None = None) -> DataFrame:
+def search(chunks: DataFrame, queries: DataFrame, options: Options | None = None, table: DataFrame | PostingBlocks | None = None, rerank: Rerank | None = None) -> DataFrame:
     """Ranked chunks of each query (query_id, query, query_vector where the mode needs it).
 
     Candidates carry ids and scores only; the chunks' columns are joined once, to the few that
