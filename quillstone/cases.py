@@ -239,14 +239,18 @@ def extract_markdown(spark, sf_dir):
 
 @query("SELECT doc_id::VARCHAR AS path, (doc_id % 500 + 1) || 'x' || (doc_id % 70 + 1) AS size FROM documents")
 def extract_images(spark, sf_dir):
-    """Sizes from the headers of PNG, GIF and WebP files."""
+    """Sizes from the headers of PNG, GIF, JPEG and all three kinds of WebP files."""
     w, h, n = F.col("doc_id") % 500 + 1, F.col("doc_id") % 70 + 1, F.col("doc_id")
     big = lambda x, size: F.lpad(F.hex(x), size, "0")
     little = lambda x, size: F.concat(*(F.substring(big(x, 2 * size), 2 * (size - i) - 1, 2) for i in range(size)))
     png = text_of("89504E470D0A1A0A0000000D49484452", big(w, 8), big(h, 8), "0806000000")
     gif = text_of("474946383961", little(w, 2), little(h, 2), "F70000")
-    webp = text_of("524946462A000000574542505650385800000000", "00000000", little(w - 1, 3), little(h - 1, 3))
-    content = F.unhex(F.when(n % 3 == 0, png).when(n % 3 == 1, gif).otherwise(webp))
+    webp = lambda kind, *data: text_of("524946462A00000057454250", kind, "00000000", *data)
+    extended = webp("56503858", "00000000", little(w - 1, 3), little(h - 1, 3))
+    lossy = webp("56503820", "3000009D012A", little(w, 2), little(h, 2))
+    lossless = webp("5650384C", "2F", little(F.shiftleft(h - 1, 14) + w - 1, 4))
+    jpeg = text_of("FFD8FFE000104A46494600010100000100010000FFC0001108", big(h, 4), big(w, 4), "03012200021101031101")
+    content = F.unhex(F.element_at(F.array(png, gif, extended, lossy, lossless, jpeg), (n % 6 + 1).cast("int")))
     return extract.images(extract.extract(_files(spark, sf_dir, content, "image"))).select(F.col("relative_path").alias("path"), F.col("image_ref").alias("size"))
 
 

@@ -450,14 +450,16 @@ def dedup_key(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.dedup_key(F.col("text")).alias("k"))
 
 
-PLAIN_SQL = r"lower(regexp_replace({}, '[^\p{{L}}\p{{N}}.\-]|^[.]+|[.]+$', '', 'g'))".format
+#: Tokens that are read alike by both readers but for signs and brackets, and two that only look so.
+READ, CHECKED = " 7:30 2.0. $1,000 [4.0]", ("1", "730", "2.0", "1,000", "(4.0)")
 
 
-@query(rf"""WITH k AS (SELECT doc_id, list_filter(string_split(text, ' '), lambda t: NOT regexp_matches(t, '[0-9]') OR {PLAIN_SQL('t')} IN ('1', '4.0')) AS k FROM documents)
-SELECT doc_id, CASE WHEN len(k) > 0 THEN array_to_string(k, ' ') END AS kept FROM k""")
+@query(rf"""WITH k AS (SELECT doc_id, list_filter(string_split(text || '{READ}', ' '), lambda t: NOT regexp_matches(t, '[0-9]')
+  OR lower(trim(replace(replace(replace(replace(replace(replace(t, '$', ''), '€', ''), '£', ''), '¥', ''), '%', ''), ',', ''), '()[]{{}}''" ' || chr(9) || chr(10) || chr(13))) IN ('1', '730', '2.0', '1000', '4.0')) AS k FROM documents)
+SELECT doc_id, array_to_string(k, ' ') AS kept FROM k""")
 def numeric_token_filter(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.array_join(X.numeric_tokens(F.split("text", " "), F.array(F.lit("1."), F.lit("(4.0)"))), " ").alias("kept"))
+    tokens = F.split(F.concat("text", F.lit(READ)), " ")
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(X.numeric_tokens(tokens, F.array(*map(F.lit, CHECKED))), " ").alias("kept"))
 
 
 @query(SQL["numeric_token_filter"])

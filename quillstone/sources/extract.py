@@ -301,8 +301,21 @@ def image_size(content: bytes) -> tuple[int, int]:
                 height, width = struct.unpack(">HH", content[at + 5 : at + 9])
                 return width, height
             at += 2 + size
-    if content[:4] == b"RIFF" and content[12:16] == b"VP8X":
-        return int.from_bytes(content[24:27], "little") + 1, int.from_bytes(content[27:30], "little") + 1
+    if content[:4] == b"RIFF" and content[8:12] == b"WEBP":
+        return webp_size(content[12:16], content[20:])
+    raise ValueError("the image's header can't be read")
+
+
+def webp_size(kind: bytes, data: bytes) -> tuple[int, int]:
+    """Width and height from a WebP file's first chunk: extended, lossy (a key frame) or lossless."""
+    little = lambda a, b: int.from_bytes(data[a:b], "little")
+    if kind == b"VP8X" and len(data) >= 10:
+        return little(4, 7) + 1, little(7, 10) + 1
+    if kind == b"VP8 " and data[3:6] == b"\x9d\x01\x2a" and len(data) >= 10:
+        return little(6, 8) & 0x3FFF, little(8, 10) & 0x3FFF
+    if kind == b"VP8L" and data[:1] == b"\x2f" and len(data) >= 5:
+        bits = little(1, 5)
+        return (bits & 0x3FFF) + 1, (bits >> 14 & 0x3FFF) + 1
     raise ValueError("the image's header can't be read")
 
 

@@ -100,6 +100,14 @@ def test_image_headers():
     assert extract.image_size(b"GIF89a" + struct.pack("<HH", 5, 6)) == (5, 6)
     with pytest.raises(ValueError):
         extract.image_size(b"nope")
+    webp = lambda kind, data: b"RIFF\0\0\0\0WEBP" + kind + b"\0\0\0\0" + data
+    assert extract.image_size(webp(b"VP8 ", b"\x30\1\0\x9d\x01\x2a" + struct.pack("<HH", 640 | 0x4000, 480))) == (640, 480)
+    assert extract.image_size(webp(b"VP8L", b"\x2f" + struct.pack("<I", 639 | 479 << 14 | 1 << 28))) == (640, 480)
+    assert extract.image_size(webp(b"VP8X", b"\0\0\0\0" + (639).to_bytes(3, "little") + (479).to_bytes(3, "little"))) == (640, 480)
+    assert extract.image_size(b"\xff\xd8\xff\xe0\0\x04ab\xff\xc2\0\x11\x08" + struct.pack(">HH", 48, 64) + bytes(12)) == (64, 48)
+    for broken in (webp(b"VP8 ", b"\x30\1\0abc"), webp(b"VP8L", b"\x2f"), webp(b"????", bytes(20)), webp(b"VP8X", b"")):
+        with pytest.raises(ValueError):
+            extract.image_size(broken)
 
 
 def test_globs_and_routes(spark):
