@@ -20,7 +20,7 @@ from .plans import archive, chunk, compat, embed, ingest, render, sync, vision
 from .plans.search import Options, search
 from .queries import POOL_SQL, TAGS, chunks_of, query, table, text_queries, vector_queries, vectors_of
 from .schema import EngineError, IngestParams
-from .sources import corpus, discover, extract, store
+from .sources import corpus, discover, extract, store, workbook
 from .sources.scratch import shared_folder
 
 DOCS = "documents"
@@ -564,3 +564,38 @@ def corpus_lines(spark, sf_dir):
     judged = table(spark, sf_dir, "benchmark").join(d.select((F.col("doc_id") / 2).alias("item_id")).where("item_id = floor(item_id)"), "item_id", "left_semi")
     judged.select(F.concat(F.lit("q"), "item_id").alias("query_id"), "text", F.array(F.concat(F.lit("p/"), "item_id", F.lit("#"), (2 * F.col("item_id")).cast("string"))).alias("relevant_chunk_ids")).write.json(f"{folder}/relevance.jsonl")
     return corpus.load(spark, folder)[1]
+
+
+# Workbooks as rows
+
+CELLS_SQL = """WITH c AS (SELECT c_nationkey AS sheet, (c_custkey // 25 % 40 + 1)::INT AS r, (c_custkey % 7 + 1)::INT AS col, min(CASE WHEN c_custkey % 5 <> 4 THEN c_name END) AS v FROM customer WHERE c_custkey // 25 % 40 % 6 <> 5 AND c_custkey % 11 < 6 GROUP BY ALL),"""
+
+
+def _cells(spark, sf_dir):
+    """Customers as cells: nations are sheets, every sixth row is empty, every fifth cell has no value but a formula."""
+    c = table(spark, sf_dir, "customer")
+    key, row = F.col("c_custkey"), (F.floor(F.col("c_custkey") / 25) % 40 + 1).cast("int")
+    one = c.where((row - 1) % 6 != 5).where(key % 11 < 6).groupBy(F.col("c_nationkey").alias("sheet"), row.alias("row"), (key % 7 + 1).cast("int").alias("col")).agg(F.min(F.when(key % 5 != 4, F.col("c_name"))).alias("value"))
+    return one.select("sheet", F.lit("cell").alias("kind"), "row", "col", F.lit(None).cast("int").alias("row_end"), "value", F.when(F.col("value").isNull(), "1+1").alias("formula"))
+
+
+@query(f"""{CELLS_SQL}
+i AS (SELECT DISTINCT sheet, r, r - dense_rank() OVER (PARTITION BY sheet ORDER BY r) AS island FROM c),
+e AS (SELECT sheet, island, min(r) AS first_row, max(r) AS last_row FROM i GROUP BY ALL),
+v AS (SELECT c.*, island FROM c JOIN i USING (sheet, r) WHERE v IS NOT NULL),
+u AS (SELECT sheet, island, list_sort(list(DISTINCT col)) AS cols FROM v GROUP BY ALL),
+g AS (SELECT sheet, island, r, map_from_entries(list((col, v))) AS m FROM v GROUP BY ALL),
+l AS (SELECT g.sheet, g.island, g.r, list_transform(u.cols, lambda k: coalesce(g.m[k], '')) AS line FROM g JOIN u USING (sheet, island)),
+h AS (SELECT sheet, island, min(r) FILTER (len(list_filter(line[2:], lambda x: x <> '')) > 0) AS header FROM l GROUP BY ALL)
+SELECT e.sheet, first_row, cols[1] AS first_col, last_row, cols[-1] AS last_col, coalesce(any_value(line[1]) FILTER (l.r = first_row), '') AS label, coalesce(array_to_string(any_value(line) FILTER (l.r = header), '|'), '') AS header_row,
+  count(*) FILTER (l.r > header) AS n_rows, coalesce(string_agg(array_to_string(line, '|'), ';' ORDER BY l.r) FILTER (l.r > header), '') AS rows FROM e JOIN u USING (sheet, island) JOIN l USING (sheet, island) JOIN h USING (sheet, island) GROUP BY e.sheet, e.island, first_row, last_row, cols""")
+def workbook_blocks(spark, sf_dir):
+    """Blocks of cells by gaps and islands."""
+    made = workbook.blocks(_cells(spark, sf_dir), ("sheet",))
+    line = lambda x: F.array_join(x, "|")
+    return made.select("sheet", "first_row", "first_col", "last_row", "last_col", "label", line(F.col("header_row")).alias("header_row"), F.size("rows").cast("long").alias("n_rows"), F.array_join(F.transform("rows", line), ";").alias("rows"))
+
+
+@query(f"""{CELLS_SQL} x AS (SELECT 1) SELECT sheet, r AS row, col, '1+1' AS formula, v AS value FROM c WHERE v IS NULL""")
+def workbook_formulas(spark, sf_dir):
+    return workbook.formulas(_cells(spark, sf_dir), ("sheet",))

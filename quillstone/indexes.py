@@ -1,26 +1,22 @@
-"""Indexes as queries: vectors by cells and codes, postings in blocks, each beside the scan that it equals or comes near to."""
+"""Indexes and runs as queries: vectors by cells and codes, postings in blocks, each beside the scan that it equals or comes near to; reports of what a run did."""
 
 from __future__ import annotations
 
-import uuid
-
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import ann, dense
 from .operators.blocks import PostingBlocks
-from .queries import COS, LEXICAL_OUT, POSTINGS, _bm25, _dense_sql, _lexical, _shown, chunks_of, query, text_queries, vector_queries, vectors_of
-from .sources.scratch import shared_folder
+from .plans import embed, report
+from .queries import COS, LEXICAL_OUT, POSTINGS, _bm25, _dense_sql, _lexical, _shown, chunks_of, query, table, text_queries, vector_queries, vectors_of
+from .sources.scratch import new_path
 
 CELLS, SLOTS = 16, 16
 
 
-def _folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-
-
 def _index(spark: SparkSession, sf_dir: str) -> ann.Index:
-    return ann.build(vectors_of(spark, sf_dir), _folder(spark), CELLS)
+    return ann.build(vectors_of(spark, sf_dir), new_path(spark), CELLS)
 
 
 @query(_dense_sql(f"1 - {COS}", "1 - d"))
@@ -46,7 +42,7 @@ def ann_recall(spark, sf_dir):
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> PostingBlocks:
-    return PostingBlocks(spark, _folder(spark), SLOTS, 1).build(chunks_of(spark, sf_dir))
+    return PostingBlocks(spark, new_path(spark), SLOTS, 1).build(chunks_of(spark, sf_dir))
 
 
 @query(f"WITH {_bm25()} {LEXICAL_OUT}")
@@ -76,3 +72,38 @@ def block_frequencies(spark, sf_dir):
 def lexical_blocks_read(spark, sf_dir):
     """How many blocks of a query's terms a search reads."""
     return _blocks(spark, sf_dir).reading(text_queries(spark, sf_dir), 10)
+
+
+# Reports of runs
+
+
+def _embedding(spark: SparkSession, sf_dir: str, work, batches: int = 4) -> tuple[list[tuple[int, int]], list[report.Report]]:
+    """Progress and report of embedding all documents in batches by id."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.lit(None).cast("string").alias("title"))
+    steps: list[tuple[int, int]] = []
+    ends: list[report.Report] = []
+    metrics = {"truncated": (F.length("text") > 2000).cast("long"), "characters": F.length("text").cast("long")}
+    try:
+        report.run(d, work, new_path(spark), "embedding", batches, F.pmod("doc_id", F.lit(batches)), metrics, lambda *at: steps.append(at), ends.append)
+    except PySparkException:
+        pass  # the report says it
+    return steps, ends
+
+
+@query("""WITH b AS (SELECT doc_id % 4 AS batch, count(*) AS n, count(*) FILTER (length(text) > 2000) AS truncated, sum(length(text)) AS characters FROM documents GROUP BY 1)
+SELECT (row_number() OVER (ORDER BY batch))::INT AS step, (sum(n) OVER (ORDER BY batch))::BIGINT AS done, (sum(n) OVER ())::BIGINT AS total, (sum(truncated) OVER ())::BIGINT AS truncated, (sum(characters) OVER ())::BIGINT AS characters FROM b""")
+def run_progress(spark, sf_dir):
+    """Progress and totals as they were observed while all documents were embedded in four batches."""
+    steps, (end,) = _embedding(spark, sf_dir, lambda part: embed.embed_documents(part, embed.HashingEmbedder()))
+    rows = [(i, done, total, end.metrics["truncated"], end.metrics["characters"]) for i, (done, total) in enumerate(steps, 1)]
+    return spark.createDataFrame(rows, "step int, done long, total long, truncated long, characters long")
+
+
+@query("""SELECT 'embedding' AS operation, count(*) AS total, count(*) FILTER (doc_id % 4 < 2) AS completed, (sum(length(text)) FILTER (doc_id % 4 < 2))::BIGINT AS characters, TRUE AS interrupted, 'a text that can''t be embedded' AS reason FROM documents""")
+def run_interrupted(spark, sf_dir):
+    """The report of a run whose third batch fails: what was completed before, and why it ended."""
+    why = "a text that can't be embedded"
+    stop = F.when(F.pmod("doc_id", F.lit(4)) == 2, F.raise_error(F.lit(why)).cast("string")).otherwise(F.col("text"))
+    _, (end,) = _embedding(spark, sf_dir, lambda part: part.withColumn("text", stop))
+    reason = why if why in (end.reason or "") else end.reason
+    return spark.createDataFrame([(end.operation, end.total, end.completed, end.metrics["characters"], end.interrupted, reason)], "operation string, total long, completed long, characters long, interrupted boolean, reason string")

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..schema import ConfigurationError
 from ..sources import extract
 
 MIN_PIXELS = 200
+#: Calls to a describer that one task has in flight.
+CONCURRENCY = 4
 Describe = Callable[[bytes], str]
 
 
@@ -18,26 +22,31 @@ def below_threshold(width: Column, height: Column, least: int = MIN_PIXELS) -> C
     return F.least(width, height) < least
 
 
-def resolve(images: DataFrame, cache: DataFrame, describe: Describe | None, model_id: str = "", prompt_version: str = "", least: int = MIN_PIXELS) -> DataFrame:
+def resolve(images: DataFrame, cache: DataFrame, describe: Describe | None, model_id: str = "", prompt_version: str = "", least: int = MIN_PIXELS, concurrency: int = CONCURRENCY) -> DataFrame:
     """The images (image_sha256, width, height, chart_text, content) with `outcome` and `text`, in the order of the gates.
 
     Too small ones are left out; charts speak for themselves; then what the cache knows; then the
-    describer is asked, once for each distinct image. Its failures are outcomes, not errors.
+    describer is asked, once for each distinct image. Its failures are outcomes, not errors. A task
+    has at most `concurrency` calls in flight, and gives their results in the order of its images.
     """
+    if concurrency < 1:
+        raise ConfigurationError("a describer needs a call in flight")
     known = cache.where((F.col("model_id") == model_id) & (F.col("prompt_version") == prompt_version)).select("image_sha256", F.col("text").alias("_known")).dropDuplicates(["image_sha256"])
     rows = images.join(known, "image_sha256", "left")
     gate = F.when(below_threshold(F.col("width"), F.col("height"), least), "below_threshold").when(F.col("chart_text").isNotNull(), "chart").when(F.col("_known").isNotNull(), "cached").when(F.lit(describe is None), "vision_unavailable").otherwise("described")
     rows = rows.withColumn("_gate", gate)
 
     @F.pandas_udf("struct<text:string,error:string>")
-    def ask(content: pd.Series) -> pd.DataFrame:
-        out = []
-        for c in content:
+    def ask(contents: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        def one(content: bytes) -> tuple[str | None, str | None]:
             try:
-                out.append((describe(bytes(c)), None))
+                return describe(bytes(content)), None
             except Exception as e:  # a describer's failure is a result
-                out.append((None, f"{type(e).__name__}: {e}"))
-        return pd.DataFrame(out, columns=["text", "error"])
+                return None, f"{type(e).__name__}: {e}"
+
+        with ThreadPoolExecutor(concurrency) as calls:
+            for batch in contents:
+                yield pd.DataFrame(list(calls.map(one, batch)), columns=["text", "error"])
 
     asked = rows.where("_gate = 'described'").dropDuplicates(["image_sha256"]).select("image_sha256", ask("content").alias("_said"))
     rows = rows.join(asked, "image_sha256", "left")
@@ -57,7 +66,7 @@ def counters(resolved: DataFrame) -> DataFrame:
     return resolved.agg(F.count_if(F.col("outcome").isin("described", "vision_failed")).alias("requests"), F.count_if(F.col("outcome") == "cached").alias("cache_hits"))
 
 
-def resolve_files(refs: DataFrame, files: DataFrame, cache: DataFrame, describe: Describe | None, model_id: str = "", prompt_version: str = "", least: int = MIN_PIXELS) -> DataFrame:
+def resolve_files(refs: DataFrame, files: DataFrame, cache: DataFrame, describe: Describe | None, model_id: str = "", prompt_version: str = "", least: int = MIN_PIXELS, concurrency: int = CONCURRENCY) -> DataFrame:
     """The image segments of files with `outcome`, `said` and `reason`; their bytes come from the archive's files.
 
     An image file is its own image; a Markdown reference names a file beside its document; a
@@ -65,8 +74,7 @@ def resolve_files(refs: DataFrame, files: DataFrame, cache: DataFrame, describe:
     reference without readable bytes is `unreadable`.
     """
     beside = F.concat(F.regexp_extract("relative_path", r"^(.*/)?[^/]*$", 1), F.col("image_ref"))
-    for _ in range(UPWARDS):
-        beside = F.regexp_replace(beside, r"(^|/)\./|(^|/)(?!\.\./)[^/]+/\.\./", "$1$2")
+    beside = straightened(beside)
     inside = F.col("locator_type").isin("image_file", "sheet")
     rows = refs.withColumn("target", F.when(inside, F.col("relative_path")).otherwise(beside)).withColumn("chart_text", F.when((F.col("locator_type") == "sheet") & (F.col("image_ref") == "chart"), F.col("text")))
     held = files.select("root_id", F.col("relative_path").alias("target"), F.col("content").alias("_bytes"))
@@ -90,13 +98,16 @@ def resolve_files(refs: DataFrame, files: DataFrame, cache: DataFrame, describe:
 
     rows = rows.withColumn("_look", look("_bytes", "image_ref", "locator_type", "chart_text")).select(*(c for c in rows.columns if c not in ("_bytes", "text", "target")), "_look.*")
     rows = rows.withColumn("image_sha256", F.sha2("content", 256))
-    seen = resolve(rows.where("reason IS NULL"), cache, describe, model_id, prompt_version, least)
+    seen = resolve(rows.where("reason IS NULL"), cache, describe, model_id, prompt_version, least, concurrency)
     unread = rows.where("reason IS NOT NULL").withColumn("outcome", F.lit("unreadable")).withColumn("text", F.lit(None).cast("string"))
     return seen.unionByName(unread).drop("content", "chart_text")
 
 
-#: Folders that a reference may climb.
-UPWARDS = 8
+def straightened(path: Column) -> Column:
+    """A relative path without `.` and with each `..` taken with the folder before it, however many there are."""
+    climbed = lambda done: (F.size(done) > 0) & (F.element_at(done, -1) != "..")
+    step = lambda done, part: F.when(part.isin("", "."), done).when((part == "..") & climbed(done), F.slice(done, 1, F.size(done) - 1)).otherwise(F.concat(done, F.array(part)))
+    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
 
 
 def figures(seen: DataFrame, model_id: str, prompt_version: str) -> DataFrame:

@@ -332,8 +332,21 @@ _NAMES = [f.name for f in EXTRACTED]
 
 
 def extract(files: DataFrame, extractors: dict | None = None) -> DataFrame:
-    """`EXTRACTED` rows of files (root_id, relative_path, author, file_hash, route, content): segments, and omissions."""
+    """`EXTRACTED` rows of files (root_id, relative_path, author, file_hash, route, content): segments, and omissions.
+
+    Workbooks go by rows of cells (`workbook.extracted`) unless another reader is given for them.
+    """
+    from . import workbook as books
+
     known = EXTRACTORS | (extractors or {})
+    if "excel" not in (extractors or {}):
+        others = _by_file(files.where("route IS NULL OR route <> 'excel'"), known)
+        return others.unionByName(books.extracted(files.where("route = 'excel'")))
+    return _by_file(files, known)
+
+
+def _by_file(files: DataFrame, known: dict) -> DataFrame:
+    """`EXTRACTED` rows of the files, each by its route's function of bytes."""
 
     def rows(f) -> Iterator[dict]:
         base = {"root_id": f.root_id, "relative_path": f.relative_path, "author": f.author, "file_hash": f.file_hash}

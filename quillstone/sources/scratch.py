@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -20,8 +21,18 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def written(frame: DataFrame) -> DataFrame:
-    """The frame, written as Parquet below the shared folder and read again."""
-    path = f"{shared_folder(frame.sparkSession)}/{uuid.uuid4().hex}.parquet"
-    frame.write.parquet(path)
-    return frame.sparkSession.read.parquet(path)
+def new_path(spark: SparkSession) -> str:
+    """A path below the shared folder that nothing has used."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}.parquet"
+
+
+def written(frame: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The frame, written as Parquet below the shared folder (with a partition for each value of `by`) and read again."""
+    path = new_path(frame.sparkSession)
+    frame.write.partitionBy(*(by or [])).parquet(path)
+    return frame.sparkSession.read.schema(_nullable(frame)).parquet(path)
+
+
+def _nullable(frame: DataFrame) -> T.StructType:
+    """The frame's own schema: partition columns keep their types, and a table without rows its columns."""
+    return T.StructType([T.StructField(f.name, f.dataType, True) for f in frame.schema])

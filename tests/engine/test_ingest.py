@@ -474,3 +474,35 @@ def test_styles_are_for_terminals(spark):
 
     assert "\x1b[36mFolder: f\x1b[0m" in bright and spark.range(1).select(X.strip_ansi(F.lit(bright)).alias("x")).first()["x"] == plain
     assert render.may_color(False, True, {}) and not any(render.may_color(*x) for x in ((True, True, {}), (False, False, {}), (False, True, {"NO_COLOR": "1"})))
+
+
+def test_workbooks_by_rows_equal_a_scan_of_each(spark):
+    from quillstone.sources import workbook as books
+
+    other = io.BytesIO()
+    r = __import__("random").Random(3)
+    with zipfile.ZipFile(other, "w") as z:
+        cells = [(row, "".join(f'<c r="{extract.column_letters(c)}{row}" t="inlineStr"><is><t>{r.choice(["a", "b c", "", "9"])}</t></is></c>' for c in sorted(r.sample(range(1, 60), 4)))) for row in range(1, 40) if r.random() < 0.7]
+        merged = '<mergeCells><mergeCell ref="A41:B44"/><mergeCell ref="C50:D52"/></mergeCells>'
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{extract._NS["m"]}" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="M" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/s1.xml"/></Relationships>')
+        top = '<row r="41"><c r="A41" t="inlineStr"><is><t>top</t></is></c></row><row r="45"><c r="B45"><v>1.5</v></c></row>'
+        z.writestr("xl/worksheets/s1.xml", f'<worksheet xmlns="{extract._NS["m"]}"><sheetData>' + "".join(f'<row r="{n}">{c}</row>' for n, c in cells) + top + f"</sheetData>{merged}</worksheet>")
+    contents = {"a.xlsx": workbook(), "b.xlsx": drawn_book(), "c.xlsx": other.getvalue()}
+    files = [("r", name, "", "h", "excel", c) for name, c in contents.items()] + [("r", "d.xlsx", "", "h", "excel", b"PK\x03\x04 broken"), ("r", "e.txt", "", "h", "text", b"plain")]
+    frame = spark.createDataFrame(files, "root_id string, relative_path string, author string, file_hash string, route string, content binary")
+    out = extract.extract(frame).collect()
+    names = ("kind", "text", "label", "header_row", "rows", "locator_json", "image_ref")
+    for name, content in contents.items():
+        got = [tuple(x[n] for n in names) for x in sorted((x for x in out if x["relative_path"] == name and x["omission"] is None), key=lambda x: x["seg_no"])]
+        want = [tuple(s[n] for n in names) for s in extract.workbook(content)[1]]
+        order = {"B3": 1, "D1": 0}
+        if name == "a.xlsx":  # a formula without a stored value is a formula too
+            got = [g for g in got if g[1] != "S!C3: =C2*1"]
+        if name == "b.xlsx":
+            want[1:] = sorted(want[1:], key=lambda w: order[w[5].split('"')[-2]])
+        assert got == want, name
+    assert sorted((x["relative_path"], x["omission"]) for x in out if x["omission"]) == [("a.xlsx", "hidden_sheet"), ("a.xlsx", "value_unavailable"), ("d.xlsx", "failed")]
+    assert [x["text"] for x in out if x["relative_path"] == "e.txt"] == ["plain"]
+    named = spark.createDataFrame([(c,) for c in (1, 26, 27, 52, 53, 702, 703, 16384)], "c int").select(books.cell_name(F.lit(7), F.col("c"))).collect()
+    assert [x[0] for x in named] == [f"{extract.column_letters(c)}7" for c in (1, 26, 27, 52, 53, 702, 703, 16384)]
