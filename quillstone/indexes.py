@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .operators import ann, dense
+from . import cases  # noqa: F401  (for its SQL)
+from .operators import ann, dense, evaluation
 from .operators.blocks import PostingBlocks
 from .plans import embed, report
-from .queries import COS, LEXICAL_OUT, POSTINGS, _bm25, _dense_sql, _lexical, _shown, chunks_of, query, table, text_queries, vector_queries, vectors_of
+from .queries import COS, LEXICAL_OUT, POSTINGS, SQL, _bm25, _dense_sql, _lexical, _shown, chunks_of, query, table, text_queries, vector_queries, vectors_of
 from .sources.scratch import new_path
+from .sources.slots import SlotTable
 
 CELLS, SLOTS = 16, 16
 
@@ -107,3 +110,29 @@ def run_interrupted(spark, sf_dir):
     _, (end,) = _embedding(spark, sf_dir, lambda part: part.withColumn("text", stop))
     reason = why if why in (end.reason or "") else end.reason
     return spark.createDataFrame([(end.operation, end.total, end.completed, end.metrics["characters"], end.interrupted, reason)], "operation string, total long, completed long, characters long, interrupted boolean, reason string")
+
+
+# Tables that change in part
+
+
+@query(SQL["store_cycle"])
+def slot_table_cycle(spark, sf_dir):
+    """A table in slots that is made, appended to, upserted, thinned twice and compacted."""
+    c = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    t = SlotTable(spark, new_path(spark), T.StructType.fromDDL("chunk_id long, text string"), slots=SLOTS)
+    t.append(c.where("chunk_id % 2 = 0"))
+    t.append(c.where("chunk_id % 2 = 1 AND chunk_id % 3 = 0"))
+    t.upsert(c.where("chunk_id % 5 = 0").withColumn("text", F.concat("text", F.lit("!"))))
+    t.delete("chunk_id % 7 = 0")
+    t.delete_ids(c.where("chunk_id % 11 = 0"))
+    t.compact()
+    return t.read()
+
+
+@query("""WITH e AS (SELECT CASE WHEN event_id % 10 = 0 THEN event_type ELSE 'most' END AS kind, value FROM events)
+SELECT kind, count(value) AS n, round(median(value), 6) AS median, round(quantile_disc(value, 0.95), 6) AS percentile FROM e GROUP BY 1""")
+def ranks_of_a_large_group(spark, sf_dir):
+    """Order statistics where one group has nine tenths of all rows."""
+    e = table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 10 == 0, F.col("event_type")).otherwise("most").alias("kind"), "value")
+    out = evaluation.latency(e, ["kind"], "value")
+    return out.select("kind", "n", F.round("median", 6).alias("median"), F.round("percentile", 6).alias("percentile"))

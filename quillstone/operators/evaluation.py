@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import subject_terms
+from . import ranks
 
 
 def recall_at_k(results: DataFrame, relevant: DataFrame, k: int, id_column: str = "chunk_id") -> DataFrame:
@@ -37,8 +40,14 @@ def idf_rank(chunks: DataFrame, queries: DataFrame, k: int, id_column: str = "ch
 
 
 def latency(frame: DataFrame, by: list[str], value: str, fraction: float = 0.95) -> DataFrame:
-    """median (the mean of the middle two) and nearest-rank percentile."""
-    return frame.groupBy(*by).agg(F.count(value).alias("n"), F.median(value).alias("median"), F.expr(f"percentile_disc({fraction}) WITHIN GROUP (ORDER BY {value})").alias("percentile"))
+    """by, n, median (the mean of the middle two) and nearest-rank percentile; a group without values has n = 0 and nulls.
+
+    Both are found by histograms, so a group's values are never held together.
+    """
+    groups = frame.select(*by).distinct()
+    found = ranks.median_and_percentile(frame, by, value, fraction).withColumnsRenamed({c: f"_g{i}" for i, c in enumerate(by)})
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(by)))
+    return groups.join(found, same, "left").select(*by, F.coalesce("n", F.lit(0)).alias("n"), "median", "percentile")
 
 
 def throughput(n: Column, seconds: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.blocks import PostingBlocks
 from ..operators.lexical import postings
 from ..sources.scratch import written
+from ..sources.slots import SlotTable
 from ..sources.store import Snapshots, upserted
 from . import compat
 from .embed import Embedder, embed_documents
@@ -59,10 +60,11 @@ class Summary:
     documents: int
 
 
-def sync(records: DataFrame, gone_ids: DataFrame | None, index: Snapshots, embedder: Embedder, terms: PostingBlocks | Snapshots | None = None) -> Summary:
+def sync(records: DataFrame, gone_ids: DataFrame | None, index: Snapshots | SlotTable, embedder: Embedder, terms: PostingBlocks | Snapshots | None = None) -> Summary:
     """Brings the index up to the records: deletes, embeds what is new or changed, upserts, brings the postings up to date.
 
-    One new version of the table holds the deletions and the upserts together. Posting blocks
+    One new version of the table holds the deletions and the upserts together; a table in slots
+    has only those of the changed ids overwritten. Posting blocks
     change by the ids that changed; a plain table of postings is made anew.
     """
     now = index.read()
@@ -76,10 +78,17 @@ def sync(records: DataFrame, gone_ids: DataFrame | None, index: Snapshots, embed
         new = embed_documents(fresh, embedder).withColumn("created_at", F.unix_timestamp().cast("double")).withColumn("model_identity", F.lit(embedder.identity))
         if isinstance(terms, PostingBlocks):
             fresh = written(fresh.select("chunk_id", "text"))  # what differs from the index as it was
-        index.replace(upserted(left, new))
+        _put(index, left, new, gone_ids)
         if isinstance(terms, PostingBlocks):
             terms.change(fresh, None if gone_ids is None else gone_ids.select("chunk_id").distinct())
         elif terms is not None:
             terms.replace(postings(index.read()))
     total, documents = index.read().agg(F.count("*"), F.count_distinct("file_path")).first()
     return Summary(counts.get("added", 0), counts.get("updated", 0), counts.get("unchanged", 0), deleted, total, documents)
+
+
+def _put(index: Snapshots | SlotTable, left: DataFrame, new: DataFrame, gone_ids: DataFrame | None) -> None:
+    if isinstance(index, SlotTable):
+        index.change(new, gone_ids)
+    else:
+        index.replace(upserted(left, new))

@@ -8,11 +8,13 @@ import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quillstone.operators import ann, dense, grouping, lexical
+from quillstone.operators import ann, dense, evaluation, grouping, lexical
 from quillstone.operators.blocks import PostingBlocks
 from quillstone.operators.positions import placed, positions
 from quillstone.schema import QueryError
+from quillstone.sources.slots import SlotTable
 
 WORDS = [f"w{i}" for i in range(200)]
 
@@ -135,3 +137,40 @@ def test_orders_of_presentation_have_no_window_in_one_task(spark):
     for at, x in enumerate(order):
         inside[x[3]] = inside.get(x[3], 0) + 1
         assert got[x[1]] == (at, inside[x[3]], sum(y[3] == x[3] for y in rows))
+
+
+def test_a_slot_table_rewrites_the_slots_of_changed_keys(spark, tmp_path):
+    path = tmp_path / "t"
+    t = SlotTable(spark, str(path), T.StructType.fromDDL("k long, v string"), "k", 32)
+    assert t.read().count() == 0 and t.delete("k = 1") == [] and t.compact() == []
+    t.append(spark.range(1000).selectExpr("id AS k", "'a' AS v"))
+    files = lambda: {d: sorted(f for f in os.listdir(path / d) if f.endswith(".parquet")) for d in os.listdir(path) if d.startswith("_slot=")}
+    changed = lambda a, b: {d for d in b if a.get(d) != b[d]}
+    before = files()
+    one = t.upsert(spark.createDataFrame([(7, "b")], "k long, v string"))
+    after = files()
+    assert len(one) == 1 and changed(before, after) == {f"_slot={one[0]}"}
+    assert t.delete_ids(spark.createDataFrame([(7,), (5000,)], "k long")) == sorted(t.delete_ids(spark.createDataFrame([(7,), (5000,)], "k long")))
+    before = files()
+    gone = t.delete("k IN (8, 9)")
+    assert 1 <= len(gone) <= 2 and changed(before, files()) == {f"_slot={s}" for s in gone}
+    t.append(spark.createDataFrame([(2000, "c")], "k long, v string"))
+    assert len(t.compact()) == 1 and t.compact() == []
+    assert {(r["k"], r["v"]) for r in t.read().collect()} == {(k, "a") for k in range(1000) if k not in (7, 8, 9)} | {(2000, "c")}
+    t.change(spark.createDataFrame([(1, "new")], "k long, v string"), t.read().select("k"))
+    assert [tuple(r) for r in t.read().collect()] == [(1, "new")]
+    t.delete("v = 'new'")
+    assert t.read().count() == 0 and t.read().columns == ["k", "v"]
+
+
+def test_order_statistics_by_histograms(spark):
+    r = random.Random(6)
+    groups = {"hot": [r.gauss(0, 1) for _ in range(4000)] + [0.5] * 500, "one": [3.0], "two": [1.0, 2.0], "same": [7.0] * 9, "wide": [-1e308, 1e308, 0.0, 1e-300, 2e-300], None: [5.0, 4.0, 6.0], "none": []}
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("none", None), ("none", float("nan")), ("two", None)]
+    out = {x["g"]: (x["n"], x["median"], x["percentile"]) for x in evaluation.latency(spark.createDataFrame(rows, "g string, v double").repartition(4), ["g"], "v").collect()}
+
+    def expected(vs):
+        vs, n = sorted(vs), len(vs)
+        return (n, (vs[(n + 1) // 2 - 1] + vs[n // 2]) / 2, vs[max(1, -(-95 * n // 100)) - 1]) if n else (0, None, None)
+
+    assert out == {g: expected(vs) for g, vs in groups.items()}
