@@ -16,7 +16,7 @@ from .functions import text as X
 from .functions import vectors as V
 from .functions.order import CARDINALS, natural_key
 from .operators import dense, evaluation, fusion, lexical, predicates, sampling
-from .plans import archive, chunk, compat, embed, ingest, render, sync, vision
+from .plans import archive, chunk, compat, embed, ingest, render, sync, tables, vision
 from .plans.search import Options, search
 from .queries import POOL_SQL, TAGS, chunks_of, query, table, text_queries, vector_queries, vectors_of
 from .schema import EngineError, IngestParams
@@ -566,6 +566,21 @@ def corpus_lines(spark, sf_dir):
     return corpus.load(spark, folder)[1]
 
 
+# Chunking in SQL
+
+
+@query(r"""SELECT conv_id::VARCHAR AS path, 0::BIGINT AS chunk_index, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text, (6 + sum(len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]'))))::BIGINT AS token_count, min(turn) + 1 AS first_line, max(turn) + 1 AS last_line FROM conversations GROUP BY 1""")
+def chunk_table_function(spark, sf_dir):
+    """Whole conversations as files, their turns as paragraphs, chunked by a table function of SQL with room for all."""
+    tables.register(spark)
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("text").alias("said"))
+    lines = _lines(spark, sf_dir).drop("text").join(turns, (F.col("relative_path") == F.col("c").cast("string")) & (F.col("seg_no") == F.col("t"))).withColumn("text", F.col("said"))
+    call = "chunk_segments(row => TABLE({s}) PARTITION BY (root_id, relative_path) ORDER BY seg_no, token_budget => 1000000, overlap => 0)"
+    found = spark.sql("SELECT * FROM " + call, s=lines.drop("c", "t", "said"))
+    line = lambda i: F.get_json_object("locator_json", f"$.line_range[{i}]").cast("long")
+    return found.select(F.col("relative_path").alias("path"), "chunk_index", "text", "token_count", line(0).alias("first_line"), line(1).alias("last_line"))
+
+
 # Workbooks as rows
 
 CELLS_SQL = """WITH c AS (SELECT c_nationkey AS sheet, (c_custkey // 25 % 40 + 1)::INT AS r, (c_custkey % 7 + 1)::INT AS col, min(CASE WHEN c_custkey % 5 <> 4 THEN c_name END) AS v FROM customer WHERE c_custkey // 25 % 40 % 6 <> 5 AND c_custkey % 11 < 6 GROUP BY ALL),"""

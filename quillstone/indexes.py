@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import cases  # noqa: F401  (for its SQL)
-from .operators import ann, dense, evaluation
+from .functions import text as X
+from .operators import ann, dense, evaluation, similar
 from .operators.blocks import PostingBlocks
 from .plans import embed, report
-from .queries import COS, LEXICAL_OUT, POSTINGS, SQL, _bm25, _dense_sql, _lexical, _shown, chunks_of, query, table, text_queries, vector_queries, vectors_of
+from .queries import COS, LEXICAL_OUT, POSTINGS, SQL, STOPS, SUBJECT, _bm25, _dense_sql, _lexical, _shown, chunks_of, query, table, text_queries, vector_queries, vectors_of
 from .sources.scratch import new_path
 from .sources.slots import SlotTable
 
@@ -136,3 +137,24 @@ def ranks_of_a_large_group(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 10 == 0, F.col("event_type")).otherwise("most").alias("kind"), "value")
     out = evaluation.latency(e, ["kind"], "value")
     return out.select("kind", "n", F.round("median", 6).alias("median"), F.round("percentile", 6).alias("percentile"))
+
+
+# Similar chunks by their rarest terms
+
+SIMILAR = 0.6
+
+
+@query(f"""WITH t AS ({SUBJECT.format(id='doc_id', stops=STOPS, t='documents')}),
+d AS (SELECT i, list_sort(list(term)) AS terms FROM t GROUP BY 1), c AS (SELECT min(i) AS id, count(*) AS n, terms FROM d GROUP BY terms), e AS (SELECT id, unnest(terms) AS term FROM c),
+p AS (SELECT a.id AS a, b.id AS b, count(*) AS overlap FROM e a JOIN e b ON a.term = b.term AND a.id < b.id GROUP BY 1, 2)
+SELECT a, b, x.n AS n_a, y.n AS n_b, overlap, round(overlap / (len(x.terms) + len(y.terms) - overlap), 6) AS similarity FROM p JOIN c x ON x.id = a JOIN c y ON y.id = b WHERE 10 * overlap >= 6 * (len(x.terms) + len(y.terms) - overlap)""")
+def similar_documents(spark, sf_dir):
+    return similar.similar_pairs(chunks_of(spark, sf_dir), SIMILAR).withColumn("similarity", F.round("similarity", 6))
+
+
+@query()
+def similar_candidates(spark, sf_dir):
+    """what, n: classes, and the pairs of them that are compared on whole sets."""
+    sets = similar.classes(chunks_of(spark, sf_dir), X.subject_terms(F.col("text")))
+    count = lambda frame, what: frame.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n")
+    return count(sets, "classes").unionAll(count(similar.candidates(sets, SIMILAR), "candidates"))

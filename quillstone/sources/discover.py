@@ -17,6 +17,10 @@ PDF, ZIP = "25504446", "504B0304"
 IMAGES = {"png": "89504E470D0A1A0A", "jpeg": "FFD8FF", "gif87": "474946383761", "gif89": "474946383961"}
 
 
+#: Levels of folders that the driver lists to leave out hopeless ones.
+LEVELS = 2
+
+
 def glob_regex(glob: str) -> str:
     """A regular expression for a whole path: `**/` any folders, `**` anything, `*` and `?` within a name."""
     wild = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
@@ -30,6 +34,49 @@ def accepted(relative_path: Column, include: Sequence[str] = (), exclude: Sequen
     return out & ~matches(exclude) if exclude else out
 
 
+def hopeless(folder: str, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> bool:
+    """Whether no file below a folder (a relative path) can be chosen: it is excluded with all below, or no glob can reach into it."""
+    if any(g == "**" or (g.endswith("/**") and re.match(glob_regex(g.removesuffix("/**")), folder)) for g in exclude):
+        return True
+    return bool(include) and not any(_reaches(glob.split("/"), folder.split("/")) for glob in include)
+
+
+def _reaches(glob: list[str], folder: list[str]) -> bool:
+    """Whether a glob, by its parts, can match a file below the folder."""
+    for k, name in enumerate(folder):
+        if k < len(glob) and "**" in glob[k]:
+            return True
+        if k >= len(glob) - 1 or not re.match(glob_regex(glob[k]), name):
+            return False
+    return True
+
+
+def listed(spark: SparkSession, root: str, include: Sequence[str] = (), exclude: Sequence[str] = (), levels: int = LEVELS) -> tuple[list[str], list[str]]:
+    """(paths, looked at): what of a root is worth reading, and the folders that were listed to find out.
+
+    Paths are files of the upper levels and folders below these, each of which is listed in
+    parallel by Spark's reader. A hopeless folder is never listed; works on any file system that Spark reads.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    paths, seen, level = [], [], [""]
+    for depth in range(levels + 1):
+        deeper = []
+        for folder in level:
+            seen.append(folder)
+            for status in fs.listStatus(path(f"{root}/{folder}" if folder else root)):
+                name = status.getPath().getName()
+                relative = f"{folder}/{name}" if folder else name
+                if status.isFile():
+                    paths.append(status.getPath().toString())
+                elif not hopeless(relative, include, exclude):
+                    deeper.append((relative, status.getPath().toString()))
+        if depth == levels:
+            return paths + [whole for _, whole in deeper], seen
+        level = [relative for relative, _ in deeper]
+    return paths, seen
+
+
 def author(relative_path: Column) -> Column:
     """The first folder below the root; empty for a file right in it."""
     parts = F.split(relative_path, "/")
@@ -57,13 +104,17 @@ def check_roots(roots: Sequence[str]) -> tuple[list[str], list[tuple]]:
 def discover(spark: SparkSession, roots: Sequence[str], include: Sequence[str] = (), exclude: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """(files, omissions). Files have root_id, relative_path, author, abs_path, length and content.
 
-    The globs hold before any content is read: `binaryFile` reads a file only when its row survives.
+    Folders that the globs rule out aren't listed, and the globs hold before any content is read:
+    `binaryFile` reads a file only when its row survives.
     """
     good, bad = check_roots(roots)
     parts = []
     for place, root in enumerate(good):
         base = root.rstrip("/")
-        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+        paths, _ = listed(spark, base, include, exclude)
+        if not paths:
+            continue
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([re.sub(r"([\\[\]{}*?])", r"\\\1", p) for p in paths])
         plain = F.regexp_replace("path", r"^[a-z]+:/*(?=/)", "") if "://" not in base else F.col("path")
         rows = found.select(plain.alias("abs_path"), "length", "content", F.lit(base).alias("root_id"), F.lit(place).alias("root_place"))
         rows = rows.withColumn("relative_path", F.expr(f"substring(abs_path, {len(base) + 2})"))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstone.operators import ann, dense, evaluation, grouping, lexical
+from quillstone.operators import ann, dense, evaluation, grouping, lexical, similar
 from quillstone.operators.blocks import PostingBlocks
 from quillstone.operators.positions import placed, positions
 from quillstone.schema import QueryError
@@ -174,3 +174,23 @@ def test_order_statistics_by_histograms(spark):
         return (n, (vs[(n + 1) // 2 - 1] + vs[n // 2]) / 2, vs[max(1, -(-95 * n // 100)) - 1]) if n else (0, None, None)
 
     assert out == {g: expected(vs) for g, vs in groups.items()}
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8])
+def test_similar_pairs_equal_all_pairs(spark, threshold):
+    r = random.Random(5)
+    base = [f"term{i}" for i in range(40)]
+    rows = [(i, ["common", *r.sample(base, r.randint(1, 12))]) for i in range(120)]
+    rows += [(200 + i, ["common", *base[: 20 + i % 6], f"own{i % 4}"]) for i in range(40)] + [(300, []), (301, None), (302, ["common"]), (None, ["common", *base[:20]]), (303, ["common", "common"])]
+    frame = spark.createDataFrame(rows, "chunk_id long, terms array<string>").repartition(3)
+    classes = {}
+    for i, terms in rows:
+        if terms:
+            classes.setdefault(frozenset(terms), []).append(i)
+    named = sorted((min(i for i in ids if i is not None), len(ids), s) for s, ids in classes.items() if any(i is not None for i in ids))
+    want = sorted((a, b, n, m, len(s & t)) for a, n, s in named for b, m, t in named if a < b and len(s & t) >= threshold * len(s | t) - 1e-9)
+    got = similar.similar_pairs(frame, threshold, F.coalesce("terms", F.array().cast("array<string>")))
+    assert sorted((x["a"], x["b"], x["n_a"], x["n_b"], x["overlap"]) for x in got.collect()) == want
+    tried = similar.candidates(similar.classes(frame, F.col("terms")), threshold).count()
+    assert len(want) <= tried < len(named) * (len(named) - 1) / (4 if threshold == 0.5 else 12)
+    assert similar.similar_pairs(frame.where("false"), threshold, F.col("terms")).count() == 0

@@ -506,3 +506,38 @@ def test_workbooks_by_rows_equal_a_scan_of_each(spark):
     assert [x["text"] for x in out if x["relative_path"] == "e.txt"] == ["plain"]
     named = spark.createDataFrame([(c,) for c in (1, 26, 27, 52, 53, 702, 703, 16384)], "c int").select(books.cell_name(F.lit(7), F.col("c"))).collect()
     assert [x[0] for x in named] == [f"{extract.column_letters(c)}7" for c in (1, 26, 27, 52, 53, 702, 703, 16384)]
+
+
+def test_folders_that_globs_rule_out_are_not_listed(spark, tmp_path):
+    for name in ("a/one.txt", "a/deep/er/two.txt", "b/three.txt", "b/skip/four.txt", "skip/five.txt", "top.txt", "c [x]/six?.txt", "a/deep/er/and/deeper/seven.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    names = lambda *globs: sorted(r["relative_path"] for r in discover.discover(spark, [str(tmp_path)], *globs)[0].collect())
+    everything = ["a/deep/er/and/deeper/seven.txt", "a/deep/er/two.txt", "a/one.txt", "b/skip/four.txt", "b/three.txt", "c [x]/six?.txt", "skip/five.txt", "top.txt"]
+    assert names() == everything
+    assert sorted(discover.listed(spark, str(tmp_path))[1]) == ["", "a", "a/deep", "b", "b/skip", "c [x]", "skip"]
+    _, seen = discover.listed(spark, str(tmp_path), (), ["skip/**", "**/skip/**"])
+    assert "skip" not in seen and "b/skip" not in seen and "a" in seen
+    assert names([], ["skip/**", "**/skip/**"]) == [n for n in everything if "skip" not in n]
+    _, seen = discover.listed(spark, str(tmp_path), ["a/*.txt", "b/**"])
+    assert sorted(seen) == ["", "a", "b", "b/skip"]
+    assert names(["a/*.txt", "b/**"]) == ["a/one.txt", "b/skip/four.txt", "b/three.txt"]
+    assert names(["none/*"]) == [] and names(["*.txt"]) == ["top.txt"]
+    for folder, include, exclude, gone in (("a", [], [], False), ("a", ["a/b"], [], False), ("a/b", ["a/b"], [], True), ("a/b", ["**/x"], [], False), ("x/y", ["a/**"], [], True), ("a", [], ["**"], True), ("a", [], ["a/*"], False), ("a/b", [], ["a/**"], False)):
+        assert discover.hopeless(folder, include, exclude) == gone, (folder, include, exclude)
+
+
+def test_a_table_function_chunks_as_the_plan_does(spark):
+    from quillstone.plans import tables
+    from quillstone.plans.chunk import chunk_segments, text_segments
+
+    words = [" ".join(f"w{i}{k}" for k in range(n)) for i, n in enumerate((3, 40, 90, 7, 260))]
+    files = spark.createDataFrame([("r", f"{i}.txt", "a", "\n".join(words[i % 5 :] + words[: i % 3])) for i in range(7)], "root_id string, relative_path string, author string, text string")
+    segments = text_segments(files, by_paragraph=True)
+    tables.register(spark)
+    segments.createOrReplaceTempView("segments_to_chunk")
+    got = spark.sql("SELECT * FROM chunk_segments(row => TABLE(segments_to_chunk) PARTITION BY (root_id, relative_path) ORDER BY seg_no, token_budget => 64, overlap => 8)")
+    want = chunk_segments(segments, IngestParams(token_budget=64, prose_overlap_tokens=8))
+    assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect()) and got.count() > 14
+    with pytest.raises(Exception, match="larger than the overlap"):
+        spark.sql("SELECT * FROM chunk_segments(row => TABLE(segments_to_chunk) PARTITION BY (root_id, relative_path) ORDER BY seg_no, token_budget => 4, overlap => 8)").collect()
