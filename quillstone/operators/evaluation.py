@@ -18,6 +18,17 @@ def recall_at_k(results: DataFrame, relevant: DataFrame, k: int, id_column: str
     return both.groupBy("query_id").agg((F.count("_hit") / F.count("*")).alias("recall"))
 
 
+def recall_of_shared(results: DataFrame, queries: DataFrame, relevant: DataFrame, k: int, id_column: str = "chunk_id") -> DataFrame:
+    """query_id, recall where all queries have the same relevant ids: these are counted once, and meet the first k results only."""
+    judged = relevant.select(id_column).distinct()
+    total = judged.count()
+    if not total:
+        return results.select("query_id", F.lit(0.0).alias("recall")).where("false")
+    top = results.where(F.col("rank") < k).select("query_id", id_column).distinct().join(judged, id_column, "left_semi")
+    hits = top.groupBy("query_id").agg(F.count("*").alias("_hits"))
+    return queries.select("query_id").distinct().join(hits, "query_id", "left").select("query_id", (F.coalesce("_hits", F.lit(0)) / total).alias("recall"))
+
+
 def mean_recall(recalls: DataFrame) -> DataFrame:
     return recalls.agg(F.avg("recall").alias("mean_recall"))
 

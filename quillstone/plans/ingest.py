@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 
 from ..schema import FILE_STATE, OMISSION_ROWS, REGISTRY, VISION_CACHE, IngestParams, content_hash
 from ..sources import discover, extract
+from ..sources.scratch import written
 from ..sources.store import Bundle, upserted
 from . import sync, vision
 from .chunk import Tokens, chunk_segments
@@ -87,7 +88,7 @@ def run(spark: SparkSession, roots: Sequence[str], state: State, params: IngestP
     })
     everything = state.tables.read("chunk_registry").select(F.from_json("record_json", records.drop("record_json").schema).alias("r")).select("r.*")
     counted = vision.counters(seen).first()
-    omissions = spark.createDataFrame(omissions.collect(), OMISSION_ROWS)  # a row for each thing left out, as the report lists them
+    omissions = written(omissions)  # before what it comes from is let go
     for frame in (marked, extracted, seen, records):
         frame.unpersist()
     return Report(everything, state.tables.read("removed"), omissions, counts, counted["requests"], counted["cache_hits"])

@@ -241,7 +241,7 @@ def hybrid_total_candidates(spark, sf_dir):
 def _pool(spark: SparkSession, sf_dir: str, n: int = 40) -> DataFrame:
     found = dense.topk(vectors_of(spark, sf_dir), vector_queries(spark, sf_dir), n, keep=("file_path", "vector"))
     asked = vector_queries(spark, sf_dir)
-    return found.withColumn("rank", F.col("dense_rank")).join(F.broadcast(asked), "query_id")
+    return found.withColumn("rank", F.col("dense_rank")).join(asked, "query_id")
 
 
 POOL_SQL = f"""p AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, e.label::VARCHAR AS file_path, e.embedding::DOUBLE[] AS v, {COS} AS s FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0),
@@ -524,11 +524,11 @@ def composition_stats(spark, sf_dir):
 @query(f"""WITH a AS (WITH {_bm25()} {LEXICAL_OUT}), g AS (SELECT DISTINCT doc_id AS chunk_id FROM labels WHERE quality = 1), q AS (SELECT item_id AS query_id FROM benchmark WHERE item_id % 50 = 0)
 SELECT query_id, round(count(a.chunk_id) / count(*)::DOUBLE, 6) AS recall FROM q CROSS JOIN g LEFT JOIN a USING (query_id, chunk_id) GROUP BY 1""")
 def recall_at_k(spark, sf_dir):
-    """All documents of good quality are the judgements of every query; the stated queries are few and meet them in blocks."""
+    """All documents of good quality are the judgements of every query."""
     asked = text_queries(spark, sf_dir)
     found = lexical.bm25(chunks_of(spark, sf_dir), asked, 10).withColumn("rank", F.col("lexical_rank"))
     judged = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("chunk_id"))
-    return evaluation.recall_at_k(found, dense.against(judged, asked.select("query_id")), 10).select("query_id", F.round("recall", 6).alias("recall"))
+    return evaluation.recall_of_shared(found, asked, judged, 10).select("query_id", F.round("recall", 6).alias("recall"))
 
 
 @query(SQL["recall_at_k"])
