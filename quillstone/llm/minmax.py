@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _grams as G
+from ._groups import tell
 from ._tables import settled, written
 from .components import components
 from .jaccard import keyed, least_matches, node_of, overlaps
@@ -257,9 +258,9 @@ def near_dedup(documents: DataFrame, block: int = BLOCK) -> DataFrame:
     times = some.groupBy("_key").agg(F.count("*").alias("times")).where("times > 1")
     nodes = settled(nodes.join(times, "_key", "left").withColumn("times", F.coalesce("times", F.lit(1))))
     roots = components(links(rows, nodes, block))
-    placed = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    heads = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    answers = parts.select("node", "salt").join(placed.join(heads, "root").select("node", "component_id"), "node")
+    placed = nodes.select("node", F.col("least").alias("own")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = tell(placed, ["root"], {"least": F.min("own")}, "node").select("node", F.col("least").alias("component_id"))
+    answers = parts.select("node", "salt").join(placed, "node")
     found = some.select("doc_id", "n_shingles", "node", "salt").join(answers, ["node", "salt"]).select("doc_id", "n_shingles", "component_id")
     alone = marked.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return found.unionAll(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -8,7 +8,7 @@ unit that is alone in its node is live no more: the rest of its path is a chain
 grouping, so levels go only as deep as unlike sequences share turns. The way back joins level by
 level: leaves and savings of the nodes below are summed into their parents.
 
-No group is collected: a group's live units are spread over `SALTS` parts that learn their node
+No group is collected: a group's live units are spread over parts that learn their node
 separately, and the ids of equal conversations, however many, are hashed as a stream of pieces
 in order (that hash is a chain by its definition, so a node's pieces pass through one task, a piece
 of at most `PIECE` ids at a time).
@@ -30,12 +30,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.positions import positions
+from ._groups import tell
 from ._tables import settled, written
 
 GROUP, HEAD = 20, 4
 WORD = r"[^\x20\x09-\x0D]+"
-#: Parts of a group whose units learn their node separately.
-SALTS = 128
 #: Ids in a piece of a node's list.
 PIECE = 1024
 NONE = hashlib.sha256(b"").hexdigest()
@@ -137,21 +136,6 @@ def hashed_lists(members: DataFrame) -> DataFrame:
     return cut.repartition("seq").sortWithinPartitions("seq", "at").select("seq", "piece").mapInArrow(hashes, f"{shape}, ends_sha256 string")
 
 
-def tell(rows: DataFrame, keys: list[str], found: dict[str, Column], by: str) -> DataFrame:
-    """The rows with what their group has by `found`, without a group's rows meeting in one task.
-
-    `found` has aggregates that can be taken of themselves once more; parts of a group, told apart
-    by the hash of a column, are summed up first and get the group's answer separately.
-    """
-    names = list(found)
-    parts = rows.withColumn("_salt", F.pmod(F.xxhash64(F.lit(11), by), F.lit(SALTS)).cast("int"))
-    part = parts.groupBy(*keys, "_salt").agg(*(c.alias(n) for n, c in found.items()))
-    whole = Window.partitionBy(*keys)
-    merged = {n: (F.min(n) if n.startswith("least") else F.sum(n)).over(whole) for n in names}
-    answer = part.select(*keys, "_salt", *(c.alias(n) for n, c in merged.items()))
-    return parts.join(answer, [*keys, "_salt"]).drop("_salt")
-
-
 def levels(units: DataFrame, path: DataFrame) -> tuple[list[DataFrame], DataFrame, DataFrame]:
     """The shared nodes of each depth (node, parent, n_convs, words), and the units' ways out of them.
 
