@@ -121,19 +121,26 @@ def count_anchors(documents: DataFrame) -> DataFrame:
 
 
 def cut(rows: DataFrame) -> DataFrame:
-    """anchor, context, block, blocks, lead, piece, from rows (text, wanted): the bytes of the wanted neighbourhoods."""
+    """anchor, context, block, blocks, lead, piece, from rows (row, check, text, wanted): the bytes of the wanted neighbourhoods.
+
+    Of rows that are repeated a task cuts one.
+    """
     shape = "anchor long, context long, block int, blocks int, lead int, piece binary"
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("anchor", "context", "block", "blocks", "lead")
+        seen: set[tuple] = set()
         for frame in frames:
-            for i in range(len(frame)):
-                text = (frame.column(0)[i].as_py() or "").encode()
-                wanted = frame.column(1)[i].values
+            for i, known in enumerate(zip(frame.column(0).to_pylist(), frame.column(1).to_pylist(), strict=True)):
+                if known in seen:
+                    continue
+                seen.add(known)
+                text = (frame.column(2)[i].as_py() or "").encode()
+                wanted = frame.column(3)[i].values
                 place, span = wanted.field("place").to_pylist(), wanted.field("span").to_pylist()
                 yield pa.RecordBatch.from_arrays([*(wanted.field(k) for k in names), pa.array([text[a : a + b] for a, b in zip(place, span, strict=True)], pa.binary())], [*names, "piece"])
 
-    return rows.select("text", "wanted").mapInArrow(run, shape)
+    return rows.select("row", "check", "text", "wanted").mapInArrow(run, shape)
 
 
 def sort_block(bucket: np.ndarray, leads: np.ndarray, pieces: list[bytes]) -> np.ndarray:
@@ -196,7 +203,7 @@ RESULT = "context long, runs array<struct<a:int,b:int>>, anchor long, column int
 
 
 def sort_buckets(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """`RESULT` of rows of `cut` that are grouped by anchor and block.
+    """`RESULT` of rows of `cut` that are grouped by anchor and block; a neighbourhood that several tasks cut counts once.
 
     Either a neighbourhood's repeated bytes, as runs counted from its start; or, in a bucket that
     was cut, one fingerprint of each of its strings (with the context of one that isn't repeated here).
@@ -225,12 +232,17 @@ def sort_buckets(rows: DataFrame, block: int = BLOCK) -> DataFrame:
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        here: set[int] = set()  # neighbourhoods of the bucket's block that is being read
         for frame in frames:
             for row in zip(*(c.to_pylist() for c in frame.columns), strict=True):
-                if len(held) >= block and (row[0], row[2]) != (held[-1][0], held[-1][2]):
-                    yield from flush(held)
-                    held = []
-                held.append(row)
+                if held and (row[0], row[2]) != (held[-1][0], held[-1][2]):
+                    here = set()
+                    if len(held) >= block:
+                        yield from flush(held)
+                        held = []
+                if row[1] not in here:
+                    here.add(row[1])
+                    held.append(row)
         if held:
             yield from flush(held)
         G.trim()
@@ -249,15 +261,18 @@ def removals(documents: DataFrame, block: int = BLOCK) -> DataFrame:
     wanted = contexts.select("anchor", "context", "one.*").join(written(buckets), "anchor").select("row", "check", place.alias("w")).groupBy("row", "check").agg(F.collect_list("w").alias("wanted"))
     pieces = cut(documents.join(wanted, ["row", "check"]))
     sorted_ = written(sort_buckets(pieces.repartition("anchor", "block").sortWithinPartitions("anchor", "block"), block))
-    strings = sorted_.where("string IS NOT NULL").groupBy("anchor", "column", "string").agg(F.collect_set("context").alias("contexts"), F.count("*").alias("all"))
+    strings = sorted_.where("string IS NOT NULL")
+    twice = strings.groupBy("anchor", "column", "string").agg(F.count("*").alias("all")).where("all > 1").drop("all")
     known = contexts.select("context", "n", "one.extent").select("context", "n", F.expr(LEAD).alias("lead"), F.expr(SPAN).alias("span"))
-    late = strings.where("all > 1").select(F.explode("contexts").alias("context"), "column").join(known, "context")
-    start = F.col("column") - (LEFT - F.col("lead"))
-    late = late.select("context", F.array(F.struct(start.cast("int").alias("a"), (start + LENGTH).cast("int").alias("b"))).alias("runs"))
+    start = (F.col("column") - (LEFT - F.col("lead"))).cast("int")
+    late = strings.where("context IS NOT NULL").join(twice, ["anchor", "column", "string"]).select("context", "column").join(known, "context")
+    late = late.groupBy("context").agg(F.collect_set(F.struct(start.alias("a"), (start + LENGTH).alias("b"))).alias("runs"))
     whole = known.where("n > 1").select("context", F.array(F.struct(F.lit(0).alias("a"), F.col("span").alias("b"))).alias("runs"))
-    runs = whole.unionAll(sorted_.where("runs IS NOT NULL").select("context", "runs")).unionAll(late)
+    parts = whole.unionAll(sorted_.where("runs IS NOT NULL").select("context", "runs")).unionAll(late)
+    # the runs of one neighbourhood's starts; written, so that the join can split what many places have in common
+    runs = written(parts.groupBy("context").agg(F.flatten(F.collect_list("runs")).alias("runs")))
     hits = found.join(runs, "context").select("row", "check", F.explode(F.transform("runs", lambda r: F.struct((F.col("place") + r["a"]).alias("a"), (F.col("place") + r["b"]).alias("b")))).alias("run"))
-    return hits.groupBy("row", "check").agg(F.collect_list("run").alias("runs"))
+    return hits.groupBy("row", "check").agg(F.collect_set("run").alias("runs"))  # a set, so that repeated rows add nothing
 
 
 def keyed(documents: DataFrame) -> DataFrame:

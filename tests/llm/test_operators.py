@@ -464,6 +464,22 @@ def test_difference_cover():
         assert {(x - y) % modulus for x in c for y in c} == set(range(modulus)) and len(c) < 2.2 * modulus**0.5 + 2
 
 
+def test_many_copies_of_a_row_take_room_for_one(spark):
+    """Arrays of runs and pieces don't grow with the copies, of one id or of many."""
+    r = random.Random(9)
+    text = prose(r, 160)
+    near = text[:400] + "!" + text[400:]
+    few = [(1, text, "en", "a", 0), (1, text, "en", "a", 0), (2, near, "en", "a", 0)]
+    want = {x[0]: x[1:] for x in brute_repeats(few, suffix.LENGTH)}
+    for ids in ([1] * 3000, range(10, 3010)):
+        rows = [(i, text, "en", "a", 0) for i in ids] + [(2, near, "en", "a", 0)]
+        frame = spark.createDataFrame(rows, SHAPE).repartition(4)
+        sizes = suffix.removals(suffix.keyed(frame)).select(F.size("runs")).collect()
+        assert max(s for (s,) in sizes) < 200
+        found = suffix.report(frame).collect()
+        assert len(found) == 3001 and {tuple(x)[1:] for x in found if x["doc_id"] != 2} == {want[1]} and {tuple(x)[1:] for x in found if x["doc_id"] == 2} == {want[2]}
+
+
 # 6
 
 
