@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._groups import tell
 from ._tables import settled
 
 
@@ -19,8 +20,8 @@ def components(edges: DataFrame) -> DataFrame:
     mark = None
     while True:
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
+        told = tell(both, ["a"], {"least": F.min("b")}, "b")  # in parts: a node may have most of all edges
+        large = told.where("b > a").select(F.col("b").alias("a"), F.least("least", "a").alias("b")).distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         now = settled(small.where("a <> b").distinct())

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _grams as G
+from ._groups import tell
 from ._tables import settled
 from .components import components
 
@@ -241,12 +242,13 @@ def links(rows: DataFrame, marked: DataFrame, block: int = BLOCK) -> DataFrame:
     held = settled(payloads(rows.select("_key", "text").join(candidates, "_key")))
     one = ("copies", "leads", "times", "signature", "shingles")
     held = held.where("times = 1").unionByName(held.where("times > 1").groupBy("node").agg(*(F.first(c).alias(c) for c in one)))
-    at = held.drop("times").select("*", F.explode(F.array_distinct("leads.leader")).alias("leader"))
-    blocks = candidates.select(F.explode(F.array_distinct("leads.leader")).alias("leader")).groupBy("leader").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
-    blocks = settled(blocks)  # so that the next join's large partitions can be split
+    # who meets where is settled without the sets, which are joined last, by node: a leader of most nodes is told in parts
+    at = candidates.select("node", F.explode(F.array_distinct("leads.leader")).alias("leader"))
+    counted = tell(at, ["leader"], {"n": F.count("*")}, "node").where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    cells = at.join(blocks, "leader").withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("leader", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), (F.col("own") > F.col("with")).cast("int").alias("side"), "node", "copies", "leads", "signature", "shingles")
+    cells = counted.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("leader", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), (F.col("own") > F.col("with")).cast("int").alias("side"), "node")
+    cells = cells.join(held.select("node", "copies", "leads", "signature", "shingles"), "node").select("leader", "i", "j", "side", "node", "copies", "leads", "signature", "shingles")
     return settled(meetings(cells.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")))
 
 
