@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import audit, bpe, jaccard, langid, maxent, media, minmax, mixing, quality, rules, suffix, toxicity, trie
 from ._labels import held_out
-from ._tables import remainder, table
+from ._tables import remainder, settled, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -104,6 +105,20 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 """
 
 
+def quality_rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each policy and each of its rules: what fails it, what only it rejects, and what would be kept without it."""
+    found = settled(rules.ledger(table(spark, sf_dir, "documents")))
+    parts = [rules.ablation(found, p).join(rules.apply_policy(found, p).agg(F.count("*").alias("kept")).select("kept", F.lit(p.version).alias("policy")), "policy") for p in rules.POLICIES.values()]
+    return reduce(DataFrame.unionAll, parts)
+
+
+ABLATION_SQL = f"""
+WITH f AS (SELECT failed_bits FROM ({OP8_SQL}) AS ledger),
+r(policy, mask, rule, bit) AS (VALUES {", ".join(f"('{p.version}', {p.mask}::BIGINT, '{name}', {rules.BIT[name]}::BIGINT)" for p in rules.POLICIES.values() for name in p.rejects)})
+SELECT policy, rule, count(*) FILTER (failed_bits & mask & bit <> 0) AS n_failed, count(*) FILTER (failed_bits & mask = bit) AS n_only, count(*) FILTER (failed_bits & mask = 0 OR failed_bits & mask = bit) AS kept_without, count(*) FILTER (failed_bits & mask = 0) AS kept FROM f, r GROUP BY 1, 2
+"""
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
@@ -188,10 +203,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_maxent_scoring": op6_maxent_scoring,
     "op7_toxicity": op7_toxicity,
     "op8_quality_rules": op8_quality_rules,
+    "quality_rule_ablation": quality_rule_ablation,
     "op9_source_mix": op9_source_mix,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_filter_audit": op11_filter_audit,
     "op12_minmax_dedup": op12_minmax_dedup,
     "op13_prefix_trie": op13_prefix_trie,
 }
-ORACLES: dict[str, str] = {"op2_jaccard_join": OP2_SQL, "op5_suffix_dedup": OP5_SQL, "op8_quality_rules": OP8_SQL, "op11_filter_audit": OP11_SQL, "op12_minmax_dedup": OP12_SQL, "op13_prefix_trie": OP13_SQL}
+ORACLES: dict[str, str] = {"op2_jaccard_join": OP2_SQL, "op5_suffix_dedup": OP5_SQL, "op8_quality_rules": OP8_SQL, "quality_rule_ablation": ABLATION_SQL, "op11_filter_audit": OP11_SQL, "op12_minmax_dedup": OP12_SQL, "op13_prefix_trie": OP13_SQL}
