@@ -38,11 +38,21 @@ class Model:
     logs: tuple[np.ndarray, ...]  # the log frequency of each in each language
 
 
+#: Capitals that UTF-8 writes in two bytes, and as many as their small letters: the first byte, the second from and to, and what is added to either.
+CAPITALS = (
+    (0xC3, 0x80, 0x9E, 0, 0x20),  # Latin-1
+    (0xCE, 0x91, 0x9F, 0, 0x20), (0xCE, 0xA0, 0xA9, 1, -0x20),  # Greek
+    (0xD0, 0x80, 0x8F, 1, 0x10), (0xD0, 0x90, 0x9F, 0, 0x20), (0xD0, 0xA0, 0xAF, 1, -0x20),  # Cyrillic
+)
+
+
 def _lower(data: np.ndarray) -> np.ndarray:
-    """Lower case of A-Z and of the Latin letters that UTF-8 writes C3 80 to C3 9E."""
+    """Lower case of A-Z and of `CAPITALS`."""
     out = data + np.where((data >= 65) & (data <= 90), np.uint8(32), np.uint8(0))
-    late = np.flatnonzero((data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[:-1] == 0xC3)) + 1
-    out[late] += np.uint8(32)
+    for lead, first, last, up, over in CAPITALS:
+        at = np.flatnonzero((data[:-1] == lead) & (data[1:] >= first) & (data[1:] <= last))
+        out[at] += np.uint8(up)
+        out[at + 1] += np.uint8(over % 256)
     return out
 
 

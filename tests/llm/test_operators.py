@@ -384,6 +384,13 @@ def test_rare_languages_are_learned(spark, monkeypatch):
     assert langid.identify(frame, langid.fit_on(frame)).where("doc_id >= 1000 AND lang_pred <> 'sr'").count() == 0
 
 
+def test_capitals_beyond_ascii():
+    for text in ("ÀÉÎÕÜÞ àéîõüþ Az", "ΑΒΓΔΩ αβγδω ΠΡΣ", "ЀЁЏ АБВЯ абвя ПРСТ", "日本 ÿ ß"):
+        data = np.frombuffer(text.encode(), np.uint8)
+        assert bytes(langid._lower(data)).decode() == "".join(c if c == "×" else c.lower() for c in text)
+    assert not len(langid._lower(np.zeros(0, np.uint8)))
+
+
 # 4
 
 
