@@ -27,6 +27,8 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 CHUNK = 1 << 19
 #: Powers are kept for so many places; later places take the power of their segment in addition.
 SEGMENT = 1 << 19
+#: Bytes of a short word: so many residues, and one that is folded, add up below 2^64.
+SHORT = 15
 #: Places that are worked on at a time, so that what is between stays in a core's cache; it divides a segment.
 _RUN = 1 << 13
 
@@ -61,6 +63,12 @@ def _powers(base: int) -> tuple[np.ndarray, np.ndarray]:
     return high.astype(np.uint32), low.astype(np.uint32)
 
 
+@cache
+def _letters() -> np.ndarray:
+    """What each byte adds to a polynomial at each place of a short word."""
+    return np.array([[(b + 1) * pow(_BASE, j, PRIME) % PRIME for b in range(256)] for j in range(SHORT)], U)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on unsigned 64-bit integers."""
     x = x ^ (x >> U(30))
@@ -119,6 +127,30 @@ class Texts:
             found[i : i + _RUN] = mix(out + (b - a).astype(U) * U(0x9E3779B97F4A7C15))
         return found
 
+    def word_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """As `hashes`, for ranges of which most are short: their bytes are looked up, longest range first, without a `prefix`."""
+        size = ends - starts
+        order = np.argsort((SHORT + 1 - np.minimum(size, SHORT + 1)).astype(np.uint8), kind="stable")
+        long = int((size > SHORT).sum())
+        found, letters = np.empty(len(starts), U), _letters()
+        if long:
+            a, n = starts[order[:long]], size[order[:long]]
+            offs = np.zeros(long + 1, np.int64)
+            np.cumsum(n, out=offs[1:])
+            apart = Texts(self.data[np.repeat(a - offs[:-1], n) + np.arange(offs[-1])], offs)
+            found[order[:long]] = apart.hashes(offs[:-1], offs[1:])
+        for i in range(long, len(order), _RUN):
+            here = order[i : i + _RUN]
+            n, a = size[here], starts[here]
+            out = np.zeros(len(here), U)
+            for j, k in enumerate(len(n) - np.cumsum(np.bincount(n))[:-1]):
+                out[:k] += letters[j].take(self.data.take(a[:k]))
+                a += 1
+                if j == SHORT // 2:
+                    out[:k] = _fold(out[:k])
+            found[here] = mix(_fold(out) + n.astype(U) * U(0x9E3779B97F4A7C15))
+        return found
+
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of the words, and n + 1 offsets of each document's words in them."""
         solid = ~SPACE[self.data]

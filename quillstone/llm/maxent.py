@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
-from functools import partial
+from functools import cached_property, partial
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +42,9 @@ GROUPED, BESIDE, REACH, GROUPS = 1 << 15, 64, 2, 8
 #: Tokens that a group may begin at.
 FIRST = 1024
 #: Hashed feature rows, features a token, tokens a step, and of these so many at a time, whose numbers stay in a core's cache.
-ROWS, FEATURES, STEP, FEW = 1 << 15, 4, 1 << 14, 1 << 12
+ROWS, FEATURES, STEP, FEW = 1 << 15, 4, 1 << 16, 1 << 11
+#: Sorted tokens are found by so many of their first bits; cells of a table that a task holds before it counts them.
+BITS, CELLS = 19, 1 << 22
 #: No weight is larger.
 BOUND = 10.0
 #: Rounds of gradient updates, their rate, the damping of the start, and the counts that smooth both.
@@ -70,6 +72,19 @@ class Model:
     weights: np.ndarray  # ROWS x CLASSES
     slot_weights: np.ndarray  # ROWS x SLOTS
 
+    @cached_property
+    def begins(self) -> np.ndarray:
+        return begins(self.tokens)
+
+    @cached_property
+    def factors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Exponentials of the weights, of the slots' weights and of the slots' prior.
+
+        A class's prior is dealt to the features. Weights and priors are bounded, so a product of
+        `FEATURES` of them and a prior is within single precision.
+        """
+        return np.exp(self.weights + self.prior / np.float32(FEATURES)), np.exp(self.slot_weights), np.exp(self.slot_prior)
+
 
 def lowered(texts: G.Texts) -> G.Texts:
     data = texts.data
@@ -80,7 +95,7 @@ def stream(texts: G.Texts) -> tuple[np.ndarray, np.ndarray]:
     """The tokens of the texts, with each text's end, and the texts' offsets."""
     low = lowered(texts)
     starts, ends, offs = low.words()
-    words = low.hashes(starts, ends)
+    words = low.word_hashes(starts, ends)
     at = offs + np.arange(len(offs))
     out = np.full(at[-1], END, G.U)
     inside = np.ones(at[-1], bool)
@@ -89,6 +104,41 @@ def stream(texts: G.Texts) -> tuple[np.ndarray, np.ndarray]:
     return out, at
 
 
+def begins(tokens: np.ndarray) -> np.ndarray:
+    """For each value of the first `BITS` bits the place of the first sorted token that has no smaller one (or the last place)."""
+    return np.minimum(np.searchsorted(tokens, np.arange(1 << BITS, dtype=G.U) << G.U(64 - BITS)), len(tokens) - 1).astype(np.int32)
+
+
+def placed(tokens: np.ndarray, first: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """The place of each found token among the sorted ones, whose `begins` are given; that of any other, if it isn't there."""
+    place = first.take((found >> G.U(64 - BITS)).view(np.int64)).astype(np.int64)
+    later = np.flatnonzero(tokens.take(place) < found)
+    place[later] = np.minimum(np.searchsorted(tokens, found[later]), len(tokens) - 1)
+    return place
+
+
+class Tally:
+    """How often each cell of a table is seen; cells are held until there are `CELLS`, so that a large table isn't gone through for a few."""
+
+    def __init__(self, rows: int, width: int):
+        self.table, self.width, self.held, self.size = np.zeros(rows * width, np.int64), width, [], 0
+
+    def add(self, rows: np.ndarray, columns: np.ndarray) -> None:
+        self.held.append((rows * self.width + columns).ravel().astype(np.int32))
+        self.size += self.held[-1].size
+        if self.size >= CELLS:
+            self.count()
+
+    def count(self) -> None:
+        if self.size:
+            self.table += np.bincount(np.concatenate(self.held), minlength=self.table.size)
+        self.held, self.size = [], 0
+
+    def total(self) -> np.ndarray:
+        self.count()
+        return self.table.reshape(-1, self.width)
+
+
 def count_tokens(texts: DataFrame) -> DataFrame:
     """token, n over all rows of a column `text`."""
 
@@ -149,18 +199,18 @@ def neighbours(texts: DataFrame, top: np.ndarray) -> np.ndarray:
 
 def beside(tokens: np.ndarray, ranks: np.ndarray, parts: Iterator[G.Texts]) -> list[np.ndarray]:
     """The counts of `neighbours` in some texts; tokens are sorted and have these ranks."""
-    table = np.zeros((GROUPED, BESIDE), np.int64)
+    tally, first = Tally(GROUPED, BESIDE), begins(tokens)
     for part in parts:
         found, at = stream(part)
-        where = np.minimum(np.searchsorted(tokens, found), len(tokens) - 1)
-        number = np.where(tokens[where] == found, ranks[where], GROUPED)
+        where = placed(tokens, first, found)
+        number = np.where(tokens.take(where) == found, ranks.take(where), GROUPED)
         owner = np.repeat(np.arange(part.n), np.diff(at))
         for k in range(1, REACH + 1):
             left, right, same = number[:-k], number[k:], owner[:-k] == owner[k:]
             for token, other in ((left, right), (right, left)):
                 ok = same & (token < GROUPED) & (other < BESIDE)
-                table += np.bincount(token[ok] * BESIDE + other[ok], minlength=table.size).reshape(table.shape)
-    return [table]
+                tally.add(token[ok], other[ok])
+    return [tally.total()]
 
 
 def grouped(counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -235,18 +285,38 @@ def known(model: Model, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     tail = (CLASSES - TAIL + (tokens.view(np.int64) % TAIL)).astype(np.int32)
     if not len(model.tokens):
         return tail, np.zeros(len(tokens), np.int32), np.zeros(len(tokens), bool), np.zeros(len(tokens), np.int64)
-    place = np.minimum(np.searchsorted(model.tokens, tokens), len(model.tokens) - 1)
-    found = model.tokens[place] == tokens
-    return np.where(found, model.classes[place], tail), np.where(found, model.slots[place], 0), found, np.where(found, model.counts[place], 0)
+    place = placed(model.tokens, model.begins, tokens)
+    found = model.tokens.take(place) == tokens
+    return np.where(found, model.classes.take(place), tail), np.where(found, model.slots.take(place), 0), found, np.where(found, model.counts.take(place), 0)
 
 
 def features(tokens: np.ndarray, at: np.ndarray, places: np.ndarray) -> np.ndarray:
     """The feature rows of the tokens at some places."""
     owner = np.searchsorted(at, places, side="right") - 1
     inside = places - at[owner]
-    before = [np.where(inside >= k, tokens[np.maximum(0, places - k)], START) for k in (1, 2, 3)]
+    return hashed([np.where(inside >= k, tokens[np.maximum(0, places - k)], START) for k in (1, 2, 3)]).T
+
+
+def hashed(before: list[np.ndarray]) -> np.ndarray:
+    """FEATURES x n: the feature rows after the last, the second and the third token before."""
     mixed = (before[0] * G.U(0x9E3779B97F4A7C15), before[0] * G.U(0xC2B2AE3D27D4EB4F) + before[1] * G.U(0x165667B19E3779F9), before[1] * G.U(0xD6E8FEB86659FD93), before[2] * G.U(0xA0761D6478BD642F))
-    return np.stack([(G.mix(m + G.U(k)) & G.U(ROWS - 1)).astype(np.int32) for k, m in enumerate(mixed)], 1)
+    out = np.empty((FEATURES, len(before[0])), np.int64)
+    for k, m in enumerate(mixed):
+        out[k] = (G.mix(m + G.U(k)) & G.U(ROWS - 1)).view(np.int64)
+    return out
+
+
+def befores(tokens: np.ndarray, at: np.ndarray, i: int, j: int) -> list[np.ndarray]:
+    """For the places from i to j the last, the second and the third token before each in its text."""
+    out = []
+    for k in (1, 2, 3):
+        one, there = np.full(j - i, START, G.U), tokens[max(0, i - k) : max(0, j - k)]
+        one[len(one) - len(there) :] = there
+        for n in range(k):
+            places = at[:-1] + n
+            one[places[(places < at[1:]) & (places >= i) & (places < j)] - i] = START
+        out.append(one)
+    return out
 
 
 def slot_rows(rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -254,68 +324,72 @@ def slot_rows(rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return (rows * np.int32(5) + (classes * np.int32(7919))[:, None] + np.int32(1)) & np.int32(ROWS - 1)
 
 
-def _mass(prior: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logits, their exponentials, and the sums of these. Weights are bounded, so nothing overflows."""
-    logits = weights[rows[:, 0]]
-    for k in range(1, FEATURES):
-        logits += weights[rows[:, k]]
-    logits += prior
-    raised = np.exp(logits)
-    return logits, raised, raised.sum(1)
+def _products(factors: np.ndarray, rows: np.ndarray, prior: np.ndarray | None, classes: np.ndarray | None) -> Iterator[tuple[slice, np.ndarray]]:
+    """For `FEW` lines at a time the products of the factors that a line's feature rows have; and of its class's prior, if that is given."""
+    for i in range(0, rows.shape[1], FEW):
+        here = slice(i, i + FEW)
+        out = factors.take(rows[0, here], axis=0)
+        for k in range(1, FEATURES):
+            out *= factors.take(rows[k, here], axis=0)
+        if prior is not None:
+            out *= prior.take(classes[here], axis=0)
+        yield here, out
 
 
-def _log10_of(prior: np.ndarray, weights: np.ndarray, rows: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+def _log10_of(factors: np.ndarray, rows: np.ndarray, chosen: np.ndarray, prior: np.ndarray | None = None, classes: np.ndarray | None = None) -> np.ndarray:
     """The log10 probability of the chosen one in each line's softmax."""
-    logits, _, sums = _mass(prior, weights, rows)
-    return (logits[np.arange(len(rows)), chosen] - np.log(sums)) * np.float32(1 / np.log(10))
+    out = np.empty(len(chosen), np.float32)
+    for here, products in _products(factors, rows, prior, classes):
+        out[here] = np.log10(products[np.arange(len(products)), chosen[here]]) - np.log10(products.sum(1))
+    return out
 
 
-def _parts(prior: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """The softmax of each line in whole `PARTS`, turned on its side."""
-    out = np.empty((weights.shape[1], len(rows)), np.float32)
-    for i in range(0, len(rows), FEW):
-        _, raised, sums = _mass(prior[i : i + FEW] if prior.ndim > 1 else prior, weights, rows[i : i + FEW])
-        raised *= (np.float32(PARTS) / sums)[:, None]
-        out[:, i : i + FEW] = np.rint(raised, out=raised).T
+def _parts(factors: np.ndarray, rows: np.ndarray, prior: np.ndarray | None = None, classes: np.ndarray | None = None) -> np.ndarray:
+    """width x n: the softmax of each line in whole `PARTS`."""
+    out = np.empty((factors.shape[1], rows.shape[1]), np.float32)
+    for here, products in _products(factors, rows, prior, classes):
+        turned = np.ascontiguousarray(products.T)
+        turned *= np.float32(PARTS) / products.sum(1)
+        np.rint(turned, out=out[:, here])
     return out
 
 
-def steps(model: Model, texts: G.Texts, size: int = STEP) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(from, class, slot, class rows, slot rows) of so many tokens at a time; slot rows are those of tokens in head classes only."""
-    tokens, at = stream(texts)
-    classes, slots, _, _ = known(model, tokens)
-    for i in range(0, len(tokens), size):
-        c, s = classes[i : i + size], slots[i : i + size]
-        rows = features(tokens, at, np.arange(i, i + len(c)))
-        head = c < CLASSES - TAIL
-        yield i, c, s[head], rows, slot_rows(rows[head], c[head])
+def steps(tokens: np.ndarray, at: np.ndarray, classes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(from, classes, which are head classes, class rows, slot rows) of `STEP` tokens at a time.
+
+    Rows are FEATURES x n; slot rows are those of tokens in head classes only.
+    """
+    for i in range(0, len(tokens), STEP):
+        c = classes[i : i + STEP]
+        rows = hashed(befores(tokens, at, i, i + len(c)))
+        head = np.flatnonzero(c < CLASSES - TAIL)
+        yield i, c, head, rows, slot_rows(rows.take(head, axis=1).T, c[head]).T
 
 
 def observed(model: Model, parts: Iterator[G.Texts]) -> list[np.ndarray]:
     """How often each feature row has each class, and each slot, over every token of some texts."""
-    out = [np.zeros((ROWS, CLASSES), np.int64), np.zeros((ROWS, SLOTS), np.int64)]
+    out = Tally(ROWS, CLASSES), Tally(ROWS, SLOTS)
     for texts in parts:
-        found: tuple[list, list] = ([], [])
-        for _, c, s, rows, inner in steps(model, texts):
-            found[0].append((rows * np.int32(CLASSES) + c[:, None]).ravel())
-            found[1].append((inner * np.int32(SLOTS) + s[:, None]).ravel())
-        for table, cells in zip(out, found, strict=True):
-            if cells:
-                table += np.bincount(np.concatenate(cells), minlength=table.size).reshape(table.shape)
-    return out
+        tokens, at = stream(texts)
+        classes, slots, _, _ = known(model, tokens)
+        for i, c, head, rows, inner in steps(tokens, at, classes):
+            out[0].add(rows, c)
+            out[1].add(inner, slots[i + head])
+    return [tally.total() for tally in out]
 
 
 def expected(model: Model, parts: Iterator[G.Texts]) -> list[np.ndarray]:
     """What the model expects of the same counts, in `PARTS` of one: whole numbers, so their order doesn't matter."""
     out = [np.zeros((CLASSES, ROWS)), np.zeros((SLOTS, ROWS))]
+    outer, slot, slot_prior = model.factors
     for texts in parts:
-        for _, c, _, rows, inner in steps(model, texts):
-            head = c[c < CLASSES - TAIL]
-            for table, prior, weights, where in ((out[0], model.prior, model.weights, rows), (out[1], model.slot_prior[head], model.slot_weights, inner)):
-                if len(where):
-                    flat = where.ravel()
-                    for line, p in zip(table, _parts(prior, weights, where), strict=True):
-                        line += np.bincount(flat, np.repeat(p, FEATURES), ROWS)
+        tokens, at = stream(texts)
+        for _, c, head, rows, inner in steps(tokens, at, known(model, tokens)[0]):
+            for table, where, given in ((out[0], rows, (outer, rows)), (out[1], inner, (slot, inner, slot_prior, c[head]))):
+                flat, each = where.ravel(), np.empty(where.shape)
+                for line, p in zip(table, _parts(*given), strict=True):
+                    each[:] = p
+                    line += np.bincount(flat, each.ravel(), ROWS)
     return [np.ascontiguousarray(table.T).astype(np.int64) for table in out]
 
 
@@ -383,12 +457,11 @@ def local_scores(model: Model, texts: G.Texts) -> tuple[dict[str, np.ndarray], n
     """
     tokens, at = stream(texts)
     classes, slots, frequent, counts = known(model, tokens)
+    outer, slot, slot_prior = model.factors
     score = np.zeros(len(tokens))
-    for i, c, s, rows, inner in steps(model, texts, FEW):
-        here, head = slice(i, i + len(c)), c < CLASSES - TAIL
-        score[here] = _log10_of(model.prior, model.weights, rows, c)
-        if len(inner):
-            score[here][head] += _log10_of(model.slot_prior[c[head]], model.slot_weights, inner, s)
+    for i, c, head, rows, inner in steps(tokens, at, classes):
+        score[i : i + len(c)] = _log10_of(outer, rows, c)
+        score[i + head] += _log10_of(slot, inner, slots[i + head], slot_prior, c[head])
     shared = slots == 0
     score += np.where(shared, model.inside[classes], 0.0)
     log = np.where(frequent, np.log10(counts + 0.5), 0.0)

@@ -581,6 +581,49 @@ def test_maxent_counts_every_position_and_expects_by_its_softmax():
     assert (np.sign(after.weights - model.weights) == np.sign(count * maxent.PARTS - thought)).all()
 
 
+def test_maxent_reads_a_text_once_and_multiplies_in_range(spark, speech, monkeypatch):
+    model, _ = trained(spark, speech, monkeypatch)
+    texts = G.texts_of(pa.array([r["text"] for r in speech.select("text").limit(60).collect()] + ["", "a", "a b", "a b c d"]))
+    read, stream = [], maxent.stream
+    monkeypatch.setattr(maxent, "stream", lambda t: read.append(t) or stream(t))
+    whole, left, _ = maxent.local_scores(model, texts)
+    assert len(read) == 1
+    tokens, at = stream(texts)
+    for i, j in ((0, len(tokens)), (0, 2), (1, 60), (59, 64), (len(tokens) - 1, len(tokens))):
+        assert (maxent.hashed(maxent.befores(tokens, at, i, j)).T == maxent.features(tokens, at, np.arange(i, j))).all()
+    monkeypatch.setattr(maxent, "STEP", 50)
+    monkeypatch.setattr(maxent, "FEW", 7)
+    cut, same, _ = maxent.local_scores(model, texts)
+    assert (whole["score"] == pytest.approx(cut["score"], abs=1e-9)) and (left == same).all()
+
+    for sign in (-1, 1):  # the largest weights there can be, and priors of what has no mass
+        far = maxent.replace(model, weights=np.full_like(model.weights, sign * maxent.BOUND), slot_weights=np.full_like(model.slot_weights, sign * maxent.BOUND))
+        flat = maxent.replace(model, weights=model.weights * 0, slot_weights=model.slot_weights * 0)
+        assert maxent.local_scores(far, texts)[0]["score"] == pytest.approx(maxent.local_scores(flat, texts)[0]["score"], abs=1e-3)
+
+
+def test_maxent_finds_tokens_and_hashes_words_as_plain_searches_do(monkeypatch):
+    rng = np.random.default_rng(3)
+    for tokens in (np.sort(rng.integers(0, 1 << 64, 500, np.uint64)), np.arange(7, 90, 2, np.uint64), np.array([2**64 - 1], np.uint64)):
+        asked = np.concatenate([tokens, tokens - np.uint64(1), tokens + np.uint64(1), rng.integers(0, 1 << 64, 500, np.uint64)])
+        place = maxent.placed(tokens, maxent.begins(tokens), asked)
+        there = np.isin(asked, tokens)
+        assert (tokens[place[there]] == asked[there]).all() and (tokens[place[~there]] != asked[~there]).all()
+
+    words = ["x" * n for n in range(1, 40)] + ["\u00ff" * 7, "\u00ff" * 8, "\U0010ffff" * 500, "\0", "\0\0"]
+    for some in (words, words[:3], words[20:], []):
+        texts = G.texts_of(pa.array([" ".join(some), "", " \t", " ".join(reversed(some))]))
+        starts, ends, _ = texts.words()
+        assert (texts.word_hashes(starts, ends) == texts.hashes(starts, ends)).all()
+
+    cells = rng.integers(0, 6, (2, 400))
+    monkeypatch.setattr(maxent, "CELLS", 90)
+    tally = maxent.Tally(6, 6)
+    for i in range(0, 400, 40):
+        tally.add(*cells[:, i : i + 40])
+    assert (tally.total() == np.bincount(cells[0] * 6 + cells[1], minlength=36).reshape(6, 6)).all()
+
+
 def test_maxent_is_the_same_however_texts_are_dealt_and_beats_counts(spark, speech, monkeypatch):
     (one, _), (other, _) = (trained(spark, speech.repartition(n), monkeypatch) for n in (1, 7))
     assert (one.weights == other.weights).all() and (one.slot_weights == other.slot_weights).all() and (one.classes == other.classes).all()
