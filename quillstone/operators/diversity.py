@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .positions import placed
+from .scan import rounded
 
+#: Values of candidates that differ by less tie, so that the order decides on every engine.
+VALUE_DIGITS = 7
 SEPARATOR = "\n\n---\n\n"
 
 
@@ -23,8 +26,8 @@ def select_mmr(vectors: list, query, scores: np.ndarray, weight: float, limit: i
 
     Relevance is the cosine to the query, or the score of a candidate without a vector. The most
     relevant comes first; then always the one with the largest weight * relevance - (1 - weight) *
-    (largest cosine to a chosen one), ties to the earliest. Each choice updates all candidates'
-    largest cosine at once, so a pool of n costs n * limit products.
+    (largest cosine to a chosen one), ties in `VALUE_DIGITS` digits to the earliest. Each choice updates
+    all candidates' largest cosine at once, so a pool of n costs n * limit products.
     """
     n = len(vectors)
     if limit <= 0:
@@ -33,15 +36,15 @@ def select_mmr(vectors: list, query, scores: np.ndarray, weight: float, limit: i
         return list(range(n))
     has = np.array([v is not None for v in vectors])
     width = next((len(v) for v in vectors if v is not None), 0)
-    unit = np.zeros((n, width), np.float32)
+    unit = np.zeros((n, width))
     for i, v in enumerate(vectors):
         if v is not None:
-            x = np.asarray(v, np.float32)
+            x = np.asarray(v, np.float64)
             size = float(np.linalg.norm(x))
             unit[i] = x / size if size else 0
     relevance = scores.astype(np.float64).copy()
     if query is not None and width:
-        q = np.asarray(query, np.float32)
+        q = np.asarray(query, np.float64)
         size = float(np.linalg.norm(q))
         relevance[has] = (unit @ (q / size if size else q * 0))[has]
     closest = np.full(n, -np.inf)
@@ -50,7 +53,7 @@ def select_mmr(vectors: list, query, scores: np.ndarray, weight: float, limit: i
     while len(picked) < min(limit, n):
         penalty = np.where(has & np.isfinite(closest), closest, 0.0) if picked else np.zeros(n)
         value = weight * relevance - (1 - weight) * penalty if picked else relevance
-        place = int(np.argmax(np.where(free, value, -np.inf)))
+        place = int(np.argmax(np.where(free, rounded(value, VALUE_DIGITS), -np.inf)))
         picked.append(place)
         free[place] = False
         if has[place]:

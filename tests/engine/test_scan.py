@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.operators import dense, scan
+from quillstone.operators import dense, diversity, scan
 
 
 def distance(metric, a, b):
@@ -59,3 +59,9 @@ def test_no_plan_pairs_rows_with_queries(spark):
 
 def test_halves_go_away_from_zero():
     assert scan.rounded(np.array([2.0**-10, -(2.0**-10), -1e-17, 1e300])).tolist() == [0.000976563, -0.000976563, 0.0, 1e300]
+
+
+def test_mmr_ties_in_digits_go_to_the_earliest():
+    """The third candidate is better by 2e-8, which is a tie in seven digits."""
+    vectors = [[1.0, 0.0, 0.0], [0.6, 0.8, 0.0], [0.6, 0.7999999, 0.0]]
+    assert diversity.select_mmr(vectors, [1.0, 0.0, 0.0], np.array([1.0, 0.6, 0.6]), 0.7, 3) == [0, 1, 2]
