@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.operators import dense, diversity, scan
+from quillstone.operators import dense, diversity, scan, similar
 
 
 def distance(metric, a, b):
@@ -65,3 +65,11 @@ def test_mmr_ties_in_digits_go_to_the_earliest():
     """The third candidate is better by 2e-8, which is a tie in seven digits."""
     vectors = [[1.0, 0.0, 0.0], [0.6, 0.8, 0.0], [0.6, 0.7999999, 0.0]]
     assert diversity.select_mmr(vectors, [1.0, 0.0, 0.0], np.array([1.0, 0.6, 0.6]), 0.7, 3) == [0, 1, 2]
+
+
+def test_similar_candidates_share_several_first_terms(spark):
+    """Chunks that have one rare term in common aren't compared; the others of their terms are as rare, in chunks of another size."""
+    rows = [(i, [f"own{i}-{j}" for j in range(10)] + [f"pair{i // 2}"] + [f"w{i}-{j}" for j in range(49)]) for i in range(60)]
+    rows += [(1000 + i, [f"w{i}-{j}" for j in range(49)] + [f"more{i}-{j}" for j in range(60)]) for i in range(60)]
+    sets = similar.classes(spark.createDataFrame(rows, "chunk_id long, terms array<string>"), F.col("terms"))
+    assert similar.candidates(sets, 0.6).count() == 0
