@@ -101,7 +101,8 @@ def similar_pairs(chunks: DataFrame, threshold: float, terms: Column | None = No
     """a, b (classes, a < b), n_a, n_b (their chunks), overlap, similarity of the pairs of a similarity of the threshold or more."""
     sets = written(classes(chunks, subject_terms(F.col("text")) if terms is None else terms, id_column))
     found = candidates(sets, threshold)
-    left, right = (sets.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("terms").alias(f"terms_{k}")) for k in ("a", "b"))
-    both = found.join(left, "a").join(right, "b").withColumn("overlap", F.size(F.array_intersect("terms_a", "terms_b")).cast("long"))
+    left, right = (sets.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.to_json("terms").alias(f"json_{k}")) for k in ("a", "b"))
+    both = found.join(left, "a").join(right, "b")  # as text, a set is a third of what it is as an array of texts
+    both = both.withColumns({f"terms_{k}": F.from_json(f"json_{k}", "array<string>") for k in ("a", "b")}).withColumn("overlap", F.size(F.array_intersect("terms_a", "terms_b")).cast("long"))
     union = F.size("terms_a") + F.size("terms_b") - F.col("overlap")
     return both.where(F.col("overlap") >= threshold * union - 1e-9).select("a", "b", "n_a", "n_b", "overlap", (F.col("overlap") / union).alias("similarity"))
